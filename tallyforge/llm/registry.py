@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, lines
+from . import bpe, exact, jaccard, lines, repeats
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -24,6 +24,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.substring_dedup(documents(spark, sf_dir), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -79,6 +84,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
