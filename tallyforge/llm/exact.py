@@ -157,7 +157,7 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
     )
     side = met.select("digest", F.explode(F.array("new_first", "old_first")).alias("doc_id"))
     same = (
-        docs.select("doc_id", "text").join(side, "doc_id")
+        docs.select("doc_id", "text").hint("merge").join(side, "doc_id")  # one plan at every size
         .groupBy("digest")
         .agg(F.min(normalised()).alias("a"), F.max(normalised()).alias("b"))
         .where("a = b")
@@ -174,7 +174,8 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
         F.min(F.when(F.col("side") != "false", F.struct("keep_id", "group_size"))).alias("of_old"),
         F.min(F.when(F.col("side") != "true", F.struct("keep_id", "group_size"))).alias("of_new"),
     )
-    rows = d.join(one, "digest").withColumn("of", F.when(F.col("old"), F.col("of_old")).otherwise(F.col("of_new")))
+    # read from a table, so that a digest with very many rows can be split
+    rows = d.join(saved(one, "groups"), "digest").withColumn("of", F.when(F.col("old"), F.col("of_old")).otherwise(F.col("of_new")))
     return rows.select(
         "doc_id",
         F.col("of.keep_id").alias("keep_id"),
