@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, lines, repeats
+from . import bpe, exact, jaccard, lines, mixing, neighbours, repeats
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -58,6 +58,11 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix_plan(documents(spark, sf_dir), weights=(5, 2, 1), times=3)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact.dedup(docs, exact.halves(docs))
@@ -81,13 +86,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op6_source_mixing": op6_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
