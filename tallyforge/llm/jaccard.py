@@ -25,7 +25,7 @@ from .components import components
 from .scratch import saved
 from .words import Words, as_long, grams, mix, sub_batches, texts_of
 
-#: A pair of sets that link shares at least this many of the shingles that go into the matrix.
+#: Sets that link share at least this many of the shingles that go into the matrix; larger sets, more.
 SHARED = 4
 
 
@@ -80,41 +80,133 @@ def frequent(docs: DataFrame, k: int, most: int = 50_000, seen: int = 4) -> np.n
     return np.sort(top.view(np.uint64))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    off = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes, out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
+def shared(n, num: int, den: int):
+    """How many shingles of the matrix a set of size n contributes beyond the least that must meet."""
+    return np.maximum(SHARED, n // 16)
+
+
+def need(n: F.Column, num: int, den: int) -> F.Column:
+    """The least number of matrix shingles that a set of size n has in common with any set it links to."""
+    least = F.ceil(n * num / den)
+    most = F.greatest(F.lit(SHARED), F.floor(least / 16))
+    for _ in range(2):
+        least = F.ceil(least * num / den)
+    return F.least(least, most)
+
+
+def identities(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, key, cls): set size, 128-bit digest of the set and its first 64 bits; null for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sub_batches(batch, 4_000_000):
+                _, h, n = shingle_sets(texts_of(part), k)
+                keys = _keys(h, n)
+                cls = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(cls, pa.int64())], ["doc_id", "n", "key", "cls"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, cls long")
+
 
+def _keys(h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    raw, ends = h.tobytes(), (np.cumsum(n) * 8).tolist()
+    return [hashlib.blake2b(raw[b - 8 * c : b], digest_size=16).digest() if c else None for b, c in zip(ends, n.tolist(), strict=True)]
 
-def signatures(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, 128-bit digest of the set, and the matrix's shingles.
 
-    prefix: with o = ceil(n * num / den) the least overlap of a link, the first n - o + SHARED
-    shingles in the common order. Two linked sets have SHARED of them in common, or all.
+def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts: int) -> DataFrame:
+    """(token, cls): the matrix's shingles that more than one class has.
+
+    A class of size n, with o = ceil(n * num / den) the least overlap of a link, gives its first
+    n - o + shared(n) shingles in the common order. Shingles travel packed, dealt by hash; of
+    the frequent ones it is known that they meet, so these are dealt anyhow.
     """
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
+        done: set[bytes] = set()
+        turn = 0
         for batch in batches:
             for part in sub_batches(batch, 4_000_000):
                 doc, h, n = shingle_sets(texts_of(part), k)
-                raw, ends = h.tobytes(), np.cumsum(n) * 8
-                keys = [hashlib.blake2b(raw[b - 8 * c : b], digest_size=16).digest() if c else None for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    late = hot[at] == h
-                    order = np.argsort(doc * 2 + late, kind="stable")
-                    h, doc = h[order], doc[order]
-                size = np.minimum(n, n - up(n, num, den) + SHARED)
+                keys = _keys(h, n)
+                new = np.zeros(len(n), bool)
+                cls = np.zeros(len(n), np.int64)
+                if len(done) > 300_000:
+                    done.clear()
+                for i, x in enumerate(keys):  # copies within a task go once
+                    if x is not None and x not in done:
+                        done.add(x)
+                        new[i], cls[i] = True, int.from_bytes(x[:8], "little", signed=True)
+                at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+                late = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+                order = np.argsort(doc * 2 + late, kind="stable")
+                h, doc, late = h[order], doc[order], late[order]
+                size = np.minimum(n, n - up(n, num, den) + shared(n, num, den))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                first = rank < np.repeat(size, n)
+                first = (rank < np.repeat(size, n)) & new[doc]
+                h, doc, late = h[first], doc[first], late[first]
+                turn += 1
+                to = (h % np.uint64(n_parts)).astype(np.int64)
+                to[late] = (to[late] + turn * 7919 + cls[doc[late]]) % n_parts
+                order = np.argsort(to * 2 + late, kind="stable")
+                h, c, to, late = h[order], cls[doc[order]], to[order], late[order]
+                cut = np.searchsorted(to * 2 + late, np.arange(2 * n_parts + 1))
+                some = [i for i in range(2 * n_parts) if cut[i] < cut[i + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), _lists(as_long(h[first]), size)],
-                    ["doc_id", "n", "key", "prefix"],
+                    [
+                        pa.array([i // 2 for i in some], pa.int32()),
+                        pa.array([bool(i % 2) for i in some], pa.bool_()),
+                        pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
+                        pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
+                    ],
+                    ["part", "often", "tokens", "classes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["token", "cls"])
+
+        def close() -> pa.RecordBatch:
+            t, c = np.frombuffer(b"".join(tokens), np.int64), np.frombuffer(b"".join(classes), np.int64)
+            order = np.lexsort((c, t))
+            t, c = t[order], c[order]
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            t, c = t[fresh], c[fresh]
+            many = np.zeros(len(t), bool)
+            many[1:] |= t[1:] == t[:-1]
+            many[:-1] |= t[1:] == t[:-1]
+            tokens.clear()
+            classes.clear()
+            return out(t[many], c[many])
+
+        tokens: list[bytes] = []
+        classes: list[bytes] = []
+        last = None
+        for batch in batches:
+            for p, o, t, c in zip(*(batch.column(x).to_pylist() for x in ("part", "often", "tokens", "classes")), strict=True):
+                if o:
+                    yield out(np.frombuffer(t, np.int64), np.frombuffer(c, np.int64))
+                    continue
+                if p != last and tokens:
+                    yield close()
+                last = p
+                tokens.append(t)
+                classes.append(c)
+        if tokens:
+            yield close()
+
+    packed = docs.select("text").mapInArrow(give, "part int, often boolean, tokens binary, classes binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "token long, cls long")
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    off = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=off[1:])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -262,29 +354,23 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     """
     docs = docs.select("doc_id", "text")
     often = frequent(docs, k)
-    sig = saved(signatures(docs, k, num, den, often), "signatures")
-    classes = sig.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    rows = (
-        sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
-    )
-    # shingles of the matrix that two classes have, and the classes that have enough of those
-    need = F.col("n")
-    for _ in range(3):
-        need = F.ceil(need * num / den)
-    need = F.least(F.lit(SHARED), need)
-    met = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    hits = saved(rows.join(met, "token"), "hits")
+    ids = saved(identities(docs, k), "identities")
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    classes = saved(ids.where("n > 0").groupBy("key", "cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    met = _met(docs, k, num, den, often, int(max(16, total // 2_500_000)))
+    # a class is known by its 64 bits up to here; where two share them, both are compared
+    hits = saved(met.distinct().join(classes.select("cls", "rep", "n"), "cls").select("token", "rep", "n"), "hits")
+    wanted = need(F.col("n"), num, den)
     for _ in range(2):
-        enough = hits.groupBy("rep", "n").agg(F.count("*").alias("got")).where(F.col("got") >= need).select("rep")
-        hits = hits.join(enough, "rep", "left_semi")
-        low = hits.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1").select("token", "lead")
-        hits = saved(hits.drop("lead").join(low, "token"), "hits")
-    member = saved(hits.groupBy("rep").agg(F.min("lead").alias("lead")), "members")
+        enough = hits.groupBy("rep", "n").agg(F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep")
+        hits = hits.drop("lead").join(enough, "rep", "left_semi")
+        low = saved(hits.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1").select("token", "lead"), "tokens")
+        hits = saved(hits.join(low, "token"), "hits")
+    member = saved(hits.groupBy("rep", "n").agg(F.min("lead").alias("lead"), F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep", "lead"), "members")
     # leaders head their own group, whoever leads them elsewhere
     heads = member.select("lead").distinct().select(F.col("lead").alias("rep"), F.lit(True).alias("head"))
     member = member.join(heads, "rep", "left").select("rep", F.when(F.col("head"), F.col("rep")).otherwise(F.col("lead")).alias("lead"))
-    sets = saved(_sets(docs.join(member.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "lead", "text"), k), "sets")
+    sets = saved(_sets(docs.hint("merge").join(member.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "lead", "text"), k), "sets")
     star = saved(_stars(sets, num, den), "stars")
     # groups: the linked and the others of each leader, dealt into blocks of bounded size
     placed = sets.select("rep", "lead", "n").join(star.select("rep", F.lit(True).alias("is_star")), "rep", "left").withColumn(
@@ -307,7 +393,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
         .where("group_a < group_b and not (star_a and star_b and lead_a = lead_b)")
         .groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
         .agg(F.count("*").alias("got"), F.least(F.min("least_a"), F.min("least_b")).alias("n"))
-        .where(F.col("got") >= need)
+        .where(F.col("got") >= wanted)
         .select("a", "b")
         .union(placed.where("not star and size > 1").select(F.col("group").alias("a"), F.col("group").alias("b")).distinct())
     )
@@ -318,6 +404,6 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     opened = ends.join(placed.select("rep", "group"), "group").join(sets.select("rep", "tokens"), "rep")
     links = star.union(_opened(opened, num, den)).toDF("a", "b")
     comp = components(links)
-    out = sig.select("doc_id", "n", "key").join(classes, "key", "left")
+    out = ids.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left")
     out = out.join(comp, out["rep"] == comp["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, jaccard, lines, mixing, neighbours, repeats
+from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, repeats
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -75,6 +75,17 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def remainder(mod: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op8_lattice_score(spark: SparkSession, sf_dir: str, pieces: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    out = lattice.score(documents(spark, sf_dir), remainder(10) != 0, public_tokenizers.path(pieces))
+    return out.withColumn("held_out", ~F.col("learned")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op6_source_mixing": op6_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_lattice_score": op8_lattice_score,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
