@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, repeats
+from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, repeats, toxicity
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def remainder(mod: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir), k=4, num=85, den=100)
 
@@ -55,6 +59,12 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(4) == 2
+    out = toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix_plan(documents(spark, sf_dir), weights=(5, 2, 1), times=3)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,10 +85,6 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
-def remainder(mod: int) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
-
-
 def op8_lattice_score(spark: SparkSession, sf_dir: str, pieces: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_toxicity": op5_toxicity,
         "op6_source_mixing": op6_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_lattice_score": op8_lattice_score,
