@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, repeats, toxicity
+from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, personal, repeats, toxicity
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -30,6 +30,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal.personal_data(documents(spark, sf_dir))
+    names = F.array(*map(F.lit, personal.KINDS))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def told(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(_of_kind(base, i)).cast("long").alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def _of_kind(spans: F.Column, kind: int) -> F.Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -108,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_personal_data": op3_personal_data,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_source_mixing": op6_source_mixing,
