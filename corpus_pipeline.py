@@ -1,24 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
+columns of documents; each works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import bpe, exact, jaccard, mixing, registry, scratch
+from tallyforge.llm import toxicity as toxic
+from tallyforge.plans.tables import table
+
+#: A document whose score reaches this goes.
+TOXIC = 0.3
 
-from tallyforge.llm import exact, scratch
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents scored below TOXIC, by a network that learns from the labelled rows outside the held-out fold."""
+    scores = toxic.score(docs, table(spark, sf_dir, "labels"), registry.remainder(4) != 2)
+    return docs.join(scores.where(F.col("score") < TOXIC).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the smallest doc_id, of texts equal but for white space."""
     kept = exact.dedup(docs, exact.halves(docs)).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    kept = jaccard.jaccard_join(docs, k=5, num=80, den=100).where("component_id = doc_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row for each use of a document's words, n_chars set anew."""
+    rows, _ = mixing.mix_plan(docs)
+    return mixing.mixed_texts(docs, rows)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row and the digest of what they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mix), ("tokens", tokens)]
 
-STAGES = [("exact dedup", exact_dedup)]
+#: Toxicity and mixing have no SQL: tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
