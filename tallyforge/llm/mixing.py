@@ -134,7 +134,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     )
     counts = shard_counts(s.select("rank", "slots"), shard_slots, seed)
     base = F.sum("n").over(W.partitionBy("rank").orderBy("shard")) - F.col("n")
-    slots = counts.withColumn("base", base).select("shard", "rank", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("slot"))
+    # few rows that unfold into many: dealt first to as many tasks as the slots ask for, and never broadcast
+    n_tasks = 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000
+    counts = counts.withColumn("base", base).repartition(int(n_tasks), "shard", "rank")
+    slots = counts.select("shard", "rank", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("slot"))
     at = slots.join(s.select("rank", "blocks"), "rank")
     placed = at.select(
         "shard", "rank", "slot",
@@ -152,7 +155,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     laid = saved(in_source.join(buckets, ["rank", "bucket"]).select("doc_id", "size", "source_size", "target", "rank", offset.alias("offset")), "laid")
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)
     pieces = laid.where("size > 0").select("doc_id", "rank", "offset", "size", F.explode(F.sequence(first, last)).alias("index"))
-    pieces = pieces.join(used, ["rank", "index"]).select(
+    pieces = pieces.join(used.hint("merge"), ["rank", "index"]).select(
         "doc_id",
         F.struct(
             F.greatest(F.col("index") * block - F.col("offset"), F.lit(0)).cast("int").alias("from"),
