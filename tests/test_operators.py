@@ -113,7 +113,7 @@ def test_buckets_close_on_the_right(spark):
 
 
 def test_chunks_cover_and_survive_insertions():
-    data = bytes(random.Random(5).randrange(256) for _ in range(60_000))
+    data = random.Random(5).randbytes(60_000)
     ends = dedup.cuts(data, 256, 1024, 4096)
     assert ends[-1] == len(data) and all(b - a <= 4096 for a, b in zip([0, *ends], ends, strict=False))
     cut = lambda d: {d[a:b] for e in [dedup.cuts(d, 256, 1024, 4096)] for a, b in zip([0, *e], e, strict=False)}
