@@ -42,3 +42,9 @@ def drop(df: DataFrame) -> None:
         if "/tables/" in parent and parent.split("/tables/")[0].split(":")[-1].lstrip("/") == root.split(":")[-1].lstrip("/"):
             p = jvm.org.apache.hadoop.fs.Path(parent)
             p.getFileSystem(hadoop).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every scratch table of the shared folder; for when no result of an operator is read any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tables")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
