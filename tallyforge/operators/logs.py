@@ -21,9 +21,8 @@ def keyed_extras(live: DataFrame, seat: DataFrame, key: str, pos: str) -> DataFr
     return live.join(first, [key, pos]).join(seat.select(key).distinct(), key, "left_anti").select(*live.columns)
 
 
-def union_log(seat: DataFrame, live: DataFrame, extras: DataFrame) -> DataFrame:
+def union_log(seat: DataFrame, extras: DataFrame) -> DataFrame:
     """The seat whole, then the extras, with their side: 0 or 1; the order is (side, position)."""
-    del live
     return seat.withColumn("side", F.lit(0)).unionByName(extras.withColumn("side", F.lit(1)))
 
 

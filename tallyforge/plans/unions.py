@@ -26,7 +26,7 @@ _EV = "ev AS (SELECT event_id, event_type || ':' || CAST(user_id AS VARCHAR) AS
 def log_union_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     seat, live = e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")
-    return logs.union_log(seat, live, logs.counted_extras(live, seat, ["line"], "event_id"))
+    return logs.union_log(seat, logs.counted_extras(live, seat, ["line"], "event_id"))
 
 
 @query(
@@ -51,7 +51,7 @@ def log_union_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") % 7).cast("string")).alias("uid"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat("role", F.lit(":"), "text").alias("line"), "turn"
     )
     seat, live = t.where("turn % 2 = 0").drop("turn"), t.where("turn % 3 <> 0").drop("turn")
-    return logs.union_log(seat, live, logs.keyed_extras(live, seat, "uid", "pos"))
+    return logs.union_log(seat, logs.keyed_extras(live, seat, "uid", "pos"))
 
 
 _SIDES = """raw AS (SELECT conv_id, turn, role || ':' || text AS line, CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS uid FROM conversations),
