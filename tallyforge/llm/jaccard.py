@@ -80,7 +80,7 @@ def frequent(docs: DataFrame, k: int, most: int = 50_000, seen: int = 4) -> np.n
     return np.sort(top.view(np.uint64))
 
 
-def shared(n, num: int, den: int):
+def shared(n: np.ndarray) -> np.ndarray:
     """How many shingles of the matrix a set of size n contributes beyond the least that must meet."""
     return np.maximum(SHARED, n // 16)
 
@@ -144,7 +144,7 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
                 late = hot[at] == h if len(hot) else np.zeros(len(h), bool)
                 order = np.argsort(doc * 2 + late, kind="stable")
                 h, doc, late = h[order], doc[order], late[order]
-                size = np.minimum(n, n - up(n, num, den) + shared(n, num, den))
+                size = np.minimum(n, n - up(n, num, den) + shared(n))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 first = (rank < np.repeat(size, n)) & new[doc]
                 h, doc, late = h[first], doc[first], late[first]

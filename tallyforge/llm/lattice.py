@@ -93,7 +93,7 @@ class Lattice:
             starts.append(base[word[s]] + rel[s])
             stops.append(base[word[s]] + rel[s] + m)
             pieces.append(which[i[hit]])
-        border = np.concatenate([np.arange(k + 1) for k in size.tolist()]) if len(size) < 50 else np.arange(n + len(size)) - np.repeat(base, size + 1)
+        border = np.arange(n + len(size)) - np.repeat(base, size + 1)
         return base, size, border, np.concatenate(starts), np.concatenate(stops), np.concatenate(pieces)
 
     @staticmethod
