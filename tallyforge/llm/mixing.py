@@ -51,6 +51,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...], times: int) -> DataFrame
     return s.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast where it has at most that many rows, and merged with where it has more."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def _unit(*parts: F.Column) -> F.Column:
     """A number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
@@ -58,20 +63,18 @@ def _unit(*parts: F.Column) -> F.Column:
 
 def shard_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """plan(rank, slots) -> (shard, rank, n): slots of each source in each shard, `slots` in all."""
-    ends = plan.select("rank", "slots", F.sum("slots").over(W.orderBy("rank")).alias("hi"), F.sum("slots").over(W.partitionBy()).alias("all"))
-    ends = ends.where("slots > 0").select("rank", "slots", "all", ((F.col("hi") - F.col("slots")) / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"))
-    shards = ends.select("all").limit(1).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / shard_slots) - 1)).alias("shard"), "all"
-    )
-    slots = shards.select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard_slots).cast("long"), F.col("all") - F.col("shard") * shard_slots) - 1)).alias("slot")
-    ).select("shard", _unit(F.lit(seed), F.lit("slot"), F.col("shard"), F.col("slot")).alias("u"))
+    spark = plan.sparkSession
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    ends = plan.select("rank", "slots", F.sum("slots").over(W.orderBy("rank")).alias("hi")).where("slots > 0")
+    ends = ends.select("rank", ((F.col("hi") - F.col("slots")) / F.lit(total)).alias("lo"), (F.col("hi") / F.lit(total)).alias("hi"))
+    slots = spark.range(0, total, 1, 1 + total // 200_000).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod("id", F.lit(shard_slots)).alias("slot"))
+    slots = slots.select("shard", _unit(F.lit(seed), F.lit("slot"), F.col("shard"), F.col("slot")).alias("u"))
     # the draw: a slot's number falls into one source's part of [0, 1); met through cells of equal width
     cells = 4096
     parts = ends.select("rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))).alias("cell"))
     drawn = (
         slots.withColumn("cell", F.floor(F.col("u") * cells))
-        .join(parts, "cell")
+        .join(small(parts), "cell")
         .where("u >= lo and u < hi")
         .groupBy("shard", "rank")
         .agg(F.count("*").alias("c"))
@@ -138,7 +141,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     n_tasks = 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000
     counts = counts.withColumn("base", base).repartition(int(n_tasks), "shard", "rank")
     slots = counts.select("shard", "rank", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("slot"))
-    at = slots.join(s.select("rank", "blocks"), "rank")
+    at = slots.join(small(s.select("rank", "blocks")), "rank")
     placed = at.select(
         "shard", "rank", "slot",
         permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), F.floor(F.col("slot") / F.col("blocks"))).alias("index"),
@@ -146,13 +149,15 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     used = placed.groupBy("rank", "index").agg(F.count("*").alias("uses"))
     # documents of a source in the order of a hashed bucket, then id: offsets are sums of whole
     # buckets and running sums within one
-    in_source = sized.join(s, sized["source"].eqNullSafe(s["source"])).select(
+    known = small(s.withColumnRenamed("source", "_source"))
+    in_source = sized.join(known, sized["source"].eqNullSafe(known["_source"])).select(
         "doc_id", "size", "source_size", "target", "rank", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / 5000)).alias("bucket")
     )
     buckets = in_source.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
     buckets = buckets.select("rank", "bucket", (F.sum("held").over(W.partitionBy("rank").orderBy("bucket")) - F.col("held")).alias("head"))
     offset = F.col("head") + F.sum("size").over(W.partitionBy("rank", "bucket").orderBy("doc_id")) - F.col("size")
-    laid = saved(in_source.join(buckets, ["rank", "bucket"]).select("doc_id", "size", "source_size", "target", "rank", offset.alias("offset")), "laid")
+    laid = saved(in_source.join(buckets.hint("merge"), ["rank", "bucket"]).select("doc_id", "size", "source_size", "target", "rank", offset.alias("offset")), "laid")
+    # hints: numbers of rows that unfold are not to be guessed from
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)
     pieces = laid.where("size > 0").select("doc_id", "rank", "offset", "size", F.explode(F.sequence(first, last)).alias("index"))
     pieces = pieces.join(used.hint("merge"), ["rank", "index"]).select(
