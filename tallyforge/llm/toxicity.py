@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
 from .words import _LOWER, Words, mix, sub_batches, texts_of
 
 F32 = np.float32
@@ -61,8 +62,8 @@ class Texts:
             h = np.full(len(i), n, np.uint64)
             for j in range(n):
                 h = h * np.uint64(0x100000001B3) + raw[i + j]
-            which.append(owner[i])
-            gram.append((mix(h) % np.uint64(BUCKETS)).astype(np.int64))
+            which.append(owner[i].astype(np.int32))
+            gram.append((mix(h) % np.uint64(BUCKETS)).astype(np.uint16))
         which, gram = np.concatenate(which), np.concatenate(gram)
         order = np.argsort(which, kind="stable")
         self.gram_word, self.gram = which[order], gram[order]
@@ -283,12 +284,24 @@ def score(docs: DataFrame, labels: DataFrame, may_learn, labelled: int = 2000, s
     for kind in (0, 1):
         rows = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
         some = rows if some is None else some.union(rows)
-    # at most twice `labelled` ids
-    picked = docs.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    y = picked["toxic"].to_numpy().astype(np.float64)
-    if len(y) == 0 or y.min() == y.max():
-        return docs.select("doc_id", F.lit(float(y.mean()) if len(y) else 0.0).alias("score"))
-    made = spark.sparkContext.broadcast(train([x or "" for x in picked["text"].to_pylist()], y, seed=seed))
+    some = saved(some.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    counts = some.agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).first()
+    if not counts["n"] or counts["ones"] in (0, counts["n"]):
+        return docs.select("doc_id", F.lit(float(counts["ones"] / counts["n"]) if counts["n"] else 0.0).alias("score"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
+        net, *shape = train([r[1] or "" for r in rows], np.array([r[2] for r in rows], np.float64), seed=seed)
+        names = [*net.p, "shape"]
+        values = [*net.p.values(), np.array(shape)]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([v.astype(np.float64).tobytes() for v in values], pa.binary())], ["name", "value"])
+
+    # one task trains on the sample, of at most twice `labelled` texts; its parameters come back
+    sample = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = {r["name"]: np.frombuffer(r["value"]) for r in sample.mapInArrow(learn, "name string, value binary").collect()}
+    net = Network(seed)
+    net.p = {n: got[n].reshape(v.shape).astype(F32) for n, v in net.p.items()}
+    made = spark.sparkContext.broadcast((net, *map(float, got["shape"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, slope, shift = made.value
