@@ -120,8 +120,8 @@ def permuted(x: F.Column, n: F.Column, *key: F.Column, rounds: int = 24) -> F.Co
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int = 3, block: int = 64, shard_slots: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(rows, placed): what the mix takes of each document, and which block each slot holds.
 
-    rows: doc_id, size, source_size, target, taken, pieces (array of (from, to, uses): words of the text and
-    how often each is taken) for every row of docs(doc_id, source, text). placed: shard, rank (of
+    rows: doc_id, size, source_size, target, taken, pieces (array of (from, to, uses): the text's words, block by
+    block, and how often each is taken; null without words) for every row of docs(doc_id, source, text). placed: shard, rank (of
     the source), slot, index. doc_id must be distinct and not null; other columns are
     ignored. A null text has no word; a null source is one of its own, the last; a source without
     words gets nothing; an empty table gives no rows. No word is taken more than `times` times.
@@ -160,12 +160,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     # hints: numbers of rows that unfold are not to be guessed from
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)
     pieces = laid.where("size > 0").select("doc_id", "rank", "offset", "size", F.explode(F.sequence(first, last)).alias("index"))
-    pieces = pieces.join(used.hint("merge"), ["rank", "index"]).select(
+    pieces = pieces.join(used.hint("merge"), ["rank", "index"], "left").select(
         "doc_id",
         F.struct(
             F.greatest(F.col("index") * block - F.col("offset"), F.lit(0)).cast("int").alias("from"),
             F.least((F.col("index") + 1) * block - F.col("offset"), F.col("size")).cast("int").alias("to"),
-            F.col("uses").cast("int").alias("uses"),
+            F.coalesce("uses", F.lit(0)).cast("int").alias("uses"),
         ).alias("piece"),
     )
     taken = pieces.groupBy("doc_id").agg(
@@ -175,23 +175,22 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     return rows, placed
 
 
-def mixed_texts(docs: DataFrame, rows: DataFrame, times: int = 3) -> DataFrame:
+def mixed_texts(docs: DataFrame, rows: DataFrame, block: int = 64) -> DataFrame:
     """docs as the mix has them: a row for each use of a document's words.
 
-    The row of use e has the words taken at least e times, in order, joined by one space; n_chars, where
-    there is one, is set anew and the other columns are kept. Documents of which nothing is
-    taken go.
+    rows and block are those of mix_plan. The row of use e has the words taken at least e times, in order,
+    joined by one space; n_chars, where there is one, is set anew and the other columns are kept.
+    Documents of which nothing is taken go.
     """
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-
-    def use(e: int) -> F.Column:
-        parts = F.filter("_pieces", lambda p: p["uses"] >= e)
-        return F.array_join(F.flatten(F.transform(parts, lambda p: F.slice("_words", p["from"] + 1, p["to"] - p["from"]))), " ")
-
-    uses = F.array(*map(use, range(1, times + 1)))
-    both = docs.join(rows.where("taken > 0").select("doc_id", F.col("pieces").alias("_pieces")), "doc_id").withColumn("_words", words)
-    out = both.withColumn("_uses", F.filter(uses, lambda t: t != "")).withColumn("_use", F.explode("_uses"))
-    put = {"text": F.col("_use")}
+    # a word's block follows from its place and where the first block ends
+    of_block = rows.where("taken > 0").select(
+        "doc_id", F.transform("pieces", lambda p: p["uses"]).alias("_uses"), (F.lit(block) - F.col("pieces")[0]["to"]).alias("_phase")
+    )
+    each = docs.join(of_block, "doc_id").withColumn("_use", F.explode(F.sequence(F.lit(1), F.array_max("_uses"))))
+    taken = F.filter(
+        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.get("_uses", ((F.col("_phase") + i) / block).cast("int")) >= F.col("_use")
+    )
+    out = each.withColumn("text", F.array_join(taken, " "))
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.length("_use").cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(put).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -51,7 +51,7 @@ def test_targets_counts_and_texts(spark):
         assert abs(taken[s] - want[s]) <= 3 * 16 + 0.02 * want[s], s
     # the texts hold just the words taken
     seen = defaultdict(int)
-    for r in mixed_texts(docs, rows).collect():
+    for r in mixed_texts(docs, rows, block=16).collect():
         seen[r.doc_id] += len(words(r.text))
         assert r.n_chars == len(r.text)
     assert {i: n for i, n in seen.items()} == {i: r.taken for i, r in got.items() if r.taken}
