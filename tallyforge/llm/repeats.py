@@ -162,11 +162,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     docs = docs.select("doc_id", "text")
     rows = saved(_anchor_rows(docs, window, k), "anchors")
     reach = window - k + 1
-    met = rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "first")
-    rows = saved(rows.join(met, "anchor"), "shared")
-    kinds = rows.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = saved(kinds.join(several, "anchor"), "kinds")
+    # what is joined on a key that very many rows may have is read from tables, so that the key's rows can be split
+    met = rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    rows = saved(rows.join(saved(met, "met"), "anchor"), "shared")
+    kinds = saved(rows.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner")), "kinds")
+    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    kinds = saved(kinds.join(several, "anchor", "left"), "kinds")
     rows = saved(rows.join(kinds, ["anchor", "around"]), "owned")
     # the same surroundings in an earlier document: all windows round the anchor repeat
     inner = rows.where("owner < doc_id").select(
@@ -176,6 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     asked = rows.where("owner = doc_id and kinds > 1").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     wins = saved(_window_rows(docs.hint("merge").join(asked, "doc_id"), window, k), "windows")
     owner = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
+    owner = saved(owner, "owners")
     outer = wins.join(owner, ["anchor", "win"]).where("owner < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
     gone = inner.union(outer).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
     return _cut(docs.hint("merge").join(gone, "doc_id", "left"))
