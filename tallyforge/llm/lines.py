@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 
 def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, text -> doc_id, n_lines, n_removed, kept_text for every row.
@@ -41,8 +43,9 @@ def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
         .where("n > 1")
         .select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     )
+    # read from a table, so that the rows of a very common window can be split
     later = (
-        wins.join(first, ["a", "b"])
+        wins.join(saved(first, "windows"), ["a", "b"])
         .where((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("pos")).alias("at"))
