@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of documents; each works on all rows its predecessor kept.
+columns of documents; each works on all rows its predecessor kept. Null and repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, exact, jaccard, mixing, registry, scratch
 from tallyforge.llm import toxicity as toxic
+from tallyforge.llm.rows import keyed, restored
 from tallyforge.plans.tables import table
 
 #: A document whose score reaches this goes.
@@ -19,26 +20,34 @@ TOXIC = 0.3
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents scored below TOXIC, by a network that learns from the labelled rows outside the held-out fold."""
-    scores = toxic.score(docs, table(spark, sf_dir, "labels"), registry.remainder(4) != 2)
-    return docs.join(scores.where(F.col("score") < TOXIC).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    docs, ids = keyed(docs)
+    labels = table(spark, sf_dir, "labels").where(registry.remainder(4) != 2)
+    if ids is not None:
+        # a label holds for every row of its id
+        labels = labels.join(ids, F.col("doc_id") == F.col("id")).select(F.col("row").alias("doc_id"), "toxic")
+    scores = toxic.score(docs, labels, F.lit(True))
+    return restored(docs.join(scores.where(F.col("score") < TOXIC).select("doc_id"), "doc_id", "left_semi").select(*docs.columns), ids)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the smallest doc_id, of texts equal but for white space."""
+    docs, ids = keyed(docs)
     kept = exact.dedup(docs, exact.halves(docs)).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return restored(docs.join(kept, "doc_id", "left_semi").select(*docs.columns), ids)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    docs, ids = keyed(docs)
     kept = jaccard.jaccard_join(docs, k=5, num=80, den=100).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return restored(docs.join(kept, "doc_id", "left_semi").select(*docs.columns), ids)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a row for each use of a document's words, n_chars set anew."""
+    docs, ids = keyed(docs)
     rows, _ = mixing.mix_plan(docs)
-    return mixing.mixed_texts(docs, rows)
+    return restored(mixing.mixed_texts(docs, rows), ids)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

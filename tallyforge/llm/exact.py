@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -134,14 +135,15 @@ def screened(incoming: DataFrame, filters: DataFrame, n_buckets: int) -> DataFra
 def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -> DataFrame:
     """Exact duplicates over a snapshot and an incoming batch.
 
-    docs: doc_id (distinct, not null), text; other columns are ignored. in_snapshot: which
+    docs: doc_id (null or repeated ids too), text; other columns are ignored. in_snapshot: which
     rows are the snapshot; the others are the batch (null counts as batch). Texts are equal when
     identical after every run of white space became one space. Null and empty texts are
-    equal to one another. Returns doc_id, keep_id (the smallest doc_id of equal texts),
-    group_size, kept, text_sha256 for every row; an empty table gives no rows. Without a
+    equal to one another. Returns doc_id, keep_id (the smallest doc_id of equal texts, null only if all
+    are), group_size, kept (doc_id = keep_id, so null for a null id), text_sha256 for every row; an empty
+    table gives no rows. Without a
     snapshot row, the batch is grouped on its own.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+    docs, ids = keyed(docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old")))
     d = saved(docs.select("old", "doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
     group = d.groupBy("digest", "old").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     old, new = group.where("old"), group.where("not old")
@@ -176,13 +178,9 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
     )
     # read from a table, so that a digest with very many rows can be split
     rows = d.join(saved(one, "groups"), "digest").withColumn("of", F.when(F.col("old"), F.col("of_old")).otherwise(F.col("of_new")))
-    return rows.select(
-        "doc_id",
-        F.col("of.keep_id").alias("keep_id"),
-        F.col("of.group_size").cast("long").alias("group_size"),
-        (F.col("doc_id") == F.col("of.keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    out = rows.select("doc_id", F.col("of.keep_id").alias("keep_id"), F.col("of.group_size").cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = restored(out, ids, "doc_id", "keep_id")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def halves(docs: DataFrame) -> F.Column:

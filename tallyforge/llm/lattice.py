@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 from .words import powers, sub_batches, texts_of
 
@@ -211,13 +212,13 @@ def fit(words: DataFrame, n_docs: int, pieces: list[bytes], logp: np.ndarray, ro
 def score(docs: DataFrame, learn, pieces_path: str, rounds: int = 2, frequent: int = 200_000) -> DataFrame:
     """Scores of every text under a model of the texts where learn(doc_id) holds.
 
-    docs: doc_id (distinct, not null), text; other columns are ignored. Returns doc_id, learned,
+    docs: doc_id (null and repeated ids are rows of their own), text; other columns are ignored. Returns doc_id, learned,
     n_tokens (words and the end), n_known (tokens met in training), train_tokens, base_score (smoothed
     unigram, log10), score (lattice, log10). A null or empty text is just its end. Without
     training rows every count is 0 and pieces keep their first weights. pieces_path is a
     sentencepiece file on the driver, read once; `frequent` bounds the list of words looked up in tasks.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learned"))
+    docs, ids = keyed(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learned")))
     pieces, logp = vocabulary(pieces_path)
     counts = saved(_word_counts(docs.where("learned")), "counts")
     n_docs = docs.where("learned").count()
@@ -287,7 +288,7 @@ def score(docs: DataFrame, learn, pieces_path: str, rounds: int = 2, frequent: i
     new = new.select("doc_id", F.lit(0).cast("long").alias("known"), (n * F.lit(float(np.log10(0.1) - under))).alias("base_more"), (n * F.col("lp")).alias("lattice_more"))
     more = met.union(new).groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in ("known", "base_more", "lattice_more")])
     zero = F.lit(0.0)
-    return rows.drop("rest").join(more, "doc_id", "left").select(
+    out = rows.drop("rest").join(more, "doc_id", "left").select(
         "doc_id",
         "learned",
         "n_tokens",
@@ -296,3 +297,4 @@ def score(docs: DataFrame, learn, pieces_path: str, rounds: int = 2, frequent: i
         (F.col("base") + F.coalesce("base_more", zero)).alias("base_score"),
         (F.col("lattice") + F.coalesce("lattice_more", zero)).alias("score"),
     )
+    return restored(out, ids)

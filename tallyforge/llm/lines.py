@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 
 
@@ -19,9 +20,9 @@ def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     Lines are the parts of the text between line feeds. Texts with fewer than `size`
     lines have no window and stay as they are; a null text has no line and stays null;
     an empty text is one empty line. Repeats within one document count: its first window
-    stays. doc_id must be distinct and not null; other columns are ignored.
+    stays. Null and repeated ids are rows of their own, null after all others; other columns are ignored.
     """
-    d = docs.select("doc_id", "text")
+    d, ids = keyed(docs.select("doc_id", "text"))
     lines = F.split("text", "\n", -1)
     # two independent 64-bit hashes of each line, folded over the window's lines
     hashed = d.select("doc_id", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), F.reverse(x), x).alias("b"))).alias("h"))
@@ -63,9 +64,10 @@ def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     ends = F.concat(F.transform("gone", lambda s: s["a"]), F.array(F.size("lines")))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.slice("lines", z["s"] + 1, z["e"] - z["s"])))
     removed = F.aggregate("gone", F.lit(0), lambda n, s: n + s["b"] - s["a"])
-    return both.select(
+    out = both.select(
         "doc_id",
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
+    return restored(out, ids)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -122,11 +123,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
 
     rows: doc_id, size, source_size, target, taken, pieces (array of (from, to, uses): the text's words, block by
     block, and how often each is taken; null without words) for every row of docs(doc_id, source, text). placed: shard, rank (of
-    the source), slot, index. doc_id must be distinct and not null; other columns are
+    the source), slot, index. Null and repeated ids are rows of their own; other columns are
     ignored. A null text has no word; a null source is one of its own, the last; a source without
     words gets nothing; an empty table gives no rows. No word is taken more than `times` times.
     The same rows, in any order or partitioning, give the same mix.
     """
+    docs, ids = keyed(docs.select("doc_id", "source", "text"))
     sized = saved(sizes(docs), "sizes")
     s = targets(sized, weights, times)
     s = saved(
@@ -172,13 +174,13 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
         F.sum((F.col("piece.to") - F.col("piece.from")).cast("long") * F.col("piece.uses")).alias("taken"), F.array_sort(F.collect_list("piece")).alias("pieces")
     )
     rows = laid.select("doc_id", "size", "source_size", "target").join(taken, "doc_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return rows, placed
+    return restored(rows, ids), placed
 
 
 def mixed_texts(docs: DataFrame, rows: DataFrame, block: int = 64) -> DataFrame:
     """docs as the mix has them: a row for each use of a document's words.
 
-    rows and block are those of mix_plan. The row of use e has the words taken at least e times, in order,
+    rows and block are those of mix_plan on the same docs, whose doc_id is distinct and not null (keyed() makes it so). The row of use e has the words taken at least e times, in order,
     joined by one space; n_chars, where there is one, is set anew and the other columns are kept.
     Documents of which nothing is taken go.
     """
