@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.incremental import work_folder
+
 
 def decide(native: DataFrame, ledger: DataFrame, carried: DataFrame) -> DataFrame:
     """(name, action): native(name, oid, checked_out), ledger(name, oid null for a tombstone, t), carried(name, oid, t).
@@ -36,17 +38,28 @@ def decide(native: DataFrame, ledger: DataFrame, carried: DataFrame) -> DataFram
     return x.select("name", action.alias("action"))
 
 
-def ancestry(edges: DataFrame, deepest: int = 50) -> DataFrame:
-    """(child, ancestor, steps): the closure of edges(child, parent), up to `deepest` steps; the fewest steps count."""
+def ancestry(edges: DataFrame) -> DataFrame:
+    """(child, ancestor, steps): the whole closure of edges(child, parent); the fewest steps count. Edges with a null end are none.
+
+    Each round joins on only the pairs that the round before found first, and writes what is new to the
+    shared folder, until nothing is.
+    """
     spark = edges.sparkSession
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_ancestry_edges")
-    out = spark.sql(f"""
-        WITH RECURSIVE up (child, ancestor, steps) AS (
-          SELECT child, parent, 1 FROM _ancestry_edges
-          UNION ALL
-          SELECT u.child, e.parent, u.steps + 1 FROM up u JOIN _ancestry_edges e ON u.ancestor = e.child WHERE u.steps < {deepest})
-        SELECT child, ancestor, min(steps) AS steps FROM up GROUP BY child, ancestor""")
-    return out
+    folder = work_folder(spark)
+    e = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+    e.write.parquet(f"{folder}/edges")
+    e = spark.read.schema(e.schema).parquet(f"{folder}/edges")
+    found = e.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
+    schema, steps = found.schema, 1
+    while True:
+        found.write.parquet(f"{folder}/pairs/{steps}")
+        last = spark.read.schema(schema).parquet(f"{folder}/pairs/{steps}")
+        every = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/pairs")
+        if last.isEmpty():
+            return every
+        steps += 1
+        on = last.select("child", F.col("ancestor").alias("via")).join(e.withColumnRenamed("child", "via"), "via")
+        found = on.select("child", F.col("parent").alias("ancestor")).distinct().join(every, ["child", "ancestor"], "left_anti").withColumn("steps", F.lit(steps))
 
 
 def classes(source: DataFrame, dest: DataFrame, closure: DataFrame) -> DataFrame:

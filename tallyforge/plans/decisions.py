@@ -64,7 +64,23 @@ _EDGES = "e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM order
     FROM s FULL JOIN d ON s.name = d.name LEFT JOIN cl a ON a.child = s.oid AND a.ancestor = d.oid LEFT JOIN cl b ON b.child = d.oid AND b.ancestor = s.oid""",
 )
 def ref_class_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).where("k <= 4000")
+    return _ref_classes(table(spark, sf_dir, "orders").where("o_orderkey <= 4000"))
+
+
+@query(
+    "ref_class_ancestry_all",
+    """WITH RECURSIVE e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0), up AS (SELECT child, parent AS ancestor FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child),
+    s AS (SELECT o_orderkey AS name, o_orderkey AS oid FROM orders WHERE o_orderkey % 3 <> 0),
+    d AS (SELECT o_orderkey AS name, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 4 WHEN o_orderkey % 4 = 1 THEN o_orderkey * 2 WHEN o_orderkey % 4 = 2 THEN o_orderkey ELSE o_orderkey + 1 END AS oid FROM orders WHERE o_orderkey % 5 <> 0)
+    SELECT coalesce(s.name, d.name) AS name, CASE WHEN d.oid IS NULL THEN 'source-only' WHEN s.oid IS NULL THEN 'dest-only' WHEN s.oid = d.oid THEN 'same' WHEN a.child IS NOT NULL THEN 'source-ahead' WHEN b.child IS NOT NULL THEN 'dest-ahead' ELSE 'diverged' END AS class
+    FROM s FULL JOIN d ON s.name = d.name LEFT JOIN up a ON a.child = s.oid AND a.ancestor = d.oid LEFT JOIN up b ON b.child = d.oid AND b.ancestor = s.oid""",
+)
+def ref_class_ancestry_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ref_classes(table(spark, sf_dir, "orders"))
+
+
+def _ref_classes(orders: DataFrame) -> DataFrame:
+    o = orders.select(F.col("o_orderkey").alias("k"))
     edges = o.where("k > 0").select(F.col("k").alias("child"), F.expr("k div 2").alias("parent"))
     s = o.where("k % 3 <> 0").select(F.col("k").alias("name"), F.col("k").alias("oid"))
     d = o.where("k % 5 <> 0").select(F.col("k").alias("name"), F.expr("case k % 4 when 0 then k div 4 when 1 then k * 2 when 2 then k else k + 1 end").alias("oid"))

@@ -218,3 +218,12 @@ def test_stream_is_read_once_and_sinks_do_not_clobber(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.publish(df, f"{tmp_path}/pub")
     assert sinks.upserted(df, spark.createDataFrame([(1, 5), (2, 0)], schema), ["k"], "v").count() == 2
+
+
+def test_ancestry_has_no_depth(spark):
+    edges = [(i, i + 1) for i in range(54)] + [(i + 1, i) for i in (100, 101)] + [(100, 102), (5, None), (None, 5), (0, 1)]
+    got = {(r.child, r.ancestor): r.steps for r in refs.ancestry(spark.createDataFrame(edges, "child int, parent int")).collect()}
+    want = {(i, j): j - i for i in range(55) for j in range(i + 1, 55)}
+    # a ring: 101 -> 100 -> 102 -> 101
+    want |= {(a, b): n for x in ((101, 100, 102),) for i, a in enumerate(x) for n, b in ((1, x[(i + 1) % 3]), (2, x[(i + 2) % 3]), (3, a))}
+    assert got == want
