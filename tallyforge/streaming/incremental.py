@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,16 +15,42 @@ def upsert_batches(source: DataFrame, target: str, checkpoint: str, key: list[st
     """Appends each micro-batch's latest rows per key to the table at `target`, then returns.
 
     A batch goes to a folder named by its number, written over when the batch is tried again: nothing
-    is doubled after a failure. Rows for which racy_after holds (a condition) are left to a later pass.
+    is doubled after a failure. Rows for which racy_after holds (a condition) wait in a table beside the target,
+    and every later pass first takes those for which its own condition no longer holds.
     """
+    racy = F.coalesce(F.expr(racy_after), F.lit(False)) if racy_after else F.lit(False)
+    _settle(source.sparkSession, target, key, order, racy)
 
     def put(batch: DataFrame, number: int) -> None:
-        kept = batch.where(f"not ({racy_after})") if racy_after else batch
-        latest(kept, key, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        latest(batch.where(~racy), key, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if racy_after:
+            batch.where(racy).write.mode("overwrite").parquet(f"{target}-pending/batch={number}")
 
     source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _settle(spark: SparkSession, target: str, key: list[str], order: str, racy: Column) -> None:
+    """Moves pending rows that are no longer racy to the target.
+
+    Old folders go last: after a failure rows are there twice, which the latest row per key does not show.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{target}-pending")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = [s.getPath() for s in files.listStatus(path)] if files.exists(path) else []
+    # a folder without the mark is a write that failed, and its batch is tried again
+    held = [p for p in held if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not held:
+        return
+    rows, name = spark.read.parquet(*[p.toString() for p in held]), uuid.uuid4().hex
+    latest(rows.where(~racy), key, order).write.parquet(f"{target}/batch=settled-{name}")
+    left = rows.where(racy)
+    if not left.isEmpty():
+        left.write.parquet(f"{target}-pending/batch=left-{name}")
+    for p in held:
+        files.delete(p, True)
+
+
 def merged(spark: SparkSession, target: str, key: list[str], order: str) -> DataFrame:
     """The latest row per key over all batches at `target`."""
     return latest(spark.read.parquet(target).drop("batch"), key, order)

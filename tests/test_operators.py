@@ -227,3 +227,18 @@ def test_ancestry_has_no_depth(spark):
     # a ring: 101 -> 100 -> 102 -> 101
     want |= {(a, b): n for x in ((101, 100, 102),) for i, a in enumerate(x) for n, b in ((1, x[(i + 1) % 3]), (2, x[(i + 2) % 3]), (3, a))}
     assert got == want
+
+
+def test_racy_rows_wait_for_a_later_pass(spark, tmp_path):
+    schema = "k int, v int, t int"
+    src, out, log = (f"file://{tmp_path}/{n}" for n in ("src", "out", "log"))
+    stream = lambda: incremental.read_growing(spark, src, spark.createDataFrame([], schema).schema)
+    seen = lambda: sorted((r.k, r.v) for r in incremental.merged(spark, out, ["k"], "v").collect())
+    spark.createDataFrame([(1, 1, 5), (1, 2, 11), (2, 5, 12), (3, 1, None), (4, 1, 25)], schema).write.parquet(f"{src}/a")
+    incremental.upsert_batches(stream(), out, log, ["k"], "v", "t >= 10")
+    assert seen() == [(1, 1), (3, 1)]
+    spark.createDataFrame([(2, 4, 3)], schema).write.parquet(f"{src}/b")
+    incremental.upsert_batches(stream(), out, log, ["k"], "v", "t >= 20")
+    assert seen() == [(1, 2), (2, 5), (3, 1)]
+    incremental.upsert_batches(stream(), out, log, ["k"], "v")
+    assert seen() == [(1, 2), (2, 5), (3, 1), (4, 1)]
