@@ -119,8 +119,16 @@ def snapshot_filters(reps: DataFrame, n_buckets: int) -> DataFrame:
     )
 
 
-def screened(incoming: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
-    """The digests of incoming(digest) that their bucket's filter lets through."""
+def salted(incoming: DataFrame, n_buckets: int, n_salts: int) -> DataFrame:
+    """(bucket, salt, digest): a bucket's digests dealt into n_salts groups, by other bits than the bucket's."""
+    return incoming.select(bucket_of(n_buckets).alias("bucket"), F.pmod(F.xxhash64("digest"), F.lit(n_salts)).cast("int").alias("salt"), "digest")
+
+
+def screened(incoming: DataFrame, filters: DataFrame, n_buckets: int, n_salts: int = 1) -> DataFrame:
+    """The digests of incoming(digest) that their bucket's filter lets through.
+
+    A group of rows / (n_buckets * n_salts) digests asks at once; each gets its bucket's filter, about 9 bits a key.
+    """
 
     def ask(key: tuple, rows: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         if not len(made) or not len(rows):
@@ -128,8 +136,15 @@ def screened(incoming: DataFrame, filters: DataFrame, n_buckets: int) -> DataFra
         f = made.iloc[0]
         return rows.loc[ask_filter(_keys(rows["digest"]), int(f["seed"]), int(f["seg"]), f["marks"]), ["digest"]]
 
-    asked = incoming.select(bucket_of(n_buckets).alias("bucket"), "digest").groupBy("bucket")
-    return asked.cogroup(filters.groupBy("bucket")).applyInPandas(ask, "digest binary")
+    asked = salted(incoming, n_buckets, n_salts).groupBy("bucket", "salt")
+    filters = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
+    return asked.cogroup(filters.groupBy("bucket", "salt")).applyInPandas(ask, "digest binary")
+
+
+def shares(n_old: int, n_new: int, keys: int) -> tuple[int, int]:
+    """(n_buckets, n_salts) by which neither a filter nor a group that asks it holds more than about `keys` digests."""
+    n_buckets = max(1, -(-n_old // keys))
+    return n_buckets, max(1, -(-n_new // (n_buckets * keys)))
 
 
 def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -> DataFrame:
@@ -147,9 +162,10 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
     d = saved(docs.select("old", "doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
     group = d.groupBy("digest", "old").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     old, new = group.where("old"), group.where("not old")
-    n_buckets = max(1, -(-d.where("old").count() // keys_a_bucket))
+    sides = d.agg(F.count_if("old").alias("old"), F.count_if(~F.col("old")).alias("new")).first()
+    n_buckets, n_salts = shares(sides["old"], sides["new"], keys_a_bucket)
     filters = snapshot_filters(old.select("digest"), n_buckets)
-    passed = screened(new.select("digest"), filters, n_buckets)
+    passed = screened(new.select("digest"), filters, n_buckets, n_salts)
     # the exact bucket: the snapshot's row of the same digest, then the bytes of both
     met = saved(
         passed.join(new.select("digest", F.col("first").alias("new_first")), "digest").join(
