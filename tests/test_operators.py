@@ -242,3 +242,14 @@ def test_racy_rows_wait_for_a_later_pass(spark, tmp_path):
     assert seen() == [(1, 2), (2, 5), (3, 1)]
     incremental.upsert_batches(stream(), out, log, ["k"], "v")
     assert seen() == [(1, 2), (2, 5), (3, 1), (4, 1)]
+
+
+def test_whole_queries_read_all_windows_and_lines(spark):
+    run = {n: catalogue.queries()[n](spark, SF) for n in ("window_location_all", "overlap_fraction_all", "pair_verdict_all")}
+    t = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert run["overlap_fraction_all"].count() == t("part").where("p_size > 0").count()
+    assert run["window_location_all"].where("name % 10 <> 0").count() > 0
+    verdicts = {}
+    for r in t("lineitem").select("l_suppkey", (F.col("l_quantity") > 49).alias("bad")).collect():
+        verdicts.setdefault(r.l_suppkey, set()).add(r.bad)
+    assert {r.l_suppkey: r.verdict for r in run["pair_verdict_all"].collect()} == {k: "INCONCLUSIVE" if len(v) > 1 else "FAIL" if v.pop() else "PASS" for k, v in verdicts.items()}
