@@ -82,9 +82,17 @@ def counter_deltas(samples: DataFrame, by: str, order: str, counter: str) -> Dat
 
 
 def ewma(samples: DataFrame, by: str, order: str, value: str, keep: float) -> DataFrame:
-    """(by, load): load <- load * keep + value * (1 - keep), from 0, over each group's samples in order."""
-    g = samples.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    return g.select(by, F.aggregate("s", F.lit(0.0), lambda a, x: a * keep + x[value] * (1 - keep)).alias("load"))
+    """(by, load): load <- load * keep + value * (1 - keep), from 0, over each group's samples in order.
+
+    The load is a sum of weighted samples: ranges of the order, each summed from its own end, then weighed by the
+    number of samples in later ranges. A group of any size is spread over tasks. A null value counts as 0; without
+    any other value the load is null.
+    """
+    x = samples.select(by, order, value).repartitionByRange(by, order, value).withColumn("_range", F.spark_partition_id())
+    back = F.row_number().over(W.partitionBy(by, "_range").orderBy(F.desc(order), F.desc(value))) - 1
+    x = x.withColumn("_back", back).groupBy(by, "_range").agg(F.sum(F.col(value) * (1 - keep) * F.pow(F.lit(keep), "_back")).alias("_s"), F.count("*").alias("_n"))
+    later = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn("_later", later).groupBy(by).agg(F.sum(F.col("_s") * F.pow(F.lit(keep), "_later")).alias("load"))
 
 
 def retained(files: DataFrame, by: list[str], order: str, size: str, most_files: int, most_bytes: int) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import census, closure, dedup, documents, freshness, logs, paths, refs, rows, stats
+from tallyforge.operators import census, checks, closure, dedup, documents, freshness, logs, paths, refs, rows, stats
 from tallyforge.plans import catalogue
 from tallyforge.sources import readers, sinks
 from tallyforge.streaming import incremental
@@ -253,3 +253,18 @@ def test_whole_queries_read_all_windows_and_lines(spark):
     for r in t("lineitem").select("l_suppkey", (F.col("l_quantity") > 49).alias("bad")).collect():
         verdicts.setdefault(r.l_suppkey, set()).add(r.bad)
     assert {r.l_suppkey: r.verdict for r in run["pair_verdict_all"].collect()} == {k: "INCONCLUSIVE" if len(v) > 1 else "FAIL" if v.pop() else "PASS" for k, v in verdicts.items()}
+
+
+def test_load_of_a_hot_group_needs_no_array(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("aaaaab"), i, rng.random()) for i in range(4000)] + [("c", 1, None), (None, 1, 2.0)]
+    df = spark.createDataFrame(rng.sample(data, len(data)), "u string, t int, v double")
+    want = {}
+    for u, _, v in data:
+        if v is not None:
+            want[u] = want.get(u, 0.0) * 0.999 + v * 0.001
+    out = checks.ewma(df, "u", "t", "v", 0.999)
+    got = {r.u: r.load for r in out.collect()}
+    assert got.pop("c") is None and set(got) == set(want) and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "rangepartitioning" in plan
