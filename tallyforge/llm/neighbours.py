@@ -24,6 +24,12 @@ def graph(unit: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sim, k - 1, axis=1)[:, :k]
 
 
+def others(asking: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of unit vectors for each asking one."""
+    k = min(k, len(unit))
+    return np.argpartition(-(asking @ unit.T), k - 1, axis=1)[:, :k]
+
+
 def balanced_parts(unit: np.ndarray, near: np.ndarray, n_parts: int) -> np.ndarray:
     """Part of each row: the graph halved again and again, halves as equal as can be.
 
@@ -106,9 +112,11 @@ class Router:
         return self
 
 
-def probes_for(unit: np.ndarray, near: np.ndarray, scores: np.ndarray, wanted: float) -> int:
-    """The least number of parts to search for the wanted share of graph neighbours."""
-    home = scores.argmax(1)
+def probes_for(home: np.ndarray, near: np.ndarray, scores: np.ndarray, wanted: float) -> int:
+    """The least number of parts to search for the wanted share of neighbours.
+
+    home: the part of each row of the sample; near: rows of the sample next to each asking row; scores: the asking rows' parts.
+    """
     order = np.argsort(-scores, axis=1)
     place = np.argsort(order, axis=1)  # rank of each part for each row
     depth = np.take_along_axis(place, home[near], axis=1)
@@ -135,8 +143,8 @@ def nearest(
     the smaller vec_id, never the query itself; all others where there are no more than k.
     Rows with a null vec_id, and vectors that are null, zero, of another length than most or
     have null or non-finite components, take no part; without vectors there are no rows.
-    The sample, of at most `sample` rows by hash, shapes parts and router; every row is
-    indexed. score is the cosine of the original vectors in double precision.
+    The sample, of at most `sample` rows by hash, shapes parts and router, and rows held out of it set the number of
+    parts searched; every row is indexed. score is the cosine of the original vectors in double precision.
     """
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -145,13 +153,16 @@ def nearest(
     if total is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == total["d"])
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    # a row more for every four of the sample is held out of the router, and says how many parts to search
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample + sample // 4).toPandas()
     unit = _unit(some["v"])
+    out = np.arange(len(unit)) % 5 == 4
+    unit, held = unit[~out], unit[out]
     n_parts = int(max(1, min(most_parts, total["n"] // rows_a_part + 1, len(unit) // 8)))
     near = graph(unit, min(10, len(unit) - 1)) if len(unit) > 1 else np.zeros((1, 0), int)
     part = balanced_parts(unit, near, n_parts)
     net = Router(unit.shape[1], n_parts).fit(unit, part)
-    probes = probes_for(unit, near, net.score(unit), recall)
+    probes = probes_for(net.score(unit).argmax(1), others(held, unit, 10), net.score(held), recall)
 
     def place(batches):
         for b in batches:

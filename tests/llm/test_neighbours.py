@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyforge.llm.neighbours import balanced_parts, graph, nearest
+from tallyforge.llm.neighbours import Router, balanced_parts, graph, nearest, others, probes_for
 
 
 def brute(x, ids, queries, k):
@@ -60,3 +60,17 @@ def test_parts_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     part = balanced_parts(x, graph(x, 5), 7)
     assert np.ptp(np.bincount(part, minlength=7)) <= 4
+
+
+def test_probes_hold_for_rows_the_router_has_not_seen():
+    g = np.random.default_rng(4)
+    x = g.normal(0, 1, (3500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit, held, fresh = x[:2000], x[2000:2500], x[2500:]
+    part = balanced_parts(unit, graph(unit, 10), 30)
+    net = Router(12, 30).fit(unit, part)
+    home = net.score(unit).argmax(1)
+    probes = probes_for(home, others(held, unit, 10), net.score(held), 0.9)
+    order = np.argsort(-net.score(fresh), axis=1)[:, :probes]
+    found = (home[others(fresh, unit, 10)][:, :, None] == order[:, None, :]).any(2).mean()
+    assert 0.87 <= found and probes < 30
