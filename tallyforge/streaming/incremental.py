@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.shared import shared_folder
 from ..operators.rows import latest
 
 
@@ -62,11 +63,8 @@ def read_growing(spark: SparkSession, path: str, schema: StructType, files_a_bat
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or in a temporary one where the session names none."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stalled(stream: DataFrame, key: str, time: str, counter: str, seconds: int) -> DataFrame:
