@@ -1,28 +1,52 @@
-"""A key of its own for each row, where doc_id is none: null ids, repeated ids, repeated rows."""
+"""A key of its own for each row, where the id is none: null ids, repeated ids, repeated rows. Sums over a global order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import saved
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(docs with a distinct doc_id that is not null, ids(row, id) of what stood there before).
+def ordered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df, sorted and written once, with _part and _at: the sort's task and the row's place in it. The two order all rows."""
+    rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    return saved(rows.select(*df.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ordered")
+
+
+def prefixed(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each name of sums, the sum of that column over all rows before, in a global order without ties.
+
+    Sums of whole slices of 4,096 rows are added up first, so that no task sees all rows.
+    """
+    rows = ordered(df, *order).withColumn("_slice", F.shiftright("_at", 12))
+    held = rows.groupBy("_part", "_slice").agg(*[F.sum(c).alias(f"_held_{n}") for n, c in sums.items()])
+    whole = held.groupBy("_part").agg(*[F.sum(f"_held_{n}").alias(f"_all_{n}") for n in sums])
+    parts = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each task of the sort
+    whole = whole.select("_part", *[F.coalesce(F.sum(f"_all_{n}").over(parts), F.lit(0)).alias(f"_all_{n}") for n in sums])
+    slices = W.partitionBy("_part").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select("_part", "_slice", *[F.coalesce(F.sum(f"_held_{n}").over(slices), F.lit(0)).alias(f"_held_{n}") for n in sums])
+    inside = W.partitionBy("_part", "_slice").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    out = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()])
+    out = out.join(held, ["_part", "_slice"]).join(whole, "_part")
+    return out.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_held_{n}") + F.col(f"_all_{n}")).alias(n) for n in sums])
+
+
+def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(docs with a distinct key that is not null, ids(row, id) of what stood there before).
 
     Ids that are distinct and not null stay, and ids is None. Otherwise rows are numbered from 0 in
-    the order of doc_id, null last, and of their content; equal rows get numbers in any order. The
+    the order of their ids, null last, and of their content; equal rows get numbers in any order. The
     numbers depend on the rows only, and are written to a table once.
     """
-    found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1)
+    found = docs.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or {key} is null").limit(1)
     if not found.count():
         return docs, None
-    rest = [c for c in docs.columns if c != "doc_id"]
+    rest = [c for c in docs.columns if c != key]
     # the digest bounds what is compared, the last key lets a row repeated very often be split
-    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_digest": F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit(""), "_tie": F.monotonically_increasing_id()})
-    rows = rows.orderBy("_null", "doc_id", "_digest", "_tie").withColumn("_at", F.monotonically_increasing_id())
-    rows = saved(rows.select(*docs.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "rows")
+    rows = docs.withColumns({"_null": F.col(key).isNull(), "_digest": F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit(""), "_tie": F.monotonically_increasing_id()})
+    rows = ordered(rows, "_null", key, "_digest", "_tie").select(*docs.columns, "_part", "_at")
     # a number for each task of the sort
     sizes, starts, at = sorted(map(tuple, rows.groupBy("_part").agg(F.count("*")).collect())), [], 0
     for part, n in sizes:
@@ -30,8 +54,8 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         at += n
     starts = docs.sparkSession.createDataFrame(starts, "_part long, _start long")
     rows = rows.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_start") + F.col("_at"))
-    ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"))
-    return rows.withColumn("doc_id", F.col("_row")).select(*docs.columns), ids
+    ids = rows.select(F.col("_row").alias("row"), F.col(key).alias("id"))
+    return rows.withColumn(key, F.col("_row")).select(*docs.columns), ids
 
 
 def restored(out: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:

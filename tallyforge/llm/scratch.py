@@ -7,21 +7,11 @@ back. Losing an executor then never loses the result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..functions.shared import shared_folder as folder
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
