@@ -1,14 +1,16 @@
 """Operator 1: n-gram Jaccard join over a token-group matrix.
 
 Documents with one shingle set are one class. Classes whose rare shingles meet are
-partitioned into groups round a leader, each of bounded size. The matrix holds, for each
-group, the union of the shingles that can betray a link; two groups that share too few
-are never compared. For those left, a query's overlap with the other group's whole union
-bounds its similarity to every member; only qualifying queries and members are opened and
-compared exactly. Nothing is lost: each bound is necessary for a link.
+partitioned into groups round a leader, each of bounded size, and those a leader links to and the others are its
+two families of groups. Families that share too few shingles are never compared. For groups of the others, a table
+holds each group's whole token union: two groups are opened only if their unions overlap as far as a link between
+members needs. In an opened pair a query's overlap with the other group's union bounds its similarity to every member;
+only qualifying queries and members are compared exactly. Nothing is lost: each bound is necessary for a link.
 
 The order behind the matrix puts frequent shingles last, so passages that many documents share
-open no groups. The list of frequent shingles is bounded and only changes the order.
+open no groups. The list of frequent shingles is bounded and only changes the order; shingles that prove common
+afterwards make no pairs for sets that have enough others. What stays quadratic is a family of sets that resemble
+one leader, and one another, without reaching the threshold: no exact join can pass over their pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import keyed, restored
 from .scratch import saved
 from .words import Words, as_long, grams, mix, sub_batches, texts_of
 
@@ -57,25 +61,56 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, h, np.bincount(doc, minlength=len(texts))
 
 
-def frequent(docs: DataFrame, k: int, most: int = 50_000, seen: int = 4) -> np.ndarray:
-    """Up to `most` of the shingles with the highest document counts, sorted.
+class Often:
+    """Shingles that a task meets again and again, with about how often: what is rare goes when there are too many."""
 
-    Counts leave out what a task has met fewer than `seen` times. This only orders work.
+    def __init__(self, most: int = 500_000, pending: int = 6_000_000):
+        self.most, self.pending, self.held = most, pending, 0
+        self.keys, self.counts, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, h: np.ndarray) -> None:
+        self.new.append(h)
+        self.held += len(h)
+        if self.held > self.pending:
+            self.settle()
+
+    def settle(self) -> None:
+        h, n = np.unique(np.concatenate([*self.new, np.zeros(0, np.uint64)]), return_counts=True)
+        keys, back = np.unique(np.concatenate([self.keys, h]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([self.counts, n]), minlength=len(keys)).astype(np.int64)
+        keep = counts > 1
+        if keep.sum() > self.most:
+            keep &= counts > np.partition(counts, len(counts) - self.most)[len(counts) - self.most]
+        self.keys, self.counts, self.new, self.held = keys[keep], counts[keep], [], 0
+
+
+def profiles(docs: DataFrame, k: int, seen: int = 4) -> DataFrame:
+    """What one reading of the texts gives. A row for each document: doc_id, n, key, cls (set size, 128-bit digest of the set and its
+    first 64 bits; null for empty sets), token null; and rows (token, n) of shingles that a task has met `seen` times or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        names, often = ["doc_id", "n", "key", "cls", "token"], Often()
         for batch in batches:
             for part in sub_batches(batch, 4_000_000):
-                h, n = np.unique(shingle_sets(texts_of(part), k)[1], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, h[n > 1]]), return_inverse=True)
-                counts = np.bincount(back, weights=np.concatenate([counts, n[n > 1]]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > 500_000:
-                    keys, counts = keys[counts > 2], counts[counts > 2]
-        keep = counts >= seen
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(keys[keep])), pa.array(counts[keep])], ["token", "n"])
-
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+                _, h, n = shingle_sets(texts_of(part), k)
+                often.add(h)
+                keys = _keys(h, n)
+                cls = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int64())], names
+                )
+        often.settle()
+        keep = often.counts >= seen
+        none = [pa.nulls(int(keep.sum()), t) for t in (pa.int64(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(often.counts[keep]), none[1], none[2], pa.array(as_long(often.keys[keep]))], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, cls long, token long")
+
+
+def frequent(counted: DataFrame, most: int = 50_000) -> np.ndarray:
+    """Up to `most` of the shingles of counted(token, n) with the highest counts, sorted. This only orders work."""
+    found = counted.groupBy("token").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.view(np.uint64))
 
@@ -94,22 +129,6 @@ def need(n: F.Column, num: int, den: int) -> F.Column:
     return F.least(least, most)
 
 
-def identities(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, cls): set size, 128-bit digest of the set and its first 64 bits; null for empty sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sub_batches(batch, 4_000_000):
-                _, h, n = shingle_sets(texts_of(part), k)
-                keys = _keys(h, n)
-                cls = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(cls, pa.int64())], ["doc_id", "n", "key", "cls"]
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, cls long")
-
-
 def _keys(h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
     raw, ends = h.tobytes(), (np.cumsum(n) * 8).tolist()
     return [hashlib.blake2b(raw[b - 8 * c : b], digest_size=16).digest() if c else None for b, c in zip(ends, n.tolist(), strict=True)]
@@ -120,7 +139,8 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
 
     A class of size n, with o = ceil(n * num / den) the least overlap of a link, gives its first
     n - o + shared(n) shingles in the common order. Shingles travel packed, dealt by hash; of
-    the frequent ones it is known that they meet, so these are dealt anyhow.
+    the frequent ones, and of those that a slice of a task has twice, it is known that they meet,
+    so these are dealt anyhow, but for one of each slice.
     """
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -148,6 +168,11 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 first = (rank < np.repeat(size, n)) & new[doc]
                 h, doc, late = h[first], doc[first], late[first]
+                # what meets in this slice is known to meet: dealt too, and one row of it goes where others may meet it
+                by = np.argsort(h, kind="stable")
+                again = np.zeros(len(h), bool)
+                again[by[1:]] = h[by[1:]] == h[by[:-1]]
+                late = late | again
                 turn += 1
                 to = (h % np.uint64(n_parts)).astype(np.int64)
                 to[late] = (to[late] + turn * 7919 + cls[doc[late]]) % n_parts
@@ -343,18 +368,71 @@ def _opened(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select("a", "b", "side", "rep", "tokens").mapInArrow(run, "rep long, lead long")
 
 
+#: A shingle that more sets than this have makes no pairs for a set that has enough others.
+HOT = 256
+
+
+def _ready(hits: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """hits(token, rep, n, df) without the shingles that need make no pairs, and (rep, dropped): how many went.
+
+    Two linked sets share `wanted` shingles of the matrix or more, so each may leave out its wanted - 1 most common
+    ones, in one order of all shingles: of those shared, the rarest stays in both.
+    """
+    hot = hits.where(F.col("df") > HOT)
+    rank = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("df"), "token"))
+    hot = saved(hot.withColumn("gone", rank < wanted), "hot")
+    kept = hits.where(F.col("df") <= HOT).union(hot.where("not gone").select(hits.columns))
+    return kept, hot.where("gone").groupBy("rep").agg(F.count("*").alias("dropped"))
+
+
+def _families(matrix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of families that may hold a link: matrix(token, family, lead, star, least, dropped) with itself.
+
+    The blocks of a family count as one, so a shingle of a large family of copies is one row here.
+    """
+    a, b = (matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "least", "dropped")]) for s in "ab")
+    met = a.join(b, "token").where("family_a < family_b").groupBy(F.col("family_a").alias("a"), F.col("family_b").alias("b"))
+    return _enough(met, num, den)
+
+
+def _enough(met: GroupedData, num: int, den: int) -> DataFrame:
+    got = met.agg(F.count("*").alias("got"), F.least(F.min("least_a"), F.min("least_b")).alias("n"), F.greatest(F.max("dropped_a"), F.max("dropped_b")).alias("dropped"))
+    return got.where(F.col("got") >= F.greatest(F.lit(1), need(F.col("n"), num, den) - F.col("dropped"))).select("a", "b")
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """members(group, tokens) -> (group, tokens): the matrix's rows, each group's token union, of bounded size as groups are."""
+    return members.groupBy("group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, wanted, left, right) -> (a, b) whose token unions left and right have `wanted` shingles in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+                a, b = (batch.column(c)[i].values.to_numpy() for c in ("left", "right"))
+                keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= wanted)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "wanted", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 128) -> DataFrame:
     """Components of documents linked by shingle similarity of at least num / den.
 
-    docs: doc_id (distinct, not null), text; other columns are ignored. Words are lower-cased
+    docs: doc_id (null and repeated ids are rows of their own), text; other columns are ignored. Words are lower-cased
     (A-Z) runs other than white space; a set is the distinct k-word shingles, or the whole
     sequence where there are fewer words. Returns doc_id, n_shingles, component_id for every
     row. A null text, an empty one and one of white space have the empty set, link with
-    nothing and are their own component; an empty table gives no rows.
+    nothing and are their own component; rows of equal sets are one component; an empty table gives no rows. A
+    text of any length is read whole, in one slice of a task that takes some twenty times its size.
     """
-    docs = docs.select("doc_id", "text")
-    often = frequent(docs, k)
-    ids = saved(identities(docs, k), "identities")
+    docs, known = keyed(docs.select("doc_id", "text"))
+    read = saved(profiles(docs, k), "profiles")
+    often = frequent(read.where("token is not null"))
+    ids = read.where("token is null").select("doc_id", "n", "key", "cls")
     total = ids.agg(F.sum("n")).first()[0] or 0
     classes = saved(ids.where("n > 0").groupBy("key", "cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
     met = _met(docs, k, num, den, often, int(max(16, total // 2_500_000)))
@@ -363,8 +441,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     wanted = need(F.col("n"), num, den)
     for _ in range(2):
         enough = hits.groupBy("rep", "n").agg(F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep")
-        hits = hits.drop("lead").join(enough, "rep", "left_semi")
-        low = saved(hits.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1").select("token", "lead"), "tokens")
+        hits = hits.drop("lead", "df").join(enough, "rep", "left_semi")
+        low = saved(hits.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1"), "tokens")
         hits = saved(hits.join(low, "token"), "hits")
     member = saved(hits.groupBy("rep", "n").agg(F.min("lead").alias("lead"), F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep", "lead"), "members")
     # leaders head their own group, whoever leads them elsewhere
@@ -372,32 +450,40 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     member = member.join(heads, "rep", "left").select("rep", F.when(F.col("head"), F.col("rep")).otherwise(F.col("lead")).alias("lead"))
     sets = saved(_sets(docs.hint("merge").join(member.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "lead", "text"), k), "sets")
     star = saved(_stars(sets, num, den), "stars")
-    # groups: the linked and the others of each leader, dealt into blocks of bounded size
+    # a leader's families: those linked to it and the others, dealt into groups of bounded size
     placed = sets.select("rep", "lead", "n").join(star.select("rep", F.lit(True).alias("is_star")), "rep", "left").withColumn(
         "star", F.coalesce("is_star", F.col("rep") == F.col("lead"))
     )
     dealt = placed.groupBy("lead", "star").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 500_000)).alias("parts"), F.count("*").alias("size")
     )
+    ready, dropped = _ready(hits, wanted)
     placed = saved(
-        placed.join(dealt, ["lead", "star"]).select(
-            "rep", "n", "lead", "star", "size", F.xxhash64("lead", "star", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("group")
+        placed.join(dealt, ["lead", "star"]).join(dropped, "rep", "left").select(
+            "rep", "n", F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"), "star", "size", F.xxhash64("lead", "star").alias("family"),
+            F.xxhash64("lead", "star", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("group"),
         ),
         "groups",
     )
     # a leader's own links are known: only what must still be compared stays
-    matrix = hits.select("rep", "token").join(placed.select("rep", "group", "lead", "star", "n"), "rep").groupBy("token", "group", "lead", "star").agg(F.min("n").alias("least"))
-    a, b = (matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "lead", "star", "least")]) for s in "ab")
-    pairs = (
-        a.join(b, "token")
-        .where("group_a < group_b and not (star_a and star_b and lead_a = lead_b)")
-        .groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-        .agg(F.count("*").alias("got"), F.least(F.min("least_a"), F.min("least_b")).alias("n"))
-        .where(F.col("got") >= wanted)
-        .select("a", "b")
-        .union(placed.where("not star and size > 1").select(F.col("group").alias("a"), F.col("group").alias("b")).distinct())
-    )
-    pairs = saved(pairs, "pairs")
+    matrix = ready.select("rep", "token").join(placed.drop("size"), "rep")
+    ends = [F.min("n").alias("least"), F.max("dropped").alias("dropped")]
+    families = saved(_families(matrix.groupBy("token", "family").agg(*ends), num, den), "families")
+    families = saved(families.union(placed.where("not star").select("family", F.col("family").alias("b")).distinct()), "families")
+    blocks = saved(matrix.groupBy("token", "family", "group").agg(*ends), "matrix")
+    a, b = (blocks.select("token", F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "dropped")]) for s in "ab")
+    met = a.join(families, "a").join(b, ["b", "token"]).where("a <> b or group_a < group_b")
+    pairs = saved(_enough(met.groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b")), num, den), "pairs")
+    # groups open only where their token unions allow a link between their sets
+    used = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
+    members = placed.join(used, "group", "left_semi").select("rep", "group", "n")
+    unions = saved(_unions(members.select("rep", "group").join(sets.select("rep", "tokens"), "rep")), "unions")
+    sizes = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = sizes.join(unions, "group")
+    left, right = (rows.select(F.col("group").alias(g), F.col("least").alias(f"least_{g}"), F.col("most").alias(f"most_{g}"), F.col("tokens").alias(t)) for g, t in (("a", "left"), ("b", "right")))
+    sided = pairs.join(left, "a").join(right, "b").where((F.col("least_a") * num <= F.col("most_b") * den) & (F.col("least_b") * num <= F.col("most_a") * den))
+    pairs = _bounded(sided.withColumn("wanted", F.ceil(F.greatest("least_a", "least_b") * num / den)))
+    pairs = saved(pairs.union(placed.where("not star and size > 1").select(F.col("group").alias("a"), F.col("group").alias("b")).distinct()), "open")
     ends = pairs.select("a", "b", F.col("a").alias("group"), F.lit(0).alias("side")).union(
         pairs.where("a <> b").select("a", "b", F.col("b").alias("group"), F.lit(1).alias("side"))
     )
@@ -406,4 +492,5 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     comp = components(links)
     out = ids.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left")
     out = out.join(comp, out["rep"] == comp["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return restored(out, known, "doc_id", "component_id")

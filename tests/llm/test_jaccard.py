@@ -1,5 +1,10 @@
-from helpers import corpus, docs_of, lower, words
+import random
+from collections import Counter
 
+import numpy as np
+from helpers import corpus, docs_of, edited, lower, prose, words
+
+from tallyforge.llm import jaccard
 from tallyforge.llm.jaccard import jaccard_join
 
 
@@ -33,3 +38,36 @@ def test_components_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert jaccard_join(docs_of(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_a_shingle_in_every_document_and_distinct_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rng = random.Random(11)
+    common = prose(rng, 30, 10**6)  # in every document
+    texts = []
+    for _ in range(12):  # families: near copies, and members about the threshold from one another
+        base = prose(rng, 120, 10**6)
+        texts += [f"{common} {edited(rng, base, n)}" for n in (0, 1, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8)]
+    texts += [f"{common} {prose(rng, rng.randrange(1, 12), 10**6)}" for _ in range(30)]  # hardly more than that
+    texts += [f"{prose(rng, 40, 10**6)} {common}" for _ in range(60)]
+    rng.shuffle(texts)
+    for block in (128, 3):
+        got = {tuple(r) for r in jaccard_join(docs_of(spark, texts), 4, 85, 100, block).collect()}
+        assert got == brute(texts, 4, 85, 100)
+
+
+def test_frequent_shingles_are_counted_over_the_whole_task():
+    o = jaccard.Often(most=50, pending=4000)
+    rng = np.random.default_rng(1)
+    for i in range(40):
+        h = rng.integers(0, 2**63, 500).astype(np.uint64)
+        o.add(np.append(h, np.uint64(7)) if i % 2 else h)  # once in every second slice
+    o.settle()
+    assert 7 in o.keys.tolist() and len(o.keys) <= 50 and o.counts[o.keys == 7][0] >= 10
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(5, a), (5, a), (None, a), (3, b), (9, b.upper()), (None, None), (3, "")]
+    got = Counter(tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
+    assert got == Counter([(5, 3, 5), (5, 3, 5), (None, 3, 5), (3, 2, 3), (9, 2, 3), (None, 0, None), (3, 0, 3)])
