@@ -1,16 +1,16 @@
 """Operator 2: substring dedup by seed and extend.
 
 Seeds are winnowed anchors: of every stretch of consecutive k-word hashes that one window
-spans, the smallest is kept, so equal windows keep equal anchors. Documents meet on anchors. A
-match is extended to both sides at once by the hash of its whole surroundings: where an
-earlier document has the same ones, all windows round the anchor repeat. Where surroundings
-differ, so at the ends of a repeat, the windows that hang on the anchor are compared one by
-one. The covered words together are the maximal repeats of at least a window's length.
+spans, the smallest is kept, so equal windows keep equal anchors. Documents join on anchors, and a match
+grows to the left and to the right of its anchor up to the first word that differs, as far as windows that
+hold the anchor reach. Documents with the same words all round an anchor are one: the earliest stands for
+them. The others meet the earliest document of their anchor; a match of a window's length or more is a
+repeat, and the windows beyond it go on, by the word that differed, to meet those that have the same word
+there. Overlapping matches of neighbouring anchors add up to the maximal repeats.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 from .words import Words, as_long, grams, spans, sub_batches, texts_of
 
@@ -39,8 +40,7 @@ class Anchors:
 
     def __init__(self, texts: pa.Array, window: int, k: int):
         self.words = w = Words(texts)
-        self.window, self.reach = window, window - k + 1  # anchors compared in a window
-        reach = self.reach
+        self.window, reach = window, window - k + 1  # anchors compared in a window
         at, h = grams(w, k, salt=2)[1:]
         n = len(w.hash)
         none = np.iinfo(np.uint64).max
@@ -89,8 +89,11 @@ def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, anchor long, around long")
 
 
-def _window_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """docs(doc_id, text, at) -> (doc_id, start, anchor, win): windows whose least anchor is at one of the positions `at`."""
+def _seeds(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """docs(doc_id, text, at) -> (doc_id, pos, anchor, left, right): the words before and after the anchors at positions `at`.
+
+    Hashes of words, the nearest first, no more than a window that holds the anchor can reach.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,23 +102,63 @@ def _window_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
                 asked = part.column("at")
                 where = np.asarray(asked.flatten()) + np.repeat(a.words.first[:-1], np.diff(asked.offsets.to_numpy()))
                 one = np.isin(a.at, where)
-                lo, n = a.a[one], (a.b - a.a)[one]
-                starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                h = np.repeat(a.hash[one], n)
-                hang = a.low[starts] == h
-                starts, h = starts[hang], h[hang]
-                doc = a.words.doc[starts]
+                at, doc = a.at[one], a.doc[one]
+                first, last = a.words.first[doc], a.words.first[doc + 1]
+                n_left, n_right = np.minimum(window - k, at - first), np.minimum(window - k, last - at - k)
+                left = np.repeat(at - 1 + np.cumsum(n_left) - n_left, n_left) - np.arange(n_left.sum())
+                right = np.repeat(at + k - np.cumsum(n_right) + n_right, n_right) + np.arange(n_right.sum())
+                words = as_long(a.words.hash)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pc.take(part.column("doc_id"), pa.array(doc)),
-                        pa.array((starts - a.words.first[doc]).astype(np.int32)),
-                        pa.array(as_long(h)),
-                        pa.array(as_long(spans(a.words, starts, starts + window)) if len(starts) else np.zeros(0, np.int64)),
+                        pc.take(part.column("doc_id"), pa.array(doc)), pa.array((at - first).astype(np.int32)), pa.array(as_long(a.hash[one])),
+                        *(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(words[i])) for n, i in ((n_left, left), (n_right, right))),
                     ],
-                    ["doc_id", "start", "anchor", "win"],
-                )
+                    ["doc_id", "pos", "anchor", "left", "right"],
+                )
+
+    return docs.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, pos int, anchor long, left array<long>, right array<long>")
+
+
+def _common(a: str, b: str) -> F.Column:
+    """How many elements from the first on two arrays have in common."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    return F.when(differ == 0, F.least(F.size(a), F.size(b))).otherwise(differ - 1)
 
-    return docs.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, start int, anchor long, win long")
+
+def extended(seeds: DataFrame, window: int, k: int) -> DataFrame:
+    """seeds(doc_id, pos, anchor, left, right) -> (doc_id, from, to): words that repeat an earlier document's, a window or more.
+
+    Each round compares a seed with the earliest one of its group, at first all seeds of an anchor. Windows are
+    known by how many words they begin before the anchor. Those that the match covers are settled; those that begin
+    before it go on with the seeds that have the same word before it, those that end behind it with the same
+    word behind it. A group's match grows by a word each round, so 2 * (window - k) rounds are the most.
+    """
+    spare = window - k
+    open_ = seeds.select(
+        F.col("anchor").alias("group"), "doc_id", "pos", "left", "right", F.greatest(F.lit(0), spare - F.size("right")).alias("lo"), F.least(F.lit(spare), F.size("left")).alias("hi")
+    ).where("lo <= hi")
+    found = None
+    while True:
+        head = open_.groupBy("group").agg(F.min_by(F.struct("doc_id", "left", "right"), F.struct("doc_id", "pos")).alias("o"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        # what is joined on a key that very many rows may have is read from tables, so that the key's rows can be split
+        head = saved(head.where("first < last").select("group", F.col("first").alias("owner"), F.col("o.left").alias("o_left"), F.col("o.right").alias("o_right")), "heads")
+        if head.isEmpty():
+            break
+        met = open_.join(head, "group").withColumns({"l": _common("left", "o_left"), "r": _common("right", "o_right")}).drop("o_left", "o_right")
+        met = saved(met, "met")
+        match = met.where((F.col("owner") < F.col("doc_id")) & (F.col("l") + F.col("r") >= spare)).select("doc_id", (F.col("pos") - F.col("l")).alias("from"), (F.col("pos") + k + F.col("r")).alias("to"))
+        found = match if found is None else found.union(match)
+        sides = {
+            "L": ("left", "l", F.greatest("lo", F.col("l") + 1), F.col("hi")),
+            "R": ("right", "r", F.col("lo"), F.least("hi", "l", spare - 1 - F.col("r"))),
+        }
+        rest = None
+        for side, (words, at, lo, hi) in sides.items():
+            one = met.withColumns({"lo": lo, "hi": hi}).where("lo <= hi")
+            one = one.select(F.xxhash64("group", F.lit(side), at, F.get(words, F.col(at))).alias("group"), "doc_id", "pos", "left", "right", "lo", "hi")
+            rest = one if rest is None else rest.union(one)
+        open_ = rest
+    return found if found is not None else open_.select("doc_id", F.col("lo").alias("from"), F.col("hi").alias("to")).limit(0)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -150,34 +193,37 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
-    """Removes words covered by a `window`-word sequence that also starts in an earlier document.
+def repeats(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
+    """(doc_id, from, to): stretches of words, of `window` or more, that also stand in a document with a smaller doc_id.
 
-    docs: doc_id (distinct, not null), text; other columns are ignored. Earlier means a smaller
-    doc_id. Windows are judged on the input, not on what is left; repeats within one document
-    stay. Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) for every row. A
-    null or empty text has no word and an empty kept_text; texts shorter than a window keep all;
-    an empty table gives no rows. Keys are two 64-bit hashes.
+    Stretches reach as far as the windows of one anchor; together they cover the maximal repeats. doc_id is distinct and not null.
     """
-    docs = docs.select("doc_id", "text")
     rows = saved(_anchor_rows(docs, window, k), "anchors")
     reach = window - k + 1
-    # what is joined on a key that very many rows may have is read from tables, so that the key's rows can be split
     met = rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
     rows = saved(rows.join(saved(met, "met"), "anchor"), "shared")
-    kinds = saved(rows.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner")), "kinds")
-    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    kinds = saved(kinds.join(several, "anchor", "left"), "kinds")
-    rows = saved(rows.join(kinds, ["anchor", "around"]), "owned")
-    # the same surroundings in an earlier document: all windows round the anchor repeat
-    inner = rows.where("owner < doc_id").select(
+    # the same words all round: the earliest document stands for the others, whose match reaches as far as windows do
+    kinds = saved(rows.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("o")).select("anchor", "around", F.col("o.doc_id").alias("owner"), F.col("o.pos").alias("owner_pos")), "kinds")
+    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "several")
+    inner = rows.join(kinds, ["anchor", "around"]).where("owner < doc_id").select(
         "doc_id", F.greatest(F.col("pos") - reach + 1, F.lit(0)).alias("from"), (F.col("pos") + window).alias("to")
     )
-    # different surroundings: one document of each kind shows its windows
-    asked = rows.where("owner = doc_id and kinds > 1").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    wins = saved(_window_rows(docs.hint("merge").join(asked, "doc_id"), window, k), "windows")
-    owner = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
-    owner = saved(owner, "owners")
-    outer = wins.join(owner, ["anchor", "win"]).where("owner < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-    gone = inner.union(outer).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
-    return _cut(docs.hint("merge").join(gone, "doc_id", "left"))
+    # different words somewhere: the earliest of each kind extend their matches with one another
+    asked = kinds.join(several, "anchor", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("owner_pos").alias("at"))
+    seeds = saved(_seeds(docs.hint("merge").join(asked, "doc_id"), window, k), "seeds")
+    return inner.union(extended(seeds, window, k))
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
+    """Removes words covered by a `window`-word sequence that also starts in an earlier document.
+
+    docs: doc_id (null and repeated ids are rows of their own, null after all others), text; other columns are ignored. Earlier means a smaller
+    doc_id. Windows are judged on the input, not on what is left; repeats within one row
+    stay. Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) for every row. A
+    null or empty text has no word and an empty kept_text; texts shorter than a window keep all;
+    an empty table gives no rows. Keys are 64-bit hashes of words and of runs of words. A text of any length is read
+    whole, in one slice of a task that takes some twenty times its size.
+    """
+    docs, ids = keyed(docs.select("doc_id", "text"))
+    gone = repeats(docs, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
+    return restored(_cut(docs.hint("merge").join(gone, "doc_id", "left")), ids)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from helpers import corpus, docs_of, prose, words
@@ -50,3 +51,27 @@ def test_slide():
     for size in (1, 5, 57):
         for f in (np.minimum, np.maximum):
             assert _slide(x, size, f).tolist() == [int(f.reduce(x[i : i + size])) for i in range(len(x) - size + 1)]
+
+
+def test_matches_grow_through_other_documents(spark):
+    """The earliest document of an anchor shares little; later ones share more with one another, on one side or on both."""
+    rng = random.Random(9)
+    core = prose(rng, 30, 10**6).split(" ")
+    texts = []
+    sides = [prose(rng, 40, 10**6).split(" ") for _ in range(4)]
+    for i in range(40):
+        a, b = rng.randrange(41), rng.randrange(41)
+        left, right = rng.choice(sides), rng.choice(sides)
+        texts.append(" ".join([*prose(rng, 5, 10**6).split(" "), *left[40 - a :], *core, *right[:b], *prose(rng, 5, 10**6).split(" ")]))
+    docs = docs_of(spark, texts)
+    got = sorted(tuple(r) for r in substring_dedup(docs).collect())
+    assert got == brute(texts, 50) and sum(r[2] > 0 for r in got) > 10
+
+
+def test_null_and_repeated_ids(spark):
+    p = prose(random.Random(4), 60, 10**6)
+    rows = [(7, p), (7, "x " + p), (None, p), (2, "a"), (None, None), (2, "a")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got.values()) == 6 and got[(2, 1, 0)] == 2 and got[(None, 0, 0)] == 1 and got[(None, 60, 60)] == 1
+    # of two rows with one id, one comes first
+    assert (got[(7, 60, 0)], got[(7, 61, 60)]) in ((1, 1), (0, 0)) and (got[(7, 60, 60)], got[(7, 61, 0)]) in ((1, 1), (0, 0))
