@@ -9,6 +9,9 @@ where the normalised bytes of both rows are compared.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,11 +27,6 @@ def normalised(text: str = "text") -> F.Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the normalised text; a null text counts as empty."""
-    return docs.select("doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"))
-
-
 def _hashes(keys: np.ndarray, seed: int, seg: int, n_seg: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     u = np.uint64
     h = keys ^ u(seed)
@@ -147,6 +145,59 @@ def shares(n_old: int, n_new: int, keys: int) -> tuple[int, int]:
     return n_buckets, max(1, -(-n_new // (n_buckets * keys)))
 
 
+class Digested(NamedTuple):
+    """Texts with their digests, in tables: docs(doc_id, text), rows(doc_id, digest), groups(digest, first, n)."""
+
+    docs: DataFrame
+    rows: DataFrame
+    groups: DataFrame
+
+
+class Snapshot(NamedTuple):
+    """An immutable snapshot: its texts and digests, and a filter for each bucket of digests, made once for any number of batches."""
+
+    old: Digested
+    filters: DataFrame
+    n_keys: int
+
+
+def digested(docs: DataFrame) -> Digested:
+    """docs(doc_id, text) read once; doc_id is distinct and not null."""
+    rows = saved(docs.select("doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
+    return Digested(docs.select("doc_id", "text"), rows, saved(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups"))
+
+
+def snapshot(docs: DataFrame, keys_a_bucket: int = 20_000) -> Snapshot:
+    """A snapshot of docs(doc_id, text), written to the shared folder with its filters; doc_id is distinct and not null."""
+    old = digested(docs)
+    n = old.groups.count()
+    return Snapshot(old, saved(snapshot_filters(old.groups.select("digest"), shares(n, 0, keys_a_bucket)[0]), "filters"), n)
+
+
+def known(new: Digested, snap: Snapshot, keys_a_bucket: int = 20_000) -> DataFrame:
+    """(digest, same) of the batch's texts that the snapshot has too: filter, exact bucket, bytes of one row of each side."""
+    n_buckets, n_salts = shares(snap.n_keys, new.groups.count(), keys_a_bucket)
+    passed = screened(new.groups.select("digest"), snap.filters, n_buckets, n_salts)
+    # the exact bucket: the snapshot's row of the same digest, then the bytes of both
+    met = saved(
+        passed.join(new.groups.select("digest", F.col("first").alias("new_first")), "digest").join(snap.old.groups.select("digest", F.col("first").alias("old_first")), "digest"), "met"
+    )
+    sides = [side.docs.hint("merge").join(met.select("digest", F.col(name).alias("doc_id")), "doc_id") for side, name in ((new, "new_first"), (snap.old, "old_first"))]  # one plan at every size
+    return sides[0].union(sides[1]).groupBy("digest").agg(F.min(normalised()).alias("a"), F.max(normalised()).alias("b")).where("a = b").select("digest", F.lit(True).alias("same"))
+
+
+def arrivals(batch: DataFrame, snap: Snapshot, keys_a_bucket: int = 20_000) -> DataFrame:
+    """batch(doc_id, text) against a snapshot made before: doc_id, known (the snapshot has the text), first (the batch's smallest doc_id with it), kept.
+
+    Null and repeated ids are rows of their own, and first is null only where all ids are. kept: not known, and the row that comes first.
+    """
+    batch, ids = keyed(batch.select("doc_id", "text"))
+    new = digested(batch)
+    groups = new.groups.join(known(new, snap, keys_a_bucket), "digest", "left")
+    out = new.rows.join(saved(groups, "groups"), "digest").select("doc_id", F.coalesce("same", F.lit(False)).alias("known"), "first", (F.col("same").isNull() & (F.col("doc_id") == F.col("first"))).alias("kept"))
+    return restored(out, ids, "doc_id", "first")
+
+
 def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -> DataFrame:
     """Exact duplicates over a snapshot and an incoming batch.
 
@@ -156,33 +207,14 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
     equal to one another. Returns doc_id, keep_id (the smallest doc_id of equal texts, null only if all
     are), group_size, kept (doc_id = keep_id, so null for a null id), text_sha256 for every row; an empty
     table gives no rows. Without a
-    snapshot row, the batch is grouped on its own.
+    snapshot row, the batch is grouped on its own. A text of any length is digested whole.
     """
     docs, ids = keyed(docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old")))
-    d = saved(docs.select("old", "doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
-    group = d.groupBy("digest", "old").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    old, new = group.where("old"), group.where("not old")
-    sides = d.agg(F.count_if("old").alias("old"), F.count_if(~F.col("old")).alias("new")).first()
-    n_buckets, n_salts = shares(sides["old"], sides["new"], keys_a_bucket)
-    filters = snapshot_filters(old.select("digest"), n_buckets)
-    passed = screened(new.select("digest"), filters, n_buckets, n_salts)
-    # the exact bucket: the snapshot's row of the same digest, then the bytes of both
-    met = saved(
-        passed.join(new.select("digest", F.col("first").alias("new_first")), "digest").join(
-            old.select("digest", F.col("first").alias("old_first")), "digest"
-        ),
-        "met",
-    )
-    side = met.select("digest", F.explode(F.array("new_first", "old_first")).alias("doc_id"))
-    same = (
-        docs.select("doc_id", "text").hint("merge").join(side, "doc_id")  # one plan at every size
-        .groupBy("digest")
-        .agg(F.min(normalised()).alias("a"), F.max(normalised()).alias("b"))
-        .where("a = b")
-        .select("digest", F.lit(True).alias("same"))
-    )
+    snap, new = snapshot(docs.where("old"), keys_a_bucket), digested(docs.where("not old"))
+    both = [(snap.old, True), (new, False)]
+    group, d = (reduce(DataFrame.union, [getattr(x, name).withColumn("old", F.lit(old)) for x, old in both]) for name in ("groups", "rows"))
     whole = (
-        group.join(same, "digest", "left")
+        group.join(known(new, snap, keys_a_bucket), "digest", "left")
         # rows that share a digest but not their bytes stay apart, each on its own side
         .withColumn("side", F.when(F.col("same"), F.lit("both")).otherwise(F.col("old").cast("string")))
         .groupBy("digest", "side")
@@ -200,6 +232,6 @@ def dedup(docs: DataFrame, in_snapshot: F.Column, keys_a_bucket: int = 20_000) -
 
 
 def halves(docs: DataFrame) -> F.Column:
-    """The condition that parts documents into an older half of the id range, as a snapshot, and a new batch."""
-    ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    return F.lit(False) if ends["a"] is None else F.col("doc_id") <= F.lit((ends["a"] + ends["b"]) // 2)
+    """The condition that parts documents into an older half of the rows by id, as a snapshot, and a new batch."""
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5, 1000).alias("m")).first()["m"]
+    return F.lit(False) if middle is None else F.col("doc_id") <= F.lit(middle)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .rows import keyed, restored
+from .rows import keyed, prefixed, restored, running
 from .scratch import saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -32,23 +32,16 @@ def targets(sized: DataFrame, weights: tuple[int, ...], times: int) -> DataFrame
     shared by weight; a target stops at `times` its source's size and what it leaves is
     shared again by weight among the others. One pass over the sources ordered by the level at which they stop.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    s = s.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).withColumn("one", F.lit(1))
+    s = prefixed(s, [F.col("source").isNull(), "source"], {"rank": "one"}).drop("one")
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * times).withColumn("stop", F.col("cap") / F.col("weight"))
-    everything = W.partitionBy()
-    order = W.orderBy("stop", "rank")
-    s = s.withColumns(
-        {
-            "total": F.sum("source_size").over(everything),
-            "before": F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-            "weight_left": F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)),
-        }
-    )
-    s = s.withColumn("level", (F.col("total") - F.col("before")) / F.col("weight_left"))
+    s = saved(prefixed(s, ["stop", "rank"], {"before": "cap", "weight_before": "weight"}), "levels")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole["size"]) - F.col("before")) / (F.lit(whole["weight"]) - F.col("weight_before"))
     # the level of the first source that does not stop below it holds for all after it
-    s = s.withColumn("level", F.min_by(F.when(F.col("stop") >= F.col("level"), F.col("level")), F.when(F.col("stop") >= F.col("level"), F.struct("stop", "rank"))).over(everything))
-    target = F.least(F.col("weight") * F.coalesce("level", F.lit(0.0)), F.col("cap").cast("double"))
+    level = s.select("stop", "rank", level.alias("level")).where("stop >= level").agg(F.min_by("level", F.struct("stop", "rank")).alias("level")).first()["level"]
+    target = F.least(F.col("weight") * F.lit(float(level or 0.0)), F.col("cap").cast("double"))
     return s.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 
@@ -66,8 +59,8 @@ def shard_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """plan(rank, slots) -> (shard, rank, n): slots of each source in each shard, `slots` in all."""
     spark = plan.sparkSession
     total = plan.agg(F.sum("slots")).first()[0] or 0
-    ends = plan.select("rank", "slots", F.sum("slots").over(W.orderBy("rank")).alias("hi")).where("slots > 0")
-    ends = ends.select("rank", ((F.col("hi") - F.col("slots")) / F.lit(total)).alias("lo"), (F.col("hi") / F.lit(total)).alias("hi"))
+    ends = running(plan.where("slots > 0"), [], "rank", "slots", "lo")
+    ends = ends.select("rank", (F.col("lo") / F.lit(total)).alias("lo"), ((F.col("lo") + F.col("slots")) / F.lit(total)).alias("hi"))
     slots = spark.range(0, total, 1, 1 + total // 200_000).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod("id", F.lit(shard_slots)).alias("slot"))
     slots = slots.select("shard", _unit(F.lit(seed), F.lit("slot"), F.col("shard"), F.col("slot")).alias("u"))
     # the draw: a slot's number falls into one source's part of [0, 1); met through cells of equal width
@@ -81,26 +74,24 @@ def shard_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         .agg(F.count("*").alias("c"))
     )
     drawn = saved(drawn.join(plan.select("rank", "slots"), "rank"), "drawn")
-    before = F.coalesce(F.sum("c").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    held = drawn.withColumn("keep", F.greatest(F.lit(0), F.least(F.col("c"), F.col("slots") - before)))
+    held = running(drawn, ["rank"], "shard", "c", "before")
+    held = saved(held.withColumn("keep", F.greatest(F.lit(0), F.least(F.col("c"), F.col("slots") - F.col("before")))), "held")
     # surplus slots, shard by shard, go to the sources still short, source by source: both are runs
-    # of one line of numbers, cut at the ends of either
+    # of one line of numbers, which meet in cells of equal width
     over = held.groupBy("shard").agg(F.sum(F.col("c") - F.col("keep")).alias("n")).where("n > 0")
-    over = over.select(F.lit(None).cast("int").alias("rank"), "shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("at"))
     kept = held.groupBy("rank").agg(F.sum("keep").alias("kept"))
     short = plan.join(kept, "rank", "left").select("rank", (F.col("slots") - F.coalesce("kept", F.lit(0))).alias("n")).where("n > 0")
-    whole = F.sum("n").over(W.partitionBy())
-    short = short.select("rank", F.lit(None).cast("long").alias("shard"), (F.sum("n").over(W.orderBy("rank")) - F.col("n")).alias("at"), whole.alias("end"))
-    cuts = over.withColumn("end", F.lit(None).cast("long")).unionByName(short)
-    line = W.orderBy("at", F.col("rank").isNull())
-    cuts = cuts.select(
-        F.last("rank", True).over(line).alias("rank"),
-        F.last("shard", True).over(line).alias("shard"),
-        "at",
-        F.coalesce(F.lead("at").over(line), F.max("end").over(W.partitionBy())).alias("to"),
-    ).where("to > at and shard is not null and rank is not null")
-    more = cuts.select("shard", "rank", (F.col("to") - F.col("at")).alias("n"))
-    return held.select("shard", "rank", F.col("keep").alias("n")).union(more).groupBy("shard", "rank").agg(F.sum("n").alias("n")).where("n > 0")
+    width = 1 + (over.agg(F.sum("n")).first()[0] or 0) // cells
+
+    def runs(df: DataFrame, place: str, start: str, end: str) -> DataFrame:
+        df = running(df, [], place, "n", start).withColumn(end, F.col(start) + F.col("n"))
+        first, last = (F.floor(x / width) for x in (F.col(start), F.col(end) - 1))
+        return df.select(place, start, end, F.explode(F.sequence(first, last)).alias("cell"))
+
+    cuts = runs(over, "shard", "at", "to").join(small(runs(short, "rank", "a", "b")), "cell")
+    low, high = F.greatest("at", "a"), F.least("to", "b")
+    cuts = cuts.where((low < high) & (F.col("cell") == F.floor(low / width))).select("shard", "rank", (high - low).alias("n"))
+    return held.select("shard", "rank", F.col("keep").alias("n")).union(cuts).groupBy("shard", "rank").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def permuted(x: F.Column, n: F.Column, *key: F.Column, rounds: int = 24) -> F.Column:
@@ -138,10 +129,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
         "sources",
     )
     counts = shard_counts(s.select("rank", "slots"), shard_slots, seed)
-    base = F.sum("n").over(W.partitionBy("rank").orderBy("shard")) - F.col("n")
-    # few rows that unfold into many: dealt first to as many tasks as the slots ask for, and never broadcast
-    n_tasks = 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000
-    counts = counts.withColumn("base", base).repartition(int(n_tasks), "shard", "rank")
+    # few rows that unfold into many: dealt first to as many tasks as the slots ask for, 20,000 at most, and never broadcast
+    n_tasks = min(20_000, 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000)
+    counts = running(counts, ["rank"], "shard", "n", "base").repartition(int(n_tasks), "shard", "rank")
     slots = counts.select("shard", "rank", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("slot"))
     at = slots.join(small(s.select("rank", "blocks")), "rank")
     placed = at.select(
@@ -156,7 +146,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
         "doc_id", "size", "source_size", "target", "rank", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / 5000)).alias("bucket")
     )
     buckets = in_source.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
-    buckets = buckets.select("rank", "bucket", (F.sum("held").over(W.partitionBy("rank").orderBy("bucket")) - F.col("held")).alias("head"))
+    buckets = running(buckets, ["rank"], "bucket", "held", "head").drop("held")
     offset = F.col("head") + F.sum("size").over(W.partitionBy("rank", "bucket").orderBy("doc_id")) - F.col("size")
     laid = saved(in_source.join(buckets.hint("merge"), ["rank", "bucket"]).select("doc_id", "size", "source_size", "target", "rank", offset.alias("offset")), "laid")
     # hints: numbers of rows that unfold are not to be guessed from

@@ -33,6 +33,20 @@ def prefixed(df: DataFrame, order: list[Column | str], sums: dict[str, str]) ->
     return out.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_held_{n}") + F.col(f"_all_{n}")).alias(n) for n in sums])
 
 
+def running(df: DataFrame, by: list[str], place: str, value: str, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows of the same by at smaller places, whole numbers that differ within by.
+
+    Sums of whole slices of 4,096 places come first: a task sees one slice, or one row for each slice of its by.
+    """
+    rows = df.withColumn("_slice", F.shiftright(F.col(place).cast("long"), 12))
+    held = rows.groupBy(*by, "_slice").agg(F.sum(value).alias("_held"))
+    ahead = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(*by, "_slice", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*by, "_slice").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(held, [*by, "_slice"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+
+
 def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
     """(docs with a distinct key that is not null, ids(row, id) of what stood there before).
 
