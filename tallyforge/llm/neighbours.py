@@ -8,26 +8,33 @@ give the wanted recall on the sample, and is reranked there by exact cosine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import keyed, restored
 from .scratch import saved
 
 
 def graph(unit: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row of unit vectors."""
-    sim = unit @ unit.T
-    np.fill_diagonal(sim, -2)
-    return np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    out = np.zeros((len(unit), k), np.int64)
+    for at in range(0, len(unit), 2048):
+        sim = unit[at : at + 2048] @ unit.T
+        sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
+        out[at : at + 2048] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    return out
 
 
 def others(asking: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
     """The k nearest rows of unit vectors for each asking one."""
     k = min(k, len(unit))
-    return np.argpartition(-(asking @ unit.T), k - 1, axis=1)[:, :k]
+    parts = [np.argpartition(-(asking[at : at + 2048] @ unit.T), k - 1, axis=1)[:, :k] for at in range(0, len(asking), 2048)]
+    return np.concatenate([np.zeros((0, k), np.int64), *parts])
 
 
 def balanced_parts(unit: np.ndarray, near: np.ndarray, n_parts: int) -> np.ndarray:
@@ -127,86 +134,120 @@ def probes_for(home: np.ndarray, near: np.ndarray, scores: np.ndarray, wanted: f
     return int(np.searchsorted(got, wanted) + 1) if got[-1] >= wanted else n_parts
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in rows])
-    x = x / np.abs(x).max(1, keepdims=True)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to about 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def fitted(some: np.ndarray, n_parts: int, recall: float) -> tuple[Router, int]:
+    """(router, probes) from a sample: each fifth row is held out of the router, and says how many parts to search."""
+    unit = _unit(some)
+    out = np.arange(len(unit)) % 5 == 4
+    unit, held = unit[~out], unit[out]
+    n_parts = max(1, min(n_parts, len(unit) // 8))
+    near = graph(unit, min(10, len(unit) - 1)) if len(unit) > 1 else np.zeros((1, 0), int)
+    net = Router(unit.shape[1], n_parts).fit(unit, balanced_parts(unit, near, n_parts))
+    return net, probes_for(net.score(unit).argmax(1), others(held, unit, 10), net.score(held), recall)
+
+
+def best_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, cosine) of the k nearest rows of x for each row of q, other than the one of its id; ties to the smaller id."""
+    near = _unit(q) @ _unit(x).T
+    same = qids[:, None] == ids[None, :]
+    near[same] = -2
+    m = min(k, near.shape[1])
+    # all that could be among the first k: products of matrices differ in the last digits
+    least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m, None] - 1e-9
+    i, j = np.nonzero((near >= least) & ~same)
+    a, b = _scaled(q)[i], _scaled(x)[j]
+    score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.searchsorted(i, i)
+    keep = np.arange(len(i)) - first < k
+    return qids[i[keep]], ids[j[keep]], score[keep]
+
+
 def nearest(
-    vectors: DataFrame, is_query, k: int = 5, sample: int = 4096, rows_a_part: int = 1500, most_parts: int = 64, recall: float = 0.985, block: int = 8192
+    vectors: DataFrame, is_query, k: int = 5, rows_a_part: int = 1500, sample_a_part: int = 160, least_sample: int = 5120, most_sample: int = 65_536, recall: float = 0.985, block: int = 8192
 ) -> DataFrame:
     """The k nearest rows, by cosine, of each query row.
 
-    vectors: vec_id (distinct), embedding (array of numbers); other columns are ignored. is_query: a
+    vectors: vec_id (null takes no part, rows of a repeated id are rows of their own), embedding (array of numbers); other columns are ignored. is_query: a
     condition on vec_id. Returns query_id, rank, vec_id, score for the nearest found, ties to
-    the smaller vec_id, never the query itself; all others where there are no more than k.
-    Rows with a null vec_id, and vectors that are null, zero, of another length than most or
-    have null or non-finite components, take no part; without vectors there are no rows.
-    The sample, of at most `sample` rows by hash, shapes parts and router, and rows held out of it set the number of
-    parts searched; every row is indexed. score is the cosine of the original vectors in double precision.
+    the smaller vec_id, never the query row itself; all others where there are no more than k. Vectors that are null, zero, of another length than most or
+    have null or non-finite components take no part; without vectors there are no rows.
+    There is a part for every rows_a_part rows. A sample by hash, of sample_a_part rows for each part but at least least_sample and
+    at most most_sample, shapes parts and router; it bounds the parts to an eighth of it, beyond which parts grow.
+    Every row is indexed. score is the cosine of the original vectors in double precision.
     """
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows, known = keyed(rows, "vec_id")
     total = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     spark = vectors.sparkSession
     if total is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == total["d"])
-    # a row more for every four of the sample is held out of the router, and says how many parts to search
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample + sample // 4).toPandas()
-    unit = _unit(some["v"])
-    out = np.arange(len(unit)) % 5 == 4
-    unit, held = unit[~out], unit[out]
-    n_parts = int(max(1, min(most_parts, total["n"] // rows_a_part + 1, len(unit) // 8)))
-    near = graph(unit, min(10, len(unit) - 1)) if len(unit) > 1 else np.zeros((1, 0), int)
-    part = balanced_parts(unit, near, n_parts)
-    net = Router(unit.shape[1], n_parts).fit(unit, part)
-    probes = probes_for(net.score(unit).argmax(1), others(held, unit, 10), net.score(held), recall)
+    n_parts = total["n"] // rows_a_part + 1
+    size = min(most_sample, max(least_sample, n_parts * sample_a_part))
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").toArrow()["v"].combine_chunks()
+    net, probes = fitted(_rows(some), n_parts, recall)
+    n_parts = net.w[3].size
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = net.score(_unit(b["v"]))
-            b["part"] = s.argmax(1).astype(np.int32)
-            b["order"] = list(np.argsort(-s, axis=1, kind="stable").astype(np.int32))
-            yield b
+            if b.num_rows:
+                part = net.score(_unit(_rows(b.column("v")))).argmax(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], [*b.schema.names, "part"])
+
+    indexed = saved(rows.mapInArrow(place, "vec_id long, v array<double>, asks boolean, part int"), "indexed")
+    # one number for each part
+    held = np.zeros(n_parts, np.int64)
+    for r in indexed.groupBy("part").agg(F.count("*").alias("n")).collect():
+        held[r["part"]] = r["n"]
 
-    indexed = saved(rows.mapInPandas(place, "vec_id long, v array<double>, part int, order array<int>"), "indexed")
-    held = indexed.groupBy("part").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                order = np.argsort(-net.score(_unit(_rows(b.column("v")))), axis=1, kind="stable")
+                # `probes` parts, and more as long as those hold too few rows
+                ahead = np.cumsum(held[order], axis=1) - held[order]
+                i, j = np.nonzero((np.arange(n_parts)[None, :] < probes) | (ahead < 4 * (k + 1)))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(i)), b.column("v").take(pa.array(i)), pa.array(order[i, j], pa.int32())], ["query_id", "qv", "part"])
+
+    asked = saved(indexed.where("asks").select("vec_id", "v").mapInArrow(ask, "query_id long, qv array<double>, part int"), "asked")
     # parts of any size are searched in blocks: a salt for the rows, another for the queries
-    cuts = saved(held.select("part", F.ceil(F.col("n") / block).alias("n_salts"), "n"), "cuts")
-    # a query asks its `probes` parts, and more as long as those hold too few rows
-    asked = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.posexplode("order").alias("depth", "part")).join(cuts, "part")
-    ahead = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    asked = asked.withColumn("ahead", ahead).where((F.col("depth") < probes) | (F.col("ahead") < 4 * (k + 1)))
-    q_cuts = asked.groupBy("part").agg(F.ceil(F.count("*") / block).alias("q_salts"))
-    asked = asked.join(q_cuts, "part").select(
-        "query_id", "qv", F.col("part").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_salts") - 1)).alias("salt"), F.pmod(F.xxhash64("query_id"), F.col("q_salts")).alias("q_salt")
-    )
-    index = indexed.join(cuts.select("part", "n_salts"), "part").join(q_cuts, "part").select(
-        "vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), F.col("n_salts")).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_salts") - 1)).alias("q_salt")
-    )
-
-    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+    cuts = indexed.groupBy("part").agg(F.ceil(F.count("*") / block).alias("n_salts"))
+    cuts = saved(cuts.join(asked.groupBy("part").agg(F.ceil(F.count("*") / block).alias("q_salts")), "part"), "cuts")
+
+    def each(salts: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(salts) - 1))
+
+    asked = asked.join(cuts, "part").select("query_id", "qv", "part", each("n_salts").alias("salt"), F.pmod(F.xxhash64("query_id"), F.col("q_salts")).alias("q_salt"))
+    index = indexed.join(cuts, "part").select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), F.col("n_salts")).alias("salt"), each("q_salts").alias("q_salt"))
+
+    def search(q: pa.Table, x: pa.Table) -> pa.Table:
         found = []
-        if len(q) and len(x):
-            a, ids = np.stack(list(x["v"])), x["vec_id"].to_numpy()
-            norm, unit = np.sqrt((a * a).sum(1)), _unit(x["v"])
-            for at in range(0, len(q), 512):
-                part = q.iloc[at : at + 512]
-                near = _unit(part["qv"]) @ unit.T
-                near[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -2
-                m = min(k, near.shape[1])
-                # all that could be among the first k: products of matrices differ in the last digits
-                least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m] - 1e-9
-                for i, (qid, v) in enumerate(zip(part["query_id"], part["qv"], strict=True)):
-                    c = np.flatnonzero((near[i] >= least[i]) & (ids != qid))
-                    score = (a[c] * v).sum(1) / (norm[c] * np.sqrt((v * v).sum()))
-                    best = np.lexsort((ids[c], -score))[:k]
-                    found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[c][best], "score": score[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if q.num_rows and x.num_rows:
+            a, ids = _rows(x["v"].combine_chunks()), x["vec_id"].to_numpy()
+            for at in range(0, q.num_rows, 512):
+                part = q.slice(at, 512)
+                found.append(best_of(_rows(part["qv"].combine_chunks()), part["query_id"].to_numpy(), a, ids, k))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     key = ("part", "salt", "q_salt")
-    hits = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    hits = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return restored(out, known, "query_id", "vec_id")

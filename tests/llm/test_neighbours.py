@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm.neighbours import Router, balanced_parts, graph, nearest, others, probes_for
@@ -28,7 +29,7 @@ def test_recall_scores_and_ties(spark):
     bad = [(10001, None), (10003, [0.0] * 16), (10005, [float("nan")] * 16), (10007, [1.0] * 3), (10009, [None] * 16), (None, [1.0] * 16), (10011, [float("inf")] * 16)]
     df = table(spark, x, ids, bad)
     got = {}
-    for r in nearest(df, F.col("vec_id") % 20 == 0, sample=1000, rows_a_part=300, block=500).collect():
+    for r in nearest(df, F.col("vec_id") % 20 == 0, least_sample=1250, sample_a_part=16, rows_a_part=300, block=500).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     x = x.astype(np.float64)
     want = brute(x, ids, [int(i) for i in ids if i % 20 == 0], 5)
@@ -55,6 +56,17 @@ def test_few_rows_and_none(spark):
     assert nearest(table(spark, x[:1], np.array([0])), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_large_and_tiny_components_and_repeated_ids(spark):
+    rows = [(0, [1e200, 1e200]), (50, [1e-200, -1e-201]), (7, [3.0, 4.0]), (7, [4.0, 3.0]), (None, [1.0, 1.0]), (100, [1e300, 0.0])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = [(0, (1, 1)), (50, (10, -1)), (7, (3, 4)), (7, (4, 3)), (100, (1, 0))]
+    for q, v in ((0, (1, 1)), (50, (10, -1)), (100, (1, 0))):
+        want = sorted(((-(v[0] * w[0] + v[1] * w[1]) / (np.hypot(*v) * np.hypot(*w)), i) for i, w in x if i != q))
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-c)) for c, i in want]
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(0, 1, (999, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
