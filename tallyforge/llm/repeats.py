@@ -12,6 +12,7 @@ there. Overlapping matches of neighbouring anchors add up to the maximal repeats
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .rows import keyed, restored
 from .scratch import saved
-from .words import Words, as_long, grams, spans, sub_batches, texts_of
+from .words import Words, as_long, grams, mix, spans, sub_batches, texts_of
 
 
 def _slide(x: np.ndarray, size: int, f: np.ufunc) -> np.ndarray:
@@ -125,25 +126,104 @@ def _common(a: str, b: str) -> F.Column:
     return F.when(differ == 0, F.least(F.size(a), F.size(b))).otherwise(differ - 1)
 
 
-def extended(seeds: DataFrame, window: int, k: int) -> DataFrame:
+def _square(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of equal width, the length of each) of lists no longer than that."""
+    n = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(n), width), np.int64)
+    out[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+    return out, n
+
+
+def _grown(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], lo: np.ndarray, hi: np.ndarray, k: int) -> list[np.ndarray]:
+    """The rounds of extended() for groups that are there whole: [doc_id, from, to]."""
+    spare = sides[0][0].shape[1]
+    row = np.arange(len(doc))
+    out: list[list[np.ndarray]] = [[], [], []]
+    while len(row):
+        order = np.lexsort((pos[row], doc[row], group))
+        group, row, lo, hi = group[order], row[order], lo[order], hi[order]
+        new = np.ones(len(row), bool)
+        new[1:] = group[1:] != group[:-1]
+        start = np.flatnonzero(new)
+        at = np.cumsum(new) - 1
+        last = np.append(start[1:], len(row)) - 1
+        several = (doc[row[start]] < doc[row[last]])[at]
+        group, row, lo, hi, owner = group[several], row[several], lo[several], hi[several], row[start][at][several]
+        reach = []
+        for words, n in sides:
+            differ = np.ones((len(row), spare + 1), bool)
+            differ[:, :spare] = (words[row] != words[owner]) | (np.arange(spare) >= np.minimum(n[row], n[owner])[:, None])
+            reach.append(differ.argmax(1))
+        l, r = reach
+        hit = (doc[owner] < doc[row]) & (l + r >= spare)
+        for o, x in zip(out, (doc[row], pos[row] - l, pos[row] + k + r), strict=True):
+            o.append(x[hit])
+        left = np.flatnonzero(np.maximum(lo, l + 1) <= hi)
+        stop = np.minimum(np.minimum(hi, l), spare - 1 - r)
+        right = np.flatnonzero(lo <= stop)
+        keys = [
+            mix(mix(group[i].view(np.uint64) + np.uint64(2 * s + 1)) + mix(words[row[i], x[i]].view(np.uint64) + x[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            for s, (i, (words, _), x) in enumerate(((left, sides[0], l), (right, sides[1], r)))
+        ]
+        group = np.concatenate(keys).view(np.int64)
+        lo, hi, row = (np.concatenate(x) for x in ((np.maximum(lo, l + 1)[left], lo[right]), (hi[left], stop[right]), (row[left], row[right])))
+    return [np.concatenate([np.zeros(0, np.int64), *o]) for o in out]
+
+
+def _together(open_: DataFrame, window: int, k: int, most: int = 50_000) -> DataFrame:
+    """extended() for rows of groups that a task can hold: dealt by group, some `most` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            one = {c: rows[c].chunk(0) for c in rows.column_names}
+            sides = [_square(one[c], window - k) for c in ("left", "right")]
+            got = _grown(*(one[c].to_numpy().astype(np.int64) for c in ("group", "doc_id", "pos")), sides, *(one[c].to_numpy().astype(np.int64) for c in ("lo", "hi")), k)
+            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32))], ["doc_id", "from", "to"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) > most:
+                rows = pa.Table.from_batches(held)
+                group = rows["group"].to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if cut:
+                    yield close(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+        if held:
+            yield close(pa.Table.from_batches(held))
+
+    dealt = open_.select("group", "doc_id", "pos", "left", "right", "lo", "hi").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "doc_id long, from int, to int")
+
+
+def extended(seeds: DataFrame, window: int, k: int, large: DataFrame | None, most: int) -> DataFrame:
     """seeds(doc_id, pos, anchor, left, right) -> (doc_id, from, to): words that repeat an earlier document's, a window or more.
 
     Each round compares a seed with the earliest one of its group, at first all seeds of an anchor. Windows are
     known by how many words they begin before the anchor. Those that the match covers are settled; those that begin
     before it go on with the seeds that have the same word before it, those that end behind it with the same
-    word behind it. A group's match grows by a word each round, so 2 * (window - k) rounds are the most.
+    word behind it. A group's match grows by a word each round, so 2 * (window - k) rounds are the most. Groups of
+    up to `most` seeds meet in a task, which does all rounds; large(anchor) has more, and its rounds are joins
+    until what is left of a group is small.
     """
     spare = window - k
     open_ = seeds.select(
         F.col("anchor").alias("group"), "doc_id", "pos", "left", "right", F.greatest(F.lit(0), spare - F.size("right")).alias("lo"), F.least(F.lit(spare), F.size("left")).alias("hi")
     ).where("lo <= hi")
+    if large is None:
+        return _together(open_, window, k)
+    large = large.withColumnRenamed("anchor", "group")
+    small, open_ = [open_.join(large, "group", "left_anti")], saved(open_.join(large, "group", "left_semi"), "open")
     found = None
-    while True:
-        head = open_.groupBy("group").agg(F.min_by(F.struct("doc_id", "left", "right"), F.struct("doc_id", "pos")).alias("o"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    while not open_.isEmpty():
+        head = open_.groupBy("group").agg(F.min_by(F.struct("doc_id", "left", "right"), F.struct("doc_id", "pos")).alias("o"))
         # what is joined on a key that very many rows may have is read from tables, so that the key's rows can be split
-        head = saved(head.where("first < last").select("group", F.col("first").alias("owner"), F.col("o.left").alias("o_left"), F.col("o.right").alias("o_right")), "heads")
-        if head.isEmpty():
-            break
+        head = saved(head.select("group", F.col("o.doc_id").alias("owner"), F.col("o.left").alias("o_left"), F.col("o.right").alias("o_right")), "heads")
         met = open_.join(head, "group").withColumns({"l": _common("left", "o_left"), "r": _common("right", "o_right")}).drop("o_left", "o_right")
         met = saved(met, "met")
         match = met.where((F.col("owner") < F.col("doc_id")) & (F.col("l") + F.col("r") >= spare)).select("doc_id", (F.col("pos") - F.col("l")).alias("from"), (F.col("pos") + k + F.col("r")).alias("to"))
@@ -157,8 +237,12 @@ def extended(seeds: DataFrame, window: int, k: int) -> DataFrame:
             one = met.withColumns({"lo": lo, "hi": hi}).where("lo <= hi")
             one = one.select(F.xxhash64("group", F.lit(side), at, F.get(words, F.col(at))).alias("group"), "doc_id", "pos", "left", "right", "lo", "hi")
             rest = one if rest is None else rest.union(one)
-        open_ = rest
-    return found if found is not None else open_.select("doc_id", F.col("lo").alias("from"), F.col("hi").alias("to")).limit(0)
+        rest = saved(rest, "rest")
+        sizes = saved(rest.groupBy("group").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("group", "n"), "sizes")
+        small.append(rest.join(sizes.where(F.col("n") <= most).select("group"), "group", "left_semi"))
+        open_ = saved(rest.join(sizes.where(F.col("n") > most).select("group"), "group", "left_semi"), "open")
+    small = _together(reduce(DataFrame.union, small), window, k)
+    return small if found is None else small.union(found)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -193,7 +277,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def repeats(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, k: int = 16, most: int = 2000) -> DataFrame:
     """(doc_id, from, to): stretches of words, of `window` or more, that also stand in a document with a smaller doc_id.
 
     Stretches reach as far as the windows of one anchor; together they cover the maximal repeats. doc_id is distinct and not null.
@@ -204,17 +288,18 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     rows = saved(rows.join(saved(met, "met"), "anchor"), "shared")
     # the same words all round: the earliest document stands for the others, whose match reaches as far as windows do
     kinds = saved(rows.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("o")).select("anchor", "around", F.col("o.doc_id").alias("owner"), F.col("o.pos").alias("owner_pos")), "kinds")
-    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "several")
+    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     inner = rows.join(kinds, ["anchor", "around"]).where("owner < doc_id").select(
         "doc_id", F.greatest(F.col("pos") - reach + 1, F.lit(0)).alias("from"), (F.col("pos") + window).alias("to")
     )
     # different words somewhere: the earliest of each kind extend their matches with one another
-    asked = kinds.join(several, "anchor", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("owner_pos").alias("at"))
+    asked = kinds.join(several.select("anchor"), "anchor", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("owner_pos").alias("at"))
     seeds = saved(_seeds(docs.hint("merge").join(asked, "doc_id"), window, k), "seeds")
-    return inner.union(extended(seeds, window, k))
+    large = several.where(F.col("kinds") > most).select("anchor")
+    return inner.union(extended(seeds, window, k, None if large.isEmpty() else large, most))
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, most: int = 2000) -> DataFrame:
     """Removes words covered by a `window`-word sequence that also starts in an earlier document.
 
     docs: doc_id (null and repeated ids are rows of their own, null after all others), text; other columns are ignored. Earlier means a smaller
@@ -225,5 +310,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     whole, in one slice of a task that takes some twenty times its size.
     """
     docs, ids = keyed(docs.select("doc_id", "text"))
-    gone = repeats(docs, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
+    gone = repeats(docs, window, k, most).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
     return restored(_cut(docs.hint("merge").join(gone, "doc_id", "left")), ids)
