@@ -385,16 +385,28 @@ def _ready(hits: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
     return kept, hot.where("gone").groupBy("rep").agg(F.count("*").alias("dropped"))
 
 
-def _families(matrix: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of families that may hold a link: matrix(token, family, lead, star, least, dropped) with itself.
+def _families(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of families that may hold a link, from blocks(token, family, group, least, dropped).
 
-    The blocks of a family count as one, so a shingle of a large family of copies is one row here.
+    The groups of a family count as one, so a shingle of a large family of copies is one row here.
     """
+    matrix = blocks.groupBy("token", "family").agg(F.min("least").alias("least"), F.max("dropped").alias("dropped"))
     a, b = (matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "least", "dropped")]) for s in "ab")
     met = a.join(b, "token").where("family_a < family_b").groupBy(F.col("family_a").alias("a"), F.col("family_b").alias("b"))
     return _enough(met, num, den)
 
 
+def _groups(blocks: DataFrame, families: DataFrame, single: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of groups that may hold a link, of families(a, b) that may; single(family, group): families of one group."""
+    one = [single.select(F.col("family").alias(s), F.col("group").alias(f"group_{s}")) for s in "ab"]
+    known = families.join(one[0], "a", "left").join(one[1], "b", "left")
+    plain = known.where("group_a is not null and group_b is not null").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+    open_ = known.where("group_a is null or group_b is null").select("a", "b")
+    a, b = (blocks.select("token", F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "dropped")]) for s in "ab")
+    met = a.join(open_, "a").join(b, ["b", "token"]).where("a <> b or group_a < group_b")
+    return plain.union(_enough(met.groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b")), num, den))
+
+
 def _enough(met: GroupedData, num: int, den: int) -> DataFrame:
     got = met.agg(F.count("*").alias("got"), F.least(F.min("least_a"), F.min("least_b")).alias("n"), F.greatest(F.max("dropped_a"), F.max("dropped_b")).alias("dropped"))
     return got.where(F.col("got") >= F.greatest(F.lit(1), need(F.col("n"), num, den) - F.col("dropped"))).select("a", "b")
@@ -460,20 +472,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     ready, dropped = _ready(hits, wanted)
     placed = saved(
         placed.join(dealt, ["lead", "star"]).join(dropped, "rep", "left").select(
-            "rep", "n", F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"), "star", "size", F.xxhash64("lead", "star").alias("family"),
+            "rep", "n", F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"), "star", "size", "parts", F.xxhash64("lead", "star").alias("family"),
             F.xxhash64("lead", "star", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("group"),
         ),
         "groups",
     )
     # a leader's own links are known: only what must still be compared stays
-    matrix = ready.select("rep", "token").join(placed.drop("size"), "rep")
-    ends = [F.min("n").alias("least"), F.max("dropped").alias("dropped")]
-    families = saved(_families(matrix.groupBy("token", "family").agg(*ends), num, den), "families")
-    families = saved(families.union(placed.where("not star").select("family", F.col("family").alias("b")).distinct()), "families")
-    blocks = saved(matrix.groupBy("token", "family", "group").agg(*ends), "matrix")
-    a, b = (blocks.select("token", F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "dropped")]) for s in "ab")
-    met = a.join(families, "a").join(b, ["b", "token"]).where("a <> b or group_a < group_b")
-    pairs = saved(_enough(met.groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b")), num, den), "pairs")
+    blocks = ready.select("rep", "token").join(placed.select("rep", "n", "dropped", "family", "group"), "rep")
+    blocks = saved(blocks.groupBy("token", "family", "group").agg(F.min("n").alias("least"), F.max("dropped").alias("dropped")), "matrix")
+    families = _families(blocks, num, den).union(placed.where("not star and parts > 1").select("family", F.col("family").alias("b")).distinct())
+    single = placed.where("parts = 1").select("family", "group").distinct()
+    pairs = saved(_groups(blocks, saved(families, "families"), single, num, den), "pairs")
     # groups open only where their token unions allow a link between their sets
     used = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
     members = placed.join(used, "group", "left_semi").select("rep", "group", "n")
