@@ -59,12 +59,14 @@ def pair_verdict(verdicts: DataFrame, gate: str) -> DataFrame:
 def in_window(rows: DataFrame, windows: DataFrame, t: str, width: int) -> DataFrame:
     """rows with the window (start, end, name) that holds t: start <= t < end, the latest start where several do.
 
-    Windows and rows meet through cells of `width` units of t, not all with all.
+    Windows and rows meet through cells of `width` units of t, not all with all. Equal rows stay as many as they are;
+    a null t lies in no window.
     """
     cells = windows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    keys = list(rows.columns)
+    keys = [*rows.columns, "_n"]
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     met = rows.withColumn("_cell", F.floor(F.col(t) / width)).join(cells, "_cell").where((F.col(t) >= F.col("start")) & (F.col(t) < F.col("end")))
-    return met.groupBy(*keys).agg(F.max_by(F.struct("name", "start", "end"), "start").alias("_w")).select(*keys, "_w.name", "_w.start", "_w.end")
+    return met.groupBy(*keys).agg(F.max_by(F.struct("name", "start", "end"), "start").alias("_w")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*keys[:-1], "_w.name", "_w.start", "_w.end")
 
 
 def share_covered(windows: DataFrame, runs: DataFrame, width: int) -> DataFrame:
@@ -96,9 +98,13 @@ def ewma(samples: DataFrame, by: str, order: str, value: str, keep: float) -> Da
 
 
 def retained(files: DataFrame, by: list[str], order: str, size: str, most_files: int, most_bytes: int) -> DataFrame:
-    """The newest files of each group, within a number of files and a sum of bytes."""
-    w = W.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return files.withColumn("_n", F.count("*").over(w)).withColumn("_s", F.sum(size).over(w)).where((F.col("_n") <= most_files) & (F.col("_s") <= most_bytes)).drop("_n", "_s")
+    """The newest files of each group, within a number of files and a sum of bytes.
+
+    The number comes first, so that each task keeps no more than that of a group before rows are dealt.
+    """
+    first = files.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_n") <= most_files)
+    w = W.partitionBy(*by).orderBy("_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return first.withColumn("_s", F.sum(size).over(w)).where(F.col("_s") <= most_bytes).drop("_n", "_s")
 
 
 def retention_holds(sources: DataFrame, files: DataFrame, now: int, margin: int) -> DataFrame:

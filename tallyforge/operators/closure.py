@@ -21,10 +21,16 @@ def latest_review(refusals: DataFrame, reviews: DataFrame) -> DataFrame:
 def dispositions(plan: DataFrame, outcomes: DataFrame, reviews: DataFrame) -> DataFrame:
     """plan(item) with instance, code, decision and disposition.
 
-    outcomes(item, instance, state 'done', 'held' or 'refused', code). Without an outcome: unaccounted; a refusal
+    outcomes(item, instance, state 'done', 'held' or 'refused', code); outcomes of one item that differ count as
+    refused with the code DUPLICATE_OUTCOME. Without an outcome: unaccounted; a refusal
     that a review accepts or abandons: refused; any other: refused-pending-review; else the state.
     """
-    x = plan.select("item").join(outcomes, "item", "left")
+    # an item has one outcome: several that differ are refused as a whole
+    many = F.struct("instance", "state", "code")
+    one = outcomes.groupBy("item").agg(F.min(many).alias("_a"), F.max(many).alias("_b"))
+    clash = ~F.col("_a").eqNullSafe(F.col("_b"))
+    one = one.select("item", "_a.instance", F.when(clash, "refused").otherwise(F.col("_a.state")).alias("state"), F.when(clash, "DUPLICATE_OUTCOME").otherwise(F.col("_a.code")).alias("code"))
+    x = plan.select("item").distinct().join(one, "item", "left")
     x = latest_review(x, reviews)
     closed = F.col("decision").isin("accept", "abandon")
     kind = (

@@ -104,7 +104,24 @@ def merge_documents(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def canonical(text: Column) -> Column:
-    """A JSON object's top-level members sorted by name, without `ordinal`: equal for objects that differ in order."""
-    members = F.map_entries(F.from_json(text, "map<string,string>"))
-    kept = F.filter(members, lambda m: m["key"] != "ordinal")
-    return F.to_json(F.map_from_entries(F.array_sort(kept)))
+    """A JSON text with the members of all objects sorted by name, without the top one's `ordinal`: equal for texts that differ in order only.
+
+    Types stay apart: 1 is not "1". What is no JSON stays as it is, behind a mark of its own; null is null.
+    """
+
+    @F.pandas_udf("string")
+    def made(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            try:
+                v = json.loads(t)
+            except ValueError:
+                return "raw:" + t
+            if isinstance(v, dict):
+                v.pop("ordinal", None)
+            return json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+        return texts.map(one, na_action=None)
+
+    return made(text)

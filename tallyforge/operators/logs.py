@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 
 
 def counted_extras(live: DataFrame, seat: DataFrame, by: list[str], pos: str) -> DataFrame:
-    """Live rows beyond the number of equal seat rows, first occurrences used up first. Null equals null."""
+    """Live rows beyond the number of equal seat rows, first occurrences used up first. Null equals null.
+
+    A row's rank among equal ones is its rank in a range of pos, plus what ranges before hold: a line that makes up
+    a third of a log is no task's alone.
+    """
     have = seat.groupBy(*by).agg(F.count("*").alias("_have"))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
-    ranked = live.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(pos)))
+    ranged = live.repartitionByRange(pos).withColumn("_range", F.spark_partition_id())
+    ranged = ranged.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_range").orderBy(pos)))
+    held = ranged.groupBy(*by, "_range").agg(F.max("_in").alias("_n"))
+    ahead = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(*by, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*by, "_range")]
+    ranked = ranged.alias("r").join(held.alias("a"), met).select("r.*", (F.col("_in") + F.col("_ahead")).alias("_rn"))
     return ranked.alias("l").join(have.alias("h"), on, "left").where(F.col("l._rn") > F.coalesce("h._have", F.lit(0))).select(*[f"l.{c}" for c in live.columns])
 
 

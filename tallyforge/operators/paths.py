@@ -32,10 +32,10 @@ def mapped(path: Column, owner: Column, target: Column) -> Column:
 
 
 def overlaps(roots: DataFrame) -> DataFrame:
-    """(inner, outer): roots(root) equal to or under another one's path; equal roots are told apart by id."""
-    up = roots.select(F.col("id").alias("inner"), F.explode(ancestors(F.col("root"))).alias("_p"), F.col("root"))
-    r = roots.select(F.col("id").alias("outer"), F.col("root").alias("_p"))
-    return up.join(r, "_p").where((F.col("inner") != F.col("outer")) & ((F.col("root") != F.col("_p")) | (F.col("inner") > F.col("outer")))).select("inner", "outer")
+    """(inner, outer): roots(id, root) equal to or under another one's path; of equal roots the smallest id stands for all, so no pairs of all with all."""
+    up = roots.select(F.col("id").alias("inner"), F.explode(ancestors(F.col("root"))).alias("_p"))
+    r = roots.groupBy(F.col("root").alias("_p")).agg(F.min("id").alias("outer"))
+    return up.join(r, "_p").where(F.col("inner") != F.col("outer")).select("inner", "outer")
 
 
 def project_key(path: Column) -> Column:

@@ -52,30 +52,16 @@ def ref_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.decide(n, l, p.where("k % 7 <> 0").select("name", oid(9, "y").alias("oid"), "t"))
 
 
-_EDGES = "e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0 AND o_orderkey <= 4000)"
-
-
-@query(
-    "ref_class_ancestry",
-    f"""WITH RECURSIVE {_EDGES}, up AS (SELECT child, parent AS ancestor, 1 AS steps FROM e UNION ALL SELECT up.child, e.parent, steps + 1 FROM up JOIN e ON up.ancestor = e.child WHERE steps < 50),
-    cl AS (SELECT DISTINCT child, ancestor FROM up), s AS (SELECT o_orderkey AS name, o_orderkey AS oid FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey <= 4000),
-    d AS (SELECT o_orderkey AS name, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 4 WHEN o_orderkey % 4 = 1 THEN o_orderkey * 2 WHEN o_orderkey % 4 = 2 THEN o_orderkey ELSE o_orderkey + 1 END AS oid FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey <= 4000)
-    SELECT coalesce(s.name, d.name) AS name, CASE WHEN d.oid IS NULL THEN 'source-only' WHEN s.oid IS NULL THEN 'dest-only' WHEN s.oid = d.oid THEN 'same' WHEN a.child IS NOT NULL THEN 'source-ahead' WHEN b.child IS NOT NULL THEN 'dest-ahead' ELSE 'diverged' END AS class
-    FROM s FULL JOIN d ON s.name = d.name LEFT JOIN cl a ON a.child = s.oid AND a.ancestor = d.oid LEFT JOIN cl b ON b.child = d.oid AND b.ancestor = s.oid""",
-)
-def ref_class_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ref_classes(table(spark, sf_dir, "orders").where("o_orderkey <= 4000"))
-
-
-@query(
-    "ref_class_ancestry_all",
-    """WITH RECURSIVE e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0), up AS (SELECT child, parent AS ancestor FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child),
+_ANCESTRY = """WITH RECURSIVE e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0), up AS (SELECT child, parent AS ancestor FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child),
     s AS (SELECT o_orderkey AS name, o_orderkey AS oid FROM orders WHERE o_orderkey % 3 <> 0),
     d AS (SELECT o_orderkey AS name, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 4 WHEN o_orderkey % 4 = 1 THEN o_orderkey * 2 WHEN o_orderkey % 4 = 2 THEN o_orderkey ELSE o_orderkey + 1 END AS oid FROM orders WHERE o_orderkey % 5 <> 0)
     SELECT coalesce(s.name, d.name) AS name, CASE WHEN d.oid IS NULL THEN 'source-only' WHEN s.oid IS NULL THEN 'dest-only' WHEN s.oid = d.oid THEN 'same' WHEN a.child IS NOT NULL THEN 'source-ahead' WHEN b.child IS NOT NULL THEN 'dest-ahead' ELSE 'diverged' END AS class
-    FROM s FULL JOIN d ON s.name = d.name LEFT JOIN up a ON a.child = s.oid AND a.ancestor = d.oid LEFT JOIN up b ON b.child = d.oid AND b.ancestor = s.oid""",
-)
-def ref_class_ancestry_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    FROM s FULL JOIN d ON s.name = d.name LEFT JOIN up a ON a.child = s.oid AND a.ancestor = d.oid LEFT JOIN up b ON b.child = d.oid AND b.ancestor = s.oid"""
+
+
+@query("ref_class_ancestry", _ANCESTRY)
+@query("ref_class_ancestry_all", _ANCESTRY)
+def ref_class_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ref_classes(table(spark, sf_dir, "orders"))
 
 
@@ -136,7 +122,8 @@ def path_map_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "path_owner_conflicts",
     f"""WITH {_URL}, r AS (SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN split_part(path, '/', 1) ELSE path END AS root FROM u)
-    SELECT a.id AS inner, b.id AS outer FROM r a JOIN r b ON a.id <> b.id AND ((a.root = b.root AND a.id > b.id) OR starts_with(a.root, b.root || '/'))""".replace("AS inner", 'AS "inner"').replace("AS outer", 'AS "outer"'),
+    , f AS (SELECT root, min(id) AS id FROM r GROUP BY 1)
+    SELECT a.id AS "inner", b.id AS "outer" FROM r a JOIN f b ON a.id <> b.id AND (a.root = b.root OR starts_with(a.root, b.root || '/'))""",
 )
 def path_owner_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _urls(spark, sf_dir)
@@ -145,12 +132,12 @@ def path_owner_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "key_map_unique",
-    f"""WITH {_URL}, k AS (SELECT DISTINCT regexp_replace(split_part(path, '/', 1), '[^A-Za-z0-9]', '-', 'g') AS source, regexp_replace(substr(path, 1, 12), '[^A-Za-z0-9]', '-', 'g') AS target FROM u)
+    f"""WITH {_URL}, k AS (SELECT DISTINCT regexp_replace(split_part(path, '/', 1), '[^A-Za-z0-9]', '-', 'g') AS source, regexp_replace(substr(path, 1, CASE WHEN page_id % 4 = 0 THEN 6 ELSE 12 END), '[^A-Za-z0-9]', '-', 'g') AS target FROM u)
     SELECT source, target, count(*) OVER (PARTITION BY source) = 1 AND count(*) OVER (PARTITION BY target) = 1 AS usable FROM k""",
 )
 def key_map_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _urls(spark, sf_dir)
-    return paths.unique_keys(u.select(paths.project_key(F.split("path", "/")[0]).alias("source"), paths.project_key(F.substring("path", 1, 12)).alias("target")))
+    return paths.unique_keys(u.select(paths.project_key(F.split("path", "/")[0]).alias("source"), paths.project_key(F.expr("substring(path, 1, if(page_id % 4 = 0, 6, 12))")).alias("target")))
 
 
 _PROPS = """x AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS lk, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR) ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS sk,
@@ -225,12 +212,12 @@ def review_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "attest_buckets",
-    f"""WITH {_PLAN}, a AS (SELECT o_orderkey AS item, o_orderkey % 3 <> 0 AS valid, 'done' AS claims FROM orders WHERE o_orderkey % 5 < 4)
+    f"""WITH {_PLAN}, a AS (SELECT o_orderkey * CASE WHEN o_orderkey % 19 = 0 THEN -1 ELSE 1 END AS item, o_orderkey % 3 <> 0 AS valid, 'done' AS claims FROM orders WHERE o_orderkey % 5 < 4)
     SELECT CASE WHEN disposition IS NULL THEN 'foreign' WHEN NOT valid THEN 'rejected' WHEN disposition = 'unaccounted' THEN 'accepted' WHEN disposition = claims THEN 'superseded' ELSE 'disagreement' END AS bucket, count(*) AS n
     FROM a LEFT JOIN disp USING (item) GROUP BY 1""",
 )
 def attest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 5 < 4").select(F.col("o_orderkey").alias("item"), F.expr("o_orderkey % 3 <> 0").alias("valid"), F.lit("done").alias("claims"))
+    a = table(spark, sf_dir, "orders").where("o_orderkey % 5 < 4").select(F.expr("o_orderkey * if(o_orderkey % 19 = 0, -1, 1)").alias("item"), F.expr("o_orderkey % 3 <> 0").alias("valid"), F.lit("done").alias("claims"))
     return closure.attested(closure.dispositions(*_closure(spark, sf_dir)), a)
 
 

@@ -12,15 +12,18 @@ from .tables import table
 EDGES = [100, 500, 1000, 2000, 5000, 10000, 50000]
 _PATHS = """
   files AS (SELECT source || '/' || CAST(doc_id % 13 AS VARCHAR) || '/f' || CAST(doc_id AS VARCHAR) ||
-    CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN '.sqlite' WHEN 1 THEN '.sqlite-wal' WHEN 2 THEN '.jsonl' WHEN 3 THEN '.json' WHEN 4 THEN '.toml' ELSE '.txt' END AS path,
-    n_chars AS size FROM documents)"""
+    CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN '.sqlite' WHEN 1 THEN '.txt' WHEN 2 THEN '.jsonl' WHEN 3 THEN '.json' WHEN 4 THEN '.toml' ELSE '.txt' END AS path,
+    n_chars AS size FROM documents
+    UNION ALL SELECT source || '/' || CAST(doc_id % 13 AS VARCHAR) || '/f' || CAST(doc_id AS VARCHAR) || '.sqlite-wal', n_chars // 2 FROM documents WHERE doc_id % 6 < 2)"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with paths made from documents."""
-    ends = F.element_at(F.array(*map(F.lit, [".sqlite", ".sqlite-wal", ".jsonl", ".json", ".toml", ".txt"])), (F.col("doc_id") % 6 + 1).cast("int"))
-    path = F.concat("source", F.lit("/"), (F.col("doc_id") % 13).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), ends)
-    return table(spark, sf_dir, "documents").select(path.alias("path"), F.col("n_chars").alias("size"))
+    ends = F.element_at(F.array(*map(F.lit, [".sqlite", ".txt", ".jsonl", ".json", ".toml", ".txt"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    stem = F.concat("source", F.lit("/"), (F.col("doc_id") % 13).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    side = docs.where("doc_id % 6 < 2").select(F.concat(stem, F.lit(".sqlite-wal")).alias("path"), F.expr("n_chars div 2").alias("size"))
+    return docs.select(F.concat(stem, ends).alias("path"), F.col("n_chars").alias("size")).union(side)
 
 
 @query(

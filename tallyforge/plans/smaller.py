@@ -57,80 +57,52 @@ def snapshot_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "verdict_roll_up",
-    """SELECT c_nationkey, CASE WHEN bool_or(c_acctbal < -900) THEN 'Fail' WHEN bool_or(c_acctbal > 5000) THEN 'Pass' ELSE 'Skip' END AS verdict FROM customer GROUP BY 1""",
+    """SELECT c_nationkey, CASE WHEN bool_or(c_acctbal < -990) THEN 'Fail' WHEN bool_or(c_acctbal > 9900) THEN 'Pass' ELSE 'Skip' END AS verdict FROM customer GROUP BY 1""",
 )
 def verdict_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.when(F.col("c_acctbal") < -900, "Fail").when(F.col("c_acctbal") > 5000, "Pass").otherwise("Skip")
+    v = F.when(F.col("c_acctbal") < -990, "Fail").when(F.col("c_acctbal") > 9900, "Pass").otherwise("Skip")
     return checks.roll_up(table(spark, sf_dir, "customer").select("c_nationkey", v.alias("verdict")), "c_nationkey")
 
 
-@query(
-    "pair_verdict",
-    """WITH v AS (SELECT l_suppkey, CASE WHEN l_quantity > 49 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM lineitem WHERE l_linenumber = 7)
-    SELECT l_suppkey, CASE WHEN bool_and(verdict = 'PASS') THEN 'PASS' WHEN bool_and(verdict = 'FAIL') THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v GROUP BY 1""",
-)
+_PAIRS = """WITH v AS (SELECT l_suppkey, CASE WHEN l_quantity > CASE WHEN l_suppkey % 9 = 0 THEN 0 WHEN l_suppkey % 9 = 1 THEN 50 ELSE 49 END THEN 'FAIL' ELSE 'PASS' END AS verdict FROM lineitem)
+    SELECT l_suppkey, CASE WHEN bool_and(verdict = 'PASS') THEN 'PASS' WHEN bool_and(verdict = 'FAIL') THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v GROUP BY 1"""
+
+
+@query("pair_verdict", _PAIRS)
+@query("pair_verdict_all", _PAIRS)
 def pair_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select("l_suppkey", F.when(F.col("l_quantity") > 49, "FAIL").otherwise("PASS").alias("verdict"))
+    limit = F.expr("case l_suppkey % 9 when 0 then 0 when 1 then 50 else 49 end")
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > limit, "FAIL").otherwise("PASS").alias("verdict"))
     return checks.pair_verdict(l, "l_suppkey")
 
 
-_WINDOWS = "w AS (SELECT p_partkey AS name, p_partkey * 7 AS \"start\", p_partkey * 7 + p_size AS \"end\" FROM part WHERE p_partkey % 10 = 0 AND p_size > 0)"
+_WINDOWS = "w AS (SELECT p_partkey AS name, p_partkey * 7 AS \"start\", p_partkey * 7 + p_size AS \"end\" FROM part WHERE p_size > 0)"
 
 
-def _windows(spark: SparkSession, sf_dir: str, which: str = "p_partkey % 10 = 0") -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size > 0").where(which)
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_size > 0")
     return p.select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("end"))
 
 
-@query(
-    "window_location",
-    f"""WITH {_WINDOWS}, m AS (SELECT e.event_id, w.name, w."start", w."end", row_number() OVER (PARTITION BY event_id ORDER BY w."start" DESC) AS rn FROM events e JOIN w ON event_id >= w."start" AND event_id < w."end")
-    SELECT event_id, name, "start", "end" FROM m WHERE rn = 1""",
-)
-def window_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.in_window(table(spark, sf_dir, "events").select("event_id"), _windows(spark, sf_dir), "event_id", 64)
-
-
-@query(
-    "overlap_fraction",
-    f"""WITH {_WINDOWS}, r AS (SELECT event_id * 3 AS a, event_id * 3 + event_id % 4 AS b FROM events), c AS (SELECT name, sum(least(b, "end") - greatest(a, "start")) AS n FROM w JOIN r ON b > a AND a < "end" AND b > "start" GROUP BY 1)
-    SELECT name, round(coalesce(n, 0) / ("end" - "start"), 6) AS share FROM w LEFT JOIN c USING (name)""",
-)
-def overlap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("a"), (F.col("event_id") * 3 + F.col("event_id") % 4).alias("b"))
-    return checks.share_covered(_windows(spark, sf_dir), r, 64).withColumn("share", F.round("share", 6))
+_WINDOW_LOCATION = f"""WITH {_WINDOWS}, m AS (SELECT e.event_id, w.name, w."start", w."end", row_number() OVER (PARTITION BY event_id ORDER BY w."start" DESC) AS rn FROM events e JOIN w ON event_id >= w."start" AND event_id < w."end")
+    SELECT event_id, name, "start", "end" FROM m WHERE rn = 1"""
 
 
-_ALL_WINDOWS = _WINDOWS.replace("p_partkey % 10 = 0 AND ", "")
+@query("window_location", _WINDOW_LOCATION)
+@query("window_location_all", _WINDOW_LOCATION)
+def window_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.in_window(table(spark, sf_dir, "events").select("event_id"), _windows(spark, sf_dir), "event_id", 64)
 
 
-@query(
-    "window_location_all",
-    f"""WITH {_ALL_WINDOWS}, m AS (SELECT e.event_id, w.name, w."start", w."end", row_number() OVER (PARTITION BY event_id ORDER BY w."start" DESC) AS rn FROM events e JOIN w ON event_id >= w."start" AND event_id < w."end")
-    SELECT event_id, name, "start", "end" FROM m WHERE rn = 1""",
-)
-def window_location_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.in_window(table(spark, sf_dir, "events").select("event_id"), _windows(spark, sf_dir, "true"), "event_id", 64)
+_OVERLAP_FRACTION = f"""WITH {_WINDOWS}, r AS (SELECT event_id * 3 AS a, event_id * 3 + event_id % 4 AS b FROM events), c AS (SELECT name, sum(least(b, "end") - greatest(a, "start")) AS n FROM w JOIN r ON b > a AND a < "end" AND b > "start" GROUP BY 1)
+    SELECT name, round(coalesce(n, 0) / ("end" - "start"), 6) AS share FROM w LEFT JOIN c USING (name)"""
 
 
-@query(
-    "overlap_fraction_all",
-    f"""WITH {_ALL_WINDOWS}, r AS (SELECT event_id * 3 AS a, event_id * 3 + event_id % 4 AS b FROM events), c AS (SELECT name, sum(least(b, "end") - greatest(a, "start")) AS n FROM w JOIN r ON b > a AND a < "end" AND b > "start" GROUP BY 1)
-    SELECT name, round(coalesce(n, 0) / ("end" - "start"), 6) AS share FROM w LEFT JOIN c USING (name)""",
-)
-def overlap_fraction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("overlap_fraction", _OVERLAP_FRACTION)
+@query("overlap_fraction_all", _OVERLAP_FRACTION)
+def overlap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("a"), (F.col("event_id") * 3 + F.col("event_id") % 4).alias("b"))
-    return checks.share_covered(_windows(spark, sf_dir, "true"), r, 64).withColumn("share", F.round("share", 6))
-
-
-@query(
-    "pair_verdict_all",
-    """WITH v AS (SELECT l_suppkey, CASE WHEN l_quantity > 49 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM lineitem)
-    SELECT l_suppkey, CASE WHEN bool_and(verdict = 'PASS') THEN 'PASS' WHEN bool_and(verdict = 'FAIL') THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v GROUP BY 1""",
-)
-def pair_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > 49, "FAIL").otherwise("PASS").alias("verdict"))
-    return checks.pair_verdict(l, "l_suppkey")
+    return checks.share_covered(_windows(spark, sf_dir), r, 64).withColumn("share", F.round("share", 6))
 
 
 @query("counter_deltas", "SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events")

@@ -95,7 +95,8 @@ def log_union_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "coverage_verdict",
     """WITH e AS (SELECT user_id, event_type, event_id FROM events), s AS (SELECT * FROM e WHERE event_id % 5 <> 0), t AS (SELECT * FROM e WHERE event_id % 7 <> 0 OR user_id % 3 = 0),
-    tt AS (SELECT * FROM t WHERE user_id % 4 <> 1 OR event_id % 5 <> 0),
+    half AS (SELECT user_id, median(event_id) AS h FROM e GROUP BY 1),
+    tt AS (SELECT t.* FROM t JOIN half USING (user_id) WHERE (user_id % 4 <> 1 OR event_id % 5 <> 0) AND (user_id % 12 <> 9 OR event_id <= h)),
     a AS (SELECT user_id, event_type, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS m FROM tt GROUP BY ALL),
     lack AS (SELECT user_id, CAST(sum(greatest(n - coalesce(m, 0), 0)) AS BIGINT) AS lacking FROM a LEFT JOIN b USING (user_id, event_type) GROUP BY 1),
     x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type FROM s), y AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type FROM tt),
@@ -105,7 +106,8 @@ def log_union_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def coverage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    target = e.where("(event_id % 7 <> 0 or user_id % 3 = 0) and (user_id % 4 <> 1 or event_id % 5 <> 0)")
+    half = e.groupBy("user_id").agg(F.median("event_id").alias("h"))
+    target = e.join(half, "user_id").where("(event_id % 7 <> 0 or user_id % 3 = 0) and (user_id % 4 <> 1 or event_id % 5 <> 0) and (user_id % 12 <> 9 or event_id <= h)").drop("h")
     return logs.coverage(e.where("event_id % 5 <> 0"), target, "user_id", "event_type", "event_id")
 
 

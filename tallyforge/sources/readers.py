@@ -43,10 +43,15 @@ class _TreeReader(DataSourceReader):
         self.deepest = int(options.get("deepest", "256"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(n) for n in sorted(os.listdir(self.root))] or [_Part(None)]
+        try:
+            return [_Part(n) for n in sorted(os.listdir(self.root))] or [_Part(None)]
+        except OSError as e:
+            return [_Part(e.errno)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.value is not None:
+        if isinstance(partition.value, int):
+            yield (b"", "directory", *[None] * 8, f"io:{partition.value}")
+        elif partition.value is not None:
             yield from self._walk(partition.value, 1)
 
     def _walk(self, rel: bytes, depth: int) -> Iterator[tuple]:
@@ -56,12 +61,18 @@ class _TreeReader(DataSourceReader):
         except OSError as e:
             yield (rel, "other", *[None] * 8, f"io:{e.errno}")
             return
+        names, gone = [], None
+        if s.st_mode & 0o170000 == 0o040000 and depth < self.deepest:
+            try:
+                names = sorted(os.listdir(full))
+            except OSError as e:  # unreadable, or vanished since
+                gone = f"io:{e.errno}"
         kind = {0o100000: "regular", 0o040000: "directory", 0o120000: "symlink"}.get(s.st_mode & 0o170000, "other")
         target = os.readlink(full) if kind == "symlink" else None
-        refusal = "kind" if kind == "other" else "too-deep" if kind == "directory" and depth >= self.deepest else "too-long" if len(rel) > 4095 else None
+        refusal = "kind" if kind == "other" else "too-deep" if kind == "directory" and depth >= self.deepest else "too-long" if len(rel) > 4095 else gone
         yield (rel, kind, s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_mode, s.st_nlink, target, refusal)
         if kind == "directory" and refusal is None:
-            for n in sorted(os.listdir(full)):
+            for n in names:
                 yield from self._walk(os.path.join(rel, n), depth + 1)
 
 
@@ -145,7 +156,9 @@ def json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def key_values(lines: DataFrame, column: str) -> DataFrame:
-    """Adds values: a map of the `key=value` words of a line; `unknown` is null."""
+    """Adds values: a map of the `key=value` words of a line; `unknown` is null; of a repeated key the last value counts."""
     pairs = F.filter(F.split(column, r"\s+"), lambda x: x.contains("="))
-    made = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.nullif(F.split(x, "=", 2)[1], F.lit("unknown")).alias("v")))))
+    each = F.transform(pairs, lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.nullif(F.split(x, "=", 2)[1], F.lit("unknown")).alias("v")))
+    last = F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["k"] == x["k"]))
+    made = F.map_from_entries(last)
     return lines.withColumn("values", made)

@@ -250,7 +250,7 @@ def test_whole_queries_read_all_windows_and_lines(spark):
     assert run["overlap_fraction_all"].count() == t("part").where("p_size > 0").count()
     assert run["window_location_all"].where("name % 10 <> 0").count() > 0
     verdicts = {}
-    for r in t("lineitem").select("l_suppkey", (F.col("l_quantity") > 49).alias("bad")).collect():
+    for r in t("lineitem").select("l_suppkey", (F.col("l_quantity") > F.expr("case l_suppkey % 9 when 0 then 0 when 1 then 50 else 49 end")).alias("bad")).collect():
         verdicts.setdefault(r.l_suppkey, set()).add(r.bad)
     assert {r.l_suppkey: r.verdict for r in run["pair_verdict_all"].collect()} == {k: "INCONCLUSIVE" if len(v) > 1 else "FAIL" if v.pop() else "PASS" for k, v in verdicts.items()}
 
@@ -268,3 +268,48 @@ def test_load_of_a_hot_group_needs_no_array(spark):
     assert got.pop("c") is None and set(got) == set(want) and all(abs(got[u] - want[u]) < 1e-9 for u in want)
     plan = out._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "rangepartitioning" in plan
+
+
+BRANCHES = {
+    "sidecar_pairing": ("base is null", {True, False}), "key_map_unique": ("usable", {True, False}), "coverage_verdict": ("verdict", {"covered", "extends", "lacks"}),
+    "attest_buckets": ("bucket", {"foreign", "rejected", "accepted", "superseded", "disagreement"}), "pair_verdict": ("verdict", {"PASS", "FAIL", "INCONCLUSIVE"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BRANCHES))
+def test_each_branch_has_rows(spark, name):
+    what, want = BRANCHES[name]
+    assert {r.x for r in catalogue.queries()[name](spark, "/root/testdata/sf0.01").selectExpr(f"{what} as x").distinct().collect()} == want
+
+
+def test_equal_rows_keep_their_number_in_windows(spark):
+    r = spark.createDataFrame([(5, "a"), (5, "a"), (None, "b")], "t int, x string")
+    w = spark.createDataFrame([(0, 10, "w")], "start int, end int, name string")
+    assert [(x.t, x.x, x.name) for x in checks.in_window(r, w, "t", 4).collect()] == [(5, "a", "w")] * 2
+
+
+def test_a_repeated_key_takes_its_last_value(spark):
+    assert readers.key_values(spark.createDataFrame([("a=1 b=2 a=3",)], "l string"), "l").first().values == {"a": "3", "b": "2"}
+
+
+def test_canonical_keeps_types_and_sorts_all_objects(spark):
+    t = ['{"a": {"y": 1, "x": 2}, "ordinal": 3}', '{"a": {"x": 2, "y": 1}}', '{"a": {"x": 2, "y": "1"}}', "no json", None]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in t], "t string").select(documents.canonical(F.col("t")).alias("c")).collect()]
+    assert got[0] == got[1] != got[2] and got[3:] == ["raw:no json", None]
+
+
+def test_outcomes_of_one_item_that_differ_are_refused(spark):
+    plan = spark.createDataFrame([(1,), (2,), (2,)], "item int")
+    out = spark.createDataFrame([(1, 7, "done", None), (1, 7, "held", None), (2, 8, "done", None), (2, 8, "done", None)], "item int, instance int, state string, code string")
+    none = spark.createDataFrame([], "scope string, item int, instance int, code string, decision string, seq int")
+    assert sorted((r.item, r.disposition, r.code) for r in closure.dispositions(plan, out, none).collect()) == [(1, "refused-pending-review", "DUPLICATE_OUTCOME"), (2, "done", None)]
+
+
+def test_overlaps_give_one_owner_for_each_root(spark):
+    r = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a/b"), (5, "c")], "id int, root string")
+    assert sorted(map(tuple, paths.overlaps(r).collect())) == [(2, 1), (3, 1), (4, 1)]
+
+
+def test_an_unreadable_root_is_a_refusal(spark, tmp_path):
+    readers.register(spark)
+    assert [r.refusal for r in spark.read.format("filetree").load(str(tmp_path / "none")).collect()] == ["io:2"]
