@@ -170,7 +170,7 @@ def _grown(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, sides: list[tupl
     return [np.concatenate([np.zeros(0, np.int64), *o]) for o in out]
 
 
-def _together(open_: DataFrame, window: int, k: int, most: int = 50_000) -> DataFrame:
+def _together(open_: DataFrame, window: int, k: int, most: int = 40_000) -> DataFrame:
     """extended() for rows of groups that a task can hold: dealt by group, some `most` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def repeats(docs: DataFrame, window: int = 50, k: int = 16, most: int = 2000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, k: int = 16, most: int = 20_000) -> DataFrame:
     """(doc_id, from, to): stretches of words, of `window` or more, that also stand in a document with a smaller doc_id.
 
     Stretches reach as far as the windows of one anchor; together they cover the maximal repeats. doc_id is distinct and not null.
@@ -299,7 +299,7 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, most: int = 2000) ->
     return inner.union(extended(seeds, window, k, None if large.isEmpty() else large, most))
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, most: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, most: int = 20_000) -> DataFrame:
     """Removes words covered by a `window`-word sequence that also starts in an earlier document.
 
     docs: doc_id (null and repeated ids are rows of their own, null after all others), text; other columns are ignored. Earlier means a smaller

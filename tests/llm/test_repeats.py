@@ -64,7 +64,7 @@ def test_matches_grow_through_other_documents(spark):
         left, right = rng.choice(sides), rng.choice(sides)
         texts.append(" ".join([*prose(rng, 5, 10**6).split(" "), *left[40 - a :], *core, *right[:b], *prose(rng, 5, 10**6).split(" ")]))
     docs = docs_of(spark, texts)
-    for most in (2000, 3):  # all rounds in tasks, and rounds that are joins
+    for most in (20_000, 3):  # all rounds in tasks, and rounds that are joins
         got = sorted(tuple(r) for r in substring_dedup(docs, most=most).collect())
         assert got == brute(texts, 50) and sum(r[2] > 0 for r in got) > 10
 
