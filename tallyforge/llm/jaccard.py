@@ -140,7 +140,7 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
     A class of size n, with o = ceil(n * num / den) the least overlap of a link, gives its first
     n - o + shared(n) shingles in the common order. Shingles travel packed, dealt by hash; of
     the frequent ones, and of those that a slice of a task has twice, it is known that they meet,
-    so these are dealt anyhow, but for one of each slice.
+    so these are dealt anyhow, and one of each slice as the others are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -170,9 +170,13 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
                 h, doc, late = h[first], doc[first], late[first]
                 # what meets in this slice is known to meet: dealt too, and one row of it goes where others may meet it
                 by = np.argsort(h, kind="stable")
-                again = np.zeros(len(h), bool)
-                again[by[1:]] = h[by[1:]] == h[by[:-1]]
-                late = late | again
+                same = h[by[1:]] == h[by[:-1]]
+                again, heads = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                again[by[1:]], heads[by[:-1]] = same, same
+                heads &= ~again & ~late
+                # the row that stands for them goes both ways: elsewhere it may meet nobody
+                late = np.append(late | again | heads, np.zeros(heads.sum(), bool))
+                h, doc = np.append(h, h[heads]), np.append(doc, doc[heads])
                 turn += 1
                 to = (h % np.uint64(n_parts)).astype(np.int64)
                 to[late] = (to[late] + turn * 7919 + cls[doc[late]]) % n_parts
