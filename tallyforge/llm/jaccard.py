@@ -64,7 +64,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 class Often:
     """Shingles that a task meets again and again, with about how often: what is rare goes when there are too many."""
 
-    def __init__(self, most: int = 500_000, pending: int = 6_000_000):
+    def __init__(self, most: int = 250_000, pending: int = 3_000_000):
         self.most, self.pending, self.held = most, pending, 0
         self.keys, self.counts, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
@@ -75,13 +75,22 @@ class Often:
             self.settle()
 
     def settle(self) -> None:
-        h, n = np.unique(np.concatenate([*self.new, np.zeros(0, np.uint64)]), return_counts=True)
-        keys, back = np.unique(np.concatenate([self.keys, h]), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([self.counts, n]), minlength=len(keys)).astype(np.int64)
-        keep = counts > 1
-        if keep.sum() > self.most:
-            keep &= counts > np.partition(counts, len(counts) - self.most)[len(counts) - self.most]
-        self.keys, self.counts, self.new, self.held = keys[keep], counts[keep], [], 0
+        h = np.concatenate([*self.new, np.zeros(0, np.uint64)])
+        self.new, self.held = [], 0
+        h.sort()  # in place: a worker holds the pending hashes once
+        starts = np.flatnonzero(np.concatenate([h[:1] == h[:1], h[1:] != h[:-1]]))
+        n = np.diff(np.append(starts, len(h)))
+        h = h[starts]
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        old = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        self.counts[at[old]] += n[old]
+        fresh = ~old & (n > 1)
+        keys, counts = np.append(self.keys, h[fresh]), np.append(self.counts, n[fresh])
+        if len(keys) > self.most:
+            keep = counts > np.partition(counts, len(counts) - self.most)[len(counts) - self.most]
+            keys, counts = keys[keep], counts[keep]
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
 
 def profiles(docs: DataFrame, k: int, seen: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 from helpers import corpus, docs_of, edited, lower, prose, words
 
 from tallyforge.llm import jaccard
-from tallyforge.llm.jaccard import jaccard_join
+from tallyforge.llm.jaccard import Often, jaccard_join
 
 
 def brute(texts, k, num, den):
@@ -71,3 +71,20 @@ def test_null_and_repeated_ids(spark):
     rows = [(5, a), (5, a), (None, a), (3, b), (9, b.upper()), (None, None), (3, "")]
     got = Counter(tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
     assert got == Counter([(5, 3, 5), (5, 3, 5), (None, 3, 5), (3, 2, 3), (9, 2, 3), (None, 0, None), (3, 0, 3)])
+
+
+def test_often_counts_as_a_plain_count():
+    rng = np.random.default_rng(2)
+    often, plain = Often(pending=10**9), Counter()
+    for _ in range(2):
+        h = rng.integers(0, 60, 90).astype(np.uint64)
+        often.add(h)
+        often.settle()
+        for x, n in Counter(h.tolist()).items():
+            if x in plain or n > 1:
+                plain[x] += n
+        assert dict(zip(often.keys.tolist(), often.counts.tolist(), strict=True)) == plain
+    few = Often(most=3)
+    few.add(np.array([1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 5], np.uint64))
+    few.settle()
+    assert few.keys.tolist() == [1, 5]
