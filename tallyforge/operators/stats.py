@@ -100,21 +100,82 @@ def verdict(low: Column, high: Column, limit: float) -> Column:
     return F.when(high <= limit, "PASS").when(low > limit, "FAIL").otherwise("INCONCLUSIVE")
 
 
-def bootstrap(blocks: DataFrame, by: str, value: str, replicates: int = 1000, seed: int = 34) -> DataFrame:
-    """(by, low, high): the middle 95 % of means of `replicates` resamples of each group's block values.
+def block_draws(samples: DataFrame, by: str, replicates: int = 1000, seed: int = 34) -> DataFrame:
+    """(by, state, replicate, window, block, times): two-stage resamples of samples(by, state, window, block).
 
-    A group is first reduced to (value, times), so that a task holds its distinct values only.
+    A replicate draws as many windows of a state as it has, each with replacement, and from each drawn window as many
+    blocks as that has. Draws are hashes of their place, so reruns agree however rows are dealt. Windows are numbered
+    within their state: one row for each stretch of time.
     """
-    counts = blocks.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    at = [by, "state"]
+    blocks = samples.select(*at, "window", "block").distinct()
+    blocks = blocks.withColumn("_j", F.row_number().over(W.partitionBy(*at, "window").orderBy("block")) - 1)
+    windows = blocks.groupBy(*at, "window").agg(F.count("*").alias("_blocks"))
+    windows = windows.withColumn("_i", F.row_number().over(W.partitionBy(*at).orderBy("window")) - 1)
+    many = windows.groupBy(*at).agg(F.count("*").alias("_windows"))
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("v")
-        n = int(rows["n"].sum())
-        g = np.random.default_rng([seed, *str(key[0]).encode()])
-        means = np.sort([g.multinomial(n, rows["n"] / n) @ rows["v"] / n for _ in range(replicates)])
-        return pd.DataFrame({by: [key[0]], "low": [means[int(0.025 * (replicates - 1) + 0.5)]], "high": [means[int(0.975 * (replicates - 1) + 0.5)]]})
+    def drawn(below: str, *place: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *place), F.col(below)).cast("int")
 
-    return counts.groupBy(by).applyInPandas(one, f"{by} {dict(blocks.dtypes)[by]}, low double, high double")
+    slots = windows.select(*at, F.col("_i").alias("slot")).join(many, at).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    picked = slots.withColumn("_i", drawn("_windows", *at, "replicate", "slot")).join(windows, [*at, "_i"])
+    picked = picked.withColumn("_turn", F.explode(F.expr("sequence(0, cast(_blocks as int) - 1)"))).withColumn("_j", drawn("_blocks", *at, "replicate", "slot", "_turn"))
+    times = picked.groupBy(*at, "replicate", "window", "_j").agg(F.count("*").alias("times"))
+    return times.join(blocks, [*at, "window", "_j"]).select(*at, "replicate", "window", "block", "times")
+
+
+def replicate_p95(samples: DataFrame, draws: DataFrame, by: str) -> DataFrame:
+    """(by, state, replicate, p95): the nearest-rank 95th percentile of the values that each replicate drew.
+
+    The pooled percentiles from the 80th on are the bounds of bins. Counts by bin say which bin holds a replicate's rank, and
+    only the values of that bin are ranked, so a replicate never reads all its values; bins change no result.
+    """
+    at = [by, "state"]
+    cuts = samples.groupBy(*at).agg(F.percentile_approx("value", F.lit([x / 100 for x in range(80, 100)]), 10_000).alias("_cuts"))
+    binned = samples.join(cuts, at).withColumn("bin", F.size(F.filter("_cuts", lambda c: c <= F.col("value"))))
+    binned = binned.groupBy(*at, "window", "block", "bin", "value").agg(F.count("*").alias("n"))
+    held = binned.groupBy(*at, "window", "block", "bin").agg(F.sum("n").alias("n"))
+    one = [*at, "replicate"]
+    counts = draws.join(held, [*at, "window", "block"]).groupBy(*one, "bin").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    above = W.partitionBy(*one).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumns({"_above": F.coalesce(F.sum("n").over(above), F.lit(0)), "_all": F.sum("n").over(W.partitionBy(*one))})
+    rank = F.col("_all") - F.ceil(F.col("_all") * 95 / 100) + 1 - F.col("_above")
+    found = counts.withColumn("rank", rank).where("rank between 1 and n").select(*one, "bin", "rank")
+    values = draws.join(found, one).join(binned, [*at, "window", "block", "bin"])
+    values = values.groupBy(*one, "rank", "value").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    reach = F.sum("n").over(W.partitionBy(*one).orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0))
+    return values.withColumn("_reach", reach).where("_reach >= rank").groupBy(*one).agg(F.max("value").alias("p95"))
+
+
+def bootstrap(samples: DataFrame, levels: DataFrame, by: str, alpha: float = 0.05, replicates: int = 1000, seed: int = 34) -> DataFrame:
+    """(by, p95_low, p95_high, load_low, load_high): bounds at alpha and 1 - alpha of a two-stage block bootstrap.
+
+    samples: by, state ('on' or 'off'), window, block, value; levels: by, state, window, level, n. Rows with a null in any of them take no
+    part. A replicate gives the p95 of 'on' over that of 'off' less 1, and the difference of the mean levels,
+    weighed by n, of the windows it drew. A p95 of 0 when off gives no ratio; a group that lacks a state has null bounds.
+    """
+    samples = samples.select(by, "state", "window", "block", "value").dropna()
+    levels = levels.select(by, "state", "window", "level", "n").dropna()
+    draws = block_draws(samples, by, replicates, seed)
+    one = [by, "replicate"]
+
+    def side(name: str, of: str) -> Column:
+        return F.max(F.when(F.col("state") == name, F.col(of)))
+
+    p95 = replicate_p95(samples, draws, by).groupBy(*one).agg(side("on", "p95").alias("on"), side("off", "p95").alias("off"))
+    p95 = p95.select(*one, F.when(F.col("off") != 0, F.col("on") / F.col("off") - 1).alias("ratio"))
+    # a window drawn k times has k times its number of blocks
+    size = samples.groupBy(by, "state", "window").agg(F.count_distinct("block").alias("_blocks"))
+    picks = draws.groupBy(*one, "state", "window").agg(F.sum("times").alias("k")).join(size, [by, "state", "window"]).join(levels, [by, "state", "window"])
+    weight = F.col("k") / F.col("_blocks") * F.col("n")
+    load = picks.groupBy(*one, "state").agg((F.sum(weight * F.col("level")) / F.sum(weight)).alias("level"))
+    load = load.groupBy(*one).agg((side("on", "level") - side("off", "level")).alias("load"))
+
+    def at(q: float, of: str) -> Column:
+        return F.expr(f"percentile_disc({q}) within group (order by {of})")
+
+    got = p95.join(load, one, "full_outer").groupBy(by)
+    return got.agg(*[at(q, of).alias(f"{name}_{end}") for name, of in (("p95", "ratio"), ("load", "load")) for q, end in ((alpha, "low"), (1 - alpha, "high"))])
 
 
 def byte_difference(pairs: DataFrame, key: str) -> DataFrame:

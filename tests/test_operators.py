@@ -313,3 +313,41 @@ def test_overlaps_give_one_owner_for_each_root(spark):
 def test_an_unreadable_root_is_a_refusal(spark, tmp_path):
     readers.register(spark)
     assert [r.refusal for r in spark.read.format("filetree").load(str(tmp_path / "none")).collect()] == ["io:2"]
+
+
+def test_bootstrap_draws_windows_then_blocks_and_takes_p95(spark):
+    import math
+    from collections import defaultdict
+
+    g = random.Random(3)
+    rows = [("a", s, w, b, float(g.randrange(1, 40))) for s in ("on", "off") for w in range(4) for b in range(1 + w % 3) for _ in range(g.randrange(1, 30))]
+    rows += [("lone", "on", 0, 0, 1.0), ("a", "on", 1, None, 5.0), ("a", "on", 1, 0, None)]
+    samples = spark.createDataFrame(rows, "g string, state string, window int, block int, value double")
+    whole = samples.dropna()
+    draws = stats.block_draws(whole, "g", 60)
+    got = {(r.g, r.state, r.replicate): r.p95 for r in stats.replicate_p95(whole, draws, "g").collect()}
+    values, drawn, picks = defaultdict(list), defaultdict(list), defaultdict(lambda: defaultdict(int))
+    for k, s, w, b, v in rows:
+        if b is not None and v is not None:
+            values[k, s, w, b].append(v)
+    for r in draws.collect():
+        drawn[r.g, r.state, r.replicate] += values[r.g, r.state, r.window, r.block] * r.times
+        picks[r.g, r.state, r.replicate][r.window] += r.times
+    plain = {k: sorted(v)[math.ceil(0.95 * len(v)) - 1] for k, v in drawn.items()}
+    assert got == plain and len(plain) == 180
+    for (k, s, _), per in picks.items():
+        assert sum(n / (1 + w % 3) for w, n in per.items()) == (4 if k == "a" else 1)
+    assert len({tuple(sorted(p.items())) for key, p in picks.items() if key[0] == "a"}) > 20
+
+    levels = spark.createDataFrame([("a", s, w, float(w + 10 * (s == "on")), 1 + w) for s in ("on", "off") for w in range(4)], "g string, state string, window int, level double, n long")
+    out = {r.g: r for r in stats.bootstrap(samples, levels, "g", 0.05, 60).collect()}
+    ratios = sorted(plain["a", "on", i] / plain["a", "off", i] - 1 for i in range(60))
+    load = {}
+    for i in range(60):
+        for s in ("on", "off"):
+            per = {w: n / (1 + w % 3) * (1 + w) for w, n in picks["a", s, i].items()}
+            load[s, i] = sum(x * (w + 10 * (s == "on")) for w, x in per.items()) / sum(per.values())
+    loads = sorted(load["on", i] - load["off", i] for i in range(60))
+    assert (out["a"].p95_low, out["a"].p95_high) == (ratios[2], ratios[56])
+    assert abs(out["a"].load_low - loads[2]) < 1e-9 and abs(out["a"].load_high - loads[56]) < 1e-9
+    assert out["lone"].p95_low is None and out["lone"].load_high is None
