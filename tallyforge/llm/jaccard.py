@@ -415,8 +415,13 @@ def _groups(blocks: DataFrame, families: DataFrame, single: DataFrame, num: int,
     known = families.join(one[0], "a", "left").join(one[1], "b", "left")
     plain = known.where("group_a is not null and group_b is not null").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
     open_ = known.where("group_a is null or group_b is null").select("a", "b")
+    # by shingle first: a family of many groups meets a partner only in the shingles that both hold, not in all its own
+    held = blocks.select("token", "family").distinct().join(single.select("family", F.lit(True).alias("one")), "family", "left")
+    many = held.where("one is null").select("token", F.col("family").alias("x"))
+    met = many.join(held.select("token", F.col("family").alias("y"), "one"), "token").where("one or x <= y")
+    met = met.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(open_, ["a", "b"])
     a, b = (blocks.select("token", F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "least", "dropped")]) for s in "ab")
-    met = a.join(open_, "a").join(b, ["b", "token"]).where("a <> b or group_a < group_b")
+    met = met.join(a, ["a", "token"]).join(b, ["b", "token"]).where("a <> b or group_a < group_b")
     return plain.union(_enough(met.groupBy(F.col("group_a").alias("a"), F.col("group_b").alias("b")), num, den))
 
 
