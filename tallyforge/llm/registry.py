@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, jaccard, lattice, lines, mixing, neighbours, personal, repeats, toxicity
+from . import bpe, exact, extract, importance, jaccard, lattice, lines, mixing, negatives, neighbours, personal, repeats, toxicity
 
 W = "[^\\x20\\x09-\\x0D]+"
 
@@ -161,6 +161,69 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=5, least=20, n=3, buckets=10_000, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# the CRC-32 of the features' bytes is folded bit by bit from its polynomial
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id AS id, false AS asked, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 0, true, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+  SELECT id, asked, array_to_string(w[i:i + k], ' ') AS g, count(*) AS n
+  FROM (SELECT id, asked, w, k, unnest(range(1, greatest(len(w) - k, 0) + 1)) AS i FROM t, range(3) r(k)) GROUP BY ALL
+), c AS (
+  SELECT g, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, CAST(i + 1 AS INTEGER), 2))::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))), 4294967295::BIGINT), 4294967295) % 10000 AS b
+  FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f))
+), fb AS (
+  SELECT id, asked, b, sum(n) AS n FROM f JOIN c USING (g) GROUP BY ALL
+), m AS (
+  SELECT b, coalesce(sum(n) FILTER (asked), 0)::DOUBLE AS t, coalesce(sum(n) FILTER (NOT asked), 0)::DOUBLE AS s FROM fb GROUP BY b
+), a AS (
+  SELECT sum(t) AS t, sum(s) AS s FROM m
+), g AS (
+  SELECT b, floor(1000 * ln((m.t + 1) * (a.s + 10000) / ((m.s + 1) * (a.t + 10000)))) AS gain FROM m, a
+), d AS (
+  SELECT id AS doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM fb JOIN g USING (b) WHERE NOT asked GROUP BY id
+), s AS (
+  SELECT t.id AS doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) >= 20 AS able,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || t.id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM t LEFT JOIN d ON d.doc_id = t.id WHERE NOT asked
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS all_ FROM s
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * all_ // 100 THEN place END AS rank FROM p
+"""
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, k=10, low=30, high=90)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS own, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -173,8 +236,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lattice_score": op8_lattice_score,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_html_extraction": op12_html_extraction,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op13_hard_negatives": OP13_SQL}

@@ -15,6 +15,17 @@ def ordered(df: DataFrame, *order: Column | str) -> DataFrame:
     return saved(rows.select(*df.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ordered")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows of ordered() with their place in the whole order, from 0, in place of _part and _at."""
+    starts, at = [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count("*")).collect())):  # one row for each task of the sort
+        starts.append((part, at))
+        at += n
+    starts = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    rows = rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at"))
+    return rows.drop("_part", "_at", "_start")
+
+
 def prefixed(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
     """df with, for each name of sums, the sum of that column over all rows before, in a global order without ties.
 
@@ -61,13 +72,7 @@ def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame |
     # the digest bounds what is compared, the last key lets a row repeated very often be split
     rows = docs.withColumns({"_null": F.col(key).isNull(), "_digest": F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit(""), "_tie": F.monotonically_increasing_id()})
     rows = ordered(rows, "_null", key, "_digest", "_tie").select(*docs.columns, "_part", "_at")
-    # a number for each task of the sort
-    sizes, starts, at = sorted(map(tuple, rows.groupBy("_part").agg(F.count("*")).collect())), [], 0
-    for part, n in sizes:
-        starts.append((part, at))
-        at += n
-    starts = docs.sparkSession.createDataFrame(starts, "_part long, _start long")
-    rows = rows.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_start") + F.col("_at"))
+    rows = numbered(rows, "_row")
     ids = rows.select(F.col("_row").alias("row"), F.col(key).alias("id"))
     return rows.withColumn(key, F.col("_row")).select(*docs.columns), ids
 

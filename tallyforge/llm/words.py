@@ -39,10 +39,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """Words of some texts: byte span, hash and document of each, in order.
 
-    first[d]:first[d + 1] are the words of text d.
+    first[d]:first[d + 1] are the words of text d. `between` marks the bytes that part words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, between: np.ndarray = _SPACE):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         n = len(texts)
         _, offs, data = texts.buffers()
@@ -50,7 +50,7 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
         self.off = off - off[0]
         self.raw = raw
-        space = _SPACE[raw]
+        space = between[raw]
         edge = np.ones(len(raw), bool)
         edge[1:] = space[:-1]
         edge[self.off[:-1][self.off[:-1] < len(raw)]] = True  # a text's first byte starts a word
