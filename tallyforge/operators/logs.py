@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a slice of positions, about.
+SLICE = 4096
+
 
 def counted_extras(live: DataFrame, seat: DataFrame, by: list[str], pos: str) -> DataFrame:
-    """Live rows beyond the number of equal seat rows, first occurrences used up first. Null equals null.
+    """Live rows beyond the number of equal seat rows, first occurrences used up first. Null equals null; pos is a whole number, distinct.
 
-    A row's rank among equal ones is its rank in a range of pos, plus what ranges before hold: a line that makes up
-    a third of a log is no task's alone.
+    A row's rank among equal ones is its rank in a slice of positions, plus what slices before hold: a line that makes up
+    a third of a log is no task's alone. Slices depend on positions only, so every reading of the log cuts the same.
     """
     have = seat.groupBy(*by).agg(F.count("*").alias("_have"))
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
-    ranged = live.repartitionByRange(pos).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_range").orderBy(pos)))
-    held = ranged.groupBy(*by, "_range").agg(F.max("_in").alias("_n"))
-    ahead = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    held = held.select(*by, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*by, "_range")]
-    ranked = ranged.alias("r").join(held.alias("a"), met).select("r.*", (F.col("_in") + F.col("_ahead")).alias("_rn"))
-    return ranked.alias("l").join(have.alias("h"), on, "left").where(F.col("l._rn") > F.coalesce("h._have", F.lit(0))).select(*[f"l.{c}" for c in live.columns])
+    low, high, n = live.agg(F.min(pos), F.max(pos), F.count("*")).first()
+    width = max(1, (high - low + 1) * SLICE // n) if n else 1
+    sliced = live.withColumn("_slice", F.floor((F.col(pos) - F.lit(low or 0)) / width))
+    held = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    ahead = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(*by, "_slice", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    # per line and slice: how many of its rows there are used up
+    left = held.alias("a").join(have.alias("h"), [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by], "left")
+    left = left.select(*[F.col(f"a.{c}").alias(c) for c in by], "_slice", (F.coalesce("_have", F.lit(0)) - F.col("_ahead")).alias("_used"))
+    ranked = sliced.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_slice").orderBy(pos)))
+    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}")) for c in (*by, "_slice")]
+    return ranked.alias("r").join(left.alias("u"), met).where("_in > _used").select(*[F.col(f"r.{c}") for c in live.columns])
 
 
 def keyed_extras(live: DataFrame, seat: DataFrame, key: str, pos: str) -> DataFrame:

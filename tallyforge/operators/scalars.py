@@ -43,14 +43,27 @@ def lane_verdict(sessions_hold: Column, git: Column, handoff: Column) -> Column:
 
 
 def integer_token(token: Column) -> Column:
-    """The value of 12, -1_000, 0x1f, 0o17 or 0b11 as decimal(38,0); null for anything else."""
+    """The value of 12, -1_000, 0x1f, 0o17 or 0b11 as decimal(38,0), of any number of digits; null for anything else.
+
+    A value beyond 38 decimal digits, or beyond 127 bits, is null.
+    """
     bare = F.replace(token, F.lit("_"), F.lit(""))
     body = F.regexp_replace(bare, "^[+-]", "")
+    whole = "decimal(38,0)"
 
     def based(prefix: str, digits: str, base: int) -> Column:
-        return F.when(body.rlike(f"^{prefix}{digits}{{1,15}}$"), F.conv(F.substring(body, 3, 64), base, 10).cast("decimal(38,0)"))
-
-    value = F.coalesce(based("0x", "[0-9A-Fa-f]", 16), based("0o", "[0-7]", 8), based("0b", "[01]", 2), F.when(body.rlike("^[0-9]{1,38}$"), body.try_cast("decimal(38,0)")))
+        # a 0 before each digit of a base up to 16 keeps the parts of a fixed width: eight digits are below 2**32
+        bits = {16: 4, 8: 3, 2: 1}[base]
+        each = F.regexp_replace(F.substring(body, 3, 1 << 20), "^0+", "")
+        step = 32 // bits
+        padded = F.lpad(each, F.ceil(F.length(each) / step) * step, "0")
+        parts = F.transform(F.sequence(F.lit(0), F.length(padded) - step, F.lit(step)), lambda i: F.conv(F.substring(padded, i + 1, F.lit(step)), base, 10).cast(whole))
+        value = F.aggregate(parts, F.lit(0).cast(whole), lambda a, d: F.try_add(F.try_multiply(a, F.lit(1 << (bits * step)).cast("decimal(10,0)")).cast(whole), d).cast(whole))
+        least = -(-127 // bits)
+        return F.when(body.rlike(f"^{prefix}{digits}+$"), F.when(F.length(each) == 0, F.lit(0).cast(whole)).when(F.length(each) <= least, value))
+
+    decimal = F.regexp_replace(body, "^0+(?=[0-9])", "")
+    value = F.coalesce(based("0x", "[0-9A-Fa-f]", 16), based("0o", "[0-7]", 8), based("0b", "[01]", 2), F.when(decimal.rlike("^[0-9]{1,38}$"), decimal.try_cast(whole)))
     return F.when(bare.startswith("-"), -value).otherwise(value)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import closure, documents, paths, refs
+from ..operators import closure, documents, history, paths, refs
 from .catalogue import query
 from .tables import table
 
@@ -70,7 +70,27 @@ def _ref_classes(orders: DataFrame) -> DataFrame:
     edges = o.where("k > 0").select(F.col("k").alias("child"), F.expr("k div 2").alias("parent"))
     s = o.where("k % 3 <> 0").select(F.col("k").alias("name"), F.col("k").alias("oid"))
     d = o.where("k % 5 <> 0").select(F.col("k").alias("name"), F.expr("case k % 4 when 0 then k div 4 when 1 then k * 2 when 2 then k else k + 1 end").alias("oid"))
-    return refs.classes(s, d, refs.ancestry(edges))
+    both = s.select("name", F.col("oid").alias("a")).join(d.select("name", F.col("oid").alias("b")), "name")
+    asked = both.select(F.col("a").alias("child"), F.col("b").alias("ancestor")).union(both.select("b", "a"))
+    return refs.classes(s, d, history.above(history.index(edges), asked))
+
+
+@query(
+    "have_want",
+    """WITH RECURSIVE e AS (SELECT l_orderkey * 10 + l_linenumber AS child, l_orderkey * 10 + l_linenumber - 1 AS parent FROM lineitem WHERE l_linenumber > 1
+      UNION SELECT o_orderkey * 10 + 1, (o_orderkey // 2) * 10 + 1 FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey * 10 + 1, (o_orderkey // 3) * 10 + 1 FROM orders WHERE o_orderkey % 8 = 0 AND o_orderkey > 1),
+    w AS (SELECT l_orderkey * 10 + l_linenumber AS node FROM lineitem WHERE l_orderkey % 5 = 0), o AS (SELECT l_orderkey * 10 + l_linenumber AS node FROM lineitem WHERE l_orderkey % 35 = 0 OR l_orderkey % 11 = 0 UNION SELECT -1),
+    n AS (SELECT child AS node FROM e UNION SELECT parent FROM e UNION SELECT node FROM w), h AS (SELECT node FROM o WHERE node IN (SELECT node FROM n)), d AS (SELECT node FROM w WHERE node NOT IN (SELECT node FROM h)),
+    rd AS (SELECT node FROM d UNION SELECT e.parent FROM rd JOIN e ON e.child = rd.node), rh AS (SELECT node FROM h UNION SELECT e.parent FROM rh JOIN e ON e.child = rh.node)
+    SELECT node FROM rd EXCEPT SELECT node FROM rh""",
+)
+def have_want(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    edges = l.where("l_linenumber > 1").select(F.col("node").alias("child"), (F.col("node") - 1).alias("parent"))
+    edges = edges.union(o.where("k > 1").selectExpr("k * 10 + 1", "(k div 2) * 10 + 1")).union(o.where("k % 8 = 0 and k > 1").selectExpr("k * 10 + 1", "(k div 3) * 10 + 1"))
+    offered = l.where("l_orderkey % 35 = 0 or l_orderkey % 11 = 0").select("node").union(spark.range(1).selectExpr("-1"))
+    return history.have_want(edges, l.where("l_orderkey % 5 = 0").select("node"), offered)
 
 
 _NAMES = "nm AS (SELECT 'a/' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '/' || CAST(p_partkey AS VARCHAR) ELSE '' END AS name, p_partkey AS k FROM part)"

@@ -19,12 +19,12 @@ _EV = "ev AS (SELECT event_id, event_type || ':' || CAST(user_id AS VARCHAR) AS
 
 @query(
     "log_union_counted",
-    f"""WITH {_EV}, seat AS (SELECT * FROM ev WHERE event_id % 3 = 0), h AS (SELECT line, count(*) AS n FROM seat GROUP BY 1),
+    f"""WITH ev AS (SELECT event_id, event_type || ':' || CAST(user_id AS VARCHAR) AS line, props FROM events), seat AS (SELECT * FROM ev WHERE event_id % 3 = 0), h AS (SELECT line, count(*) AS n FROM seat GROUP BY 1),
     l AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY event_id) AS rn FROM ev WHERE event_id % 3 <> 0)
-    SELECT event_id, line, 0 AS side FROM seat UNION ALL SELECT event_id, l.line, 1 FROM l LEFT JOIN h USING (line) WHERE rn > coalesce(n, 0)""",
+    SELECT event_id, line, props, 0 AS side FROM seat UNION ALL SELECT event_id, l.line, props, 1 FROM l LEFT JOIN h USING (line) WHERE rn > coalesce(n, 0)""",
 )
 def log_union_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("line"), "props")
     seat, live = e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")
     return logs.union_log(seat, logs.counted_extras(live, seat, ["line"], "event_id"))
 
