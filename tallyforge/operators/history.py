@@ -35,8 +35,11 @@ class History:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def index(edges: DataFrame) -> History:
-    """The index of edges(child, parent); edges with a null end are none, repeated ones count once. A cycle is an error."""
+def index(edges: DataFrame, ranked: bool = True) -> History:
+    """The index of edges(child, parent); edges with a null end are none, repeated ones count once. A cycle is an error.
+
+    ranked: with generation numbers, which above() asks for.
+    """
     h = History(work_folder(edges.sparkSession), [], edges, edges)
     e = h.written(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "edges")
     many = e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
@@ -57,15 +60,19 @@ def index(edges: DataFrame) -> History:
         step = h.up[j].select(F.col("node").alias("top"), "up")
         at = at.join(step, "top", "left").select("node", F.coalesce("up", "top").alias("top"), (F.col("depth") + F.when(F.col("up").isNull(), 0).otherwise(1 << j)).alias("depth"))
     at = h.written(at, "runs")
-    h.places = h.written(at.join(_generations(h, at), "top").select("node", "top", "depth", (F.col("gen") + F.col("depth")).alias("gen")), "places")
+    h.places = at
+    if ranked:
+        gens = _generations(h, at)
+        at = at.withColumn("gen", F.col("depth") + 1) if gens is None else at.join(gens, "top").withColumn("gen", F.col("gen") + F.col("depth"))
+        h.places = at.select("node", "top", "depth", "gen") if gens is None else h.written(at.select("node", "top", "depth", "gen"), "places")
     return h
 
 
-def _generations(h: History, runs: DataFrame) -> DataFrame:
-    """(top, gen): 1 for roots, else more than any parent's; one round for each merge on the longest way."""
-    tops = runs.where("depth = 0").select("top", F.lit(1).cast("long").alias("gen"))
+def _generations(h: History, runs: DataFrame) -> DataFrame | None:
+    """(top, gen): 1 for roots, else more than any parent's; one round for each merge on the longest way. None where all tops are roots."""
     if h.merges.isEmpty():
-        return tops
+        return None
+    tops = runs.where("depth = 0").select("top", F.lit(1).cast("long").alias("gen"))
     p = runs.select(F.col("node").alias("parent"), F.col("top").alias("above"), (F.col("depth") + 1).alias("weight"))
     links = h.written(h.merges.join(p, "parent").groupBy(F.col("node").alias("top"), "above").agg(F.max("weight").alias("weight")), "links")
     known = h.written(tops, "gen")
@@ -110,19 +117,15 @@ def above(h: History, asked: DataFrame) -> DataFrame:
 
 def reached(h: History, tips: DataFrame) -> DataFrame:
     """(node): tips(node) and all that lies above them, each once. Rounds go from merge to merge; runs are filled once, by doubling."""
-    new = h.written(tips.select("node").where("node is not null").distinct(), "tips")
-    every, met = new, None
+    every = new = h.written(tips.select("node").where("node is not null").distinct(), "tips")
+    over = h.merges.select(F.col("node").alias("top"), F.col("parent").alias("node"))
     while not h.merges.isEmpty():
-        tops = new.join(h.places, "node").select("top").distinct()
-        if met is not None:
-            tops = tops.join(met, "top", "left_anti")
-        tops = h.written(tops, "tops")
-        met = tops if met is None else met.union(tops)
-        new = h.written(tops.join(h.merges.select(F.col("node").alias("top"), F.col("parent").alias("node")), "top").select("node").distinct(), "tips")
+        up = new.join(h.places, "node").select("top").distinct().join(over, "top").select("node").distinct()
+        new = h.written(up.join(every, "node", "left_anti"), "tips")
         if new.isEmpty():
             break
         every = every.union(new)
-    out = every.distinct()
+    out = every  # each tip is there once
     for up in h.up:
         out = h.written(out.union(out.join(up, "node").select(F.col("up").alias("node"))).distinct(), "reached")
     return out
@@ -131,7 +134,7 @@ def reached(h: History, tips: DataFrame) -> DataFrame:
 def have_want(edges: DataFrame, wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(node): what has to be sent for wanted(node) to one that offered(node): offers the graph lacks do not count, wants among
     the offers are held, and of all above the other wants goes what no held tip reaches."""
-    h = index(edges)
+    h = index(edges, ranked=False)
     nodes = h.places.select("node").union(wanted.select("node")).distinct()
     held = offered.select("node").distinct().join(nodes, "node", "left_semi")
     needed = wanted.select("node").distinct().join(held, "node", "left_anti")
