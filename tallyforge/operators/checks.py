@@ -121,8 +121,8 @@ def fold_whitespace(c: Column) -> Column:
 
 
 def tracking_name(ref: Column, source: str) -> Column:
-    """refs/heads/X -> refs/remotes/source/X; null for other names."""
-    return F.when(ref.startswith("refs/heads/"), F.concat(F.lit(f"refs/remotes/{source}/"), F.substring(ref, 12, 1 << 20)))
+    """refs/heads/X and any other refs/X -> refs/remotes/source/X; a name outside refs/ stands whole behind it."""
+    return F.concat(F.lit(f"refs/remotes/{source}/"), F.regexp_replace(ref, "^refs/(heads/)?", ""))
 
 
 def placed(files: DataFrame) -> DataFrame:

@@ -37,11 +37,16 @@ def pruned(paths: DataFrame, path: str, excluded: DataFrame) -> DataFrame:
     return paths.join(under, path, "left_anti")
 
 
-def asides(names: DataFrame) -> DataFrame:
-    """(dir, name, aside): siblings of names(dir, name) called name.label, with one more dot-free label."""
-    label = F.regexp_extract("name", r"^(.+)\.([^.]+)$", 1)
-    a = names.select("dir", F.col("name").alias("aside"), label.alias("name")).where("name <> ''")
-    return a.join(names.select("dir", "name").distinct(), ["dir", "name"]).select("dir", "name", "aside")
+def asides(names: DataFrame, tags: list[str], label: str) -> DataFrame:
+    """(dir, name, aside): siblings of names(dir, name) called name.TAG-anything for one of the tags, or name.label."""
+    parts = F.split("name", "\\.", -1)
+    # a name with several dots may be an aside of several
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), ".").alias("name"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("suffix")))
+    each = names.where(F.size(parts) > 1).select("dir", F.col("name").alias("aside"), F.explode(cuts).alias("c")).select("dir", "aside", "c.name", "c.suffix")
+    fits = F.col("suffix") == label
+    for tag in tags:
+        fits |= F.col("suffix").startswith(f"{tag}-")
+    return each.where(fits & (F.col("name") != "")).join(names.select("dir", "name").distinct(), ["dir", "name"]).select("dir", "name", "aside").distinct()
 
 
 def elsewhere(files: DataFrame, others: DataFrame) -> DataFrame:
@@ -63,26 +68,40 @@ def expected(manifest: DataFrame, records: DataFrame, since: int) -> DataFrame:
     return manifest.join(r, "name", "left").select("name", F.when(F.col("started").isNull(), "missing").when(F.col("started") < since, "stale").otherwise("there").alias("state"))
 
 
-def unmatched_reviews(reviews: DataFrame, plan: DataFrame, refusals: DataFrame) -> DataFrame:
-    """reviews(item, instance, code) that close nothing, with the reason: retired, stale-instance or no-such-refusal."""
-    p = plan.select("item", F.col("instance").alias("_now")).distinct()
-    r = refusals.select("item", "instance", "code", F.lit(True).alias("_hit")).distinct()
-    x = reviews.join(p, "item", "left").join(r, ["item", "instance", "code"], "left")
-    reason = F.when(F.col("_now").isNull(), "retired").when(F.col("_now") != F.col("instance"), "stale-instance").when(F.col("_hit").isNull(), "no-such-refusal")
-    return x.withColumn("reason", reason).where("reason is not null").select("item", "instance", "code", "reason")
+def unmatched_reviews(reviews: DataFrame, refusals: DataFrame, codes: DataFrame) -> DataFrame:
+    """Distinct (item, code, reason) of reviews(item, instance, code) that close nothing; item and instance are null for a policy.
+
+    refusal-code-retired: the code is none of codes(code) any more; refusal-instance-stale: refusals(item, instance, code) hold that item and
+    code, but of another instance; no-such-refusal: they do not hold it at all. A policy with a living code is never unmatched.
+    """
+    known = codes.select("code", F.lit(True).alias("_known")).distinct()
+    exact = refusals.select("item", "instance", "code", F.lit(True).alias("_exact")).distinct()
+    other = refusals.select("item", "code", F.lit(True).alias("_other")).distinct()
+    x = reviews.join(known, "code", "left").join(exact, ["item", "instance", "code"], "left").join(other, ["item", "code"], "left")
+    reason = F.when(F.col("_known").isNull(), "refusal-code-retired").when(F.col("item").isNull() | F.col("_exact"), None).when(F.col("_other"), "refusal-instance-stale").otherwise("no-such-refusal")
+    return x.select("item", "code", reason.alias("reason")).where("reason is not null").distinct()
+
+
+def _told(*parts: str) -> Column:
+    """The parts as one text, each behind its length, null told from empty."""
+    return F.concat(*[F.coalesce(F.concat(F.length(F.col(p).cast("string")).cast("string"), F.lit(":"), F.col(p).cast("string")), F.lit("~")) for p in parts])
 
 
 def folded(rows: DataFrame, by: str, order: str, *parts: str) -> DataFrame:
-    """(by, root): a digest of a group's rows in order; each part stands behind its length. For groups as large as one manifest."""
-    one = F.concat(*[F.concat(F.length(F.col(p).cast("string")).cast("string"), F.lit(":"), F.col(p).cast("string")) for p in parts])
-    each = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), one.alias("v"))))
+    """(by, root): a digest of a group's rows in order; each part stands behind its length, a null part as ~. For groups as large as one manifest."""
+    each = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), _told(*parts).alias("v"))))
     return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(each, lambda x: x["v"]), "").cast("binary"), 256).alias("root"))
 
 
 def identity(rows: DataFrame, order: str, width: int, *parts: str) -> DataFrame:
-    """One row, root: a digest of all rows in order, by runs of `width` whole numbers of order first."""
+    """One row, root: a digest of all rows in the order of a whole number from 0 up. Runs of `width` numbers are folded, then runs of `width`
+    runs, until one is left: no task folds more than `width` of them. Without rows, the digest of nothing."""
+    most = rows.agg(F.max(order)).first()[0] or 0
     runs = folded(rows.withColumn("_run", F.floor(F.col(order) / width)), "_run", order, order, *parts)
-    return folded(runs.withColumn("_all", F.lit(0)), "_all", "_run", "root").select("root")
+    while most >= width:
+        most //= width
+        runs = folded(runs.withColumn("_up", F.floor(F.col("_run") / width)), "_up", "_run", "_run", "root").withColumnRenamed("_up", "_run")
+    return runs.agg(F.coalesce(F.max("root"), F.sha2(F.lit("").cast("binary"), 256)).alias("root"))
 
 
 def item_digest(*parts: str) -> Column:
@@ -121,20 +140,48 @@ def back_filled(rows: DataFrame, missed: DataFrame, metrics: list[str]) -> DataF
     return rows.select("window", "metric", "value").unionByName(more)
 
 
-def bench_gate(samples: DataFrame, by: str) -> DataFrame:
-    """by, verdict of samples(phase, ours, theirs, reread, gated): PASS if both medians are below theirs and resumes read nothing,
-    FAIL if not; INFORMATIONAL where a sample is not gated."""
-    timed = [F.median(F.when(F.col("phase") == p, F.col("ours"))) < F.median(F.when(F.col("phase") == p, F.col("theirs"))) for p in ("initial", "delta")]
-    ok = timed[0] & timed[1] & (F.coalesce(F.sum(F.when(F.col("phase") == "resume", F.col("reread"))), F.lit(0)) == 0)
-    return samples.groupBy(by).agg(F.when(~F.every("gated"), "INFORMATIONAL").when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("verdict"))
+def bench_gate(samples: DataFrame, by: str, memory: int = 2 * 1024 * 1024) -> DataFrame:
+    """by, initial_win, delta_win, warm_zero, interrupted_zero, memory_ok, verdict of samples(arm, phase, ms, transferred, source_read, rss_kib, gated).
+
+    Our medians are below theirs in the phases initial and delta; our warm and our interrupted resumes moved and read exactly 0 bytes, which an
+    unknown number is not; ours never took `memory` KiB. PASS if all hold, FAIL if not or if a median is missing, INFORMATIONAL where a sample is not gated.
+    """
+    ours = F.col("arm") == "ours"
+
+    def win(phase: str) -> Column:
+        a, b = (F.median(F.when((F.col("arm") == arm) & (F.col("phase") == phase), F.col("ms"))) for arm in ("ours", "theirs"))
+        return F.coalesce(a < b, F.lit(False))
+
+    def zero(phase: str) -> Column:
+        nothing = F.coalesce((F.col("transferred") == 0) & (F.col("source_read") == 0), F.lit(False))
+        return F.coalesce(F.every(F.when(ours & (F.col("phase") == phase), nothing)), F.lit(True))
+
+    small = F.coalesce(F.every(F.when(ours, F.coalesce(F.col("rss_kib") < memory, F.lit(False)))), F.lit(True))
+    out = samples.groupBy(by).agg(
+        win("initial").alias("initial_win"), win("delta").alias("delta_win"), zero("warm-resume").alias("warm_zero"), zero("interrupted-resume").alias("interrupted_zero"), small.alias("memory_ok"), F.every("gated").alias("_gated")
+    )
+    passed = F.col("initial_win") & F.col("delta_win") & F.col("warm_zero") & F.col("interrupted_zero") & F.col("memory_ok")
+    return out.withColumn("verdict", F.when(~F.col("_gated"), "INFORMATIONAL").when(passed, "PASS").otherwise("FAIL")).drop("_gated")
 
 
 def one_percent(files: DataFrame, by: str, order: str, size: str) -> DataFrame:
-    """files, with bytes: the first in order whose sizes add up to a hundredth of each group's, rounded up; the last is clipped."""
-    w = W.partitionBy(by)
-    x = files.where(F.col(size) > 0).withColumn("_t", F.ceil(F.sum(size).over(w) / 100)).withColumn("_b", F.sum(size).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
-    left = F.col("_t") - F.coalesce("_b", F.lit(0))
-    return x.where(left > 0).withColumn("bytes", F.least(left, F.col(size))).drop("_t", "_b")
+    """files, with bytes: the first in order whose sizes add up to a hundredth of each group's, rounded up; the last is clipped.
+
+    Sums of slices of the order come first, so that a group with most of the files is no task's alone. order is a whole number, distinct in a group.
+    """
+    some = files.where(F.col(size) > 0)
+    low, high, n = some.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, (high - low + 1) * 4096 // n) if n else 1
+    sliced = some.withColumn("_slice", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    held = sliced.groupBy(by, "_slice").agg(F.sum(size).alias("_held"))
+    all_ = held.groupBy(by).agg(F.sum("_held").alias("_all"))
+    ahead = W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(by, "_slice", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_before")).join(all_, by)
+    # only slices that begin below the limit are read on
+    held = held.withColumn("_limit", F.ceil(F.col("_all") / 100)).where("_before < _limit")
+    inside = W.partitionBy(by, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    x = sliced.join(held, [by, "_slice"]).withColumn("_left", F.col("_limit") - F.col("_before") - F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return x.where("_left > 0").withColumn("bytes", F.least("_left", F.col(size))).select(*files.columns, "bytes")
 
 
 def payload_equal(a: DataFrame, b: DataFrame, key: str, kind: str, values: dict[str, list[str]]) -> DataFrame:
@@ -166,14 +213,23 @@ def ids_missing(source: DataFrame, target: DataFrame, key: str, text: str, patte
     return ids(source).join(t, [key, "_id"], "left").groupBy(key).agg(F.count("*").alias("ids"), F.count_if(F.col("_h").isNull()).alias("missing"))
 
 
-def refs_united(source: DataFrame, held: DataFrame, ahead: DataFrame) -> DataFrame:
-    """(name, action): source refs(name, oid) into held ones: create, same, fast-forward, behind or keep-both; ahead(oid, ancestor) are known pairs."""
-    x = source.select("name", F.col("oid").alias("s")).join(held.select("name", F.col("oid").alias("d")), "name", "left")
+def refs_united(source: DataFrame, held: DataFrame, ahead: DataFrame, label: str, checked_out: DataFrame | None = None) -> DataFrame:
+    """(name, action, tracking): source refs(name, oid) into held ones; ahead(oid, ancestor) are the pairs that hold.
+
+    The stash and remote-tracking refs of the source take no part. create; same; forward, or switch where the branch is in checked_out(name, clean) and clean;
+    kept where the held one is ahead. One that diverged, or is checked out with changes, is tracked: under its name in the source's namespace `label`.
+    """
+    from .checks import tracking_name
+
+    refs = source.where(~((F.col("name") == "refs/stash") | F.col("name").startswith("refs/remotes/")))
+    x = refs.select("name", F.col("oid").alias("s")).join(held.select("name", F.col("oid").alias("d")), "name", "left")
     a = ahead.distinct()
     x = x.join(a.select(F.col("oid").alias("s"), F.col("ancestor").alias("d"), F.lit(True).alias("_f")), ["s", "d"], "left")
     x = x.join(a.select(F.col("oid").alias("d"), F.col("ancestor").alias("s"), F.lit(True).alias("_b")), ["s", "d"], "left")
-    action = F.when(F.col("d").isNull(), "create").when(F.col("s") == F.col("d"), "same").when(F.col("_f"), "fast-forward").when(F.col("_b"), "behind").otherwise("keep-both")
-    return x.select("name", action.alias("action"))
+    x = x.withColumn("_clean", F.lit(None).cast("boolean")) if checked_out is None else x.join(checked_out.groupBy("name").agg(F.every("clean").alias("_clean")), "name", "left")
+    forward = F.when(F.col("_clean").isNull(), "forward").when(F.col("_clean"), "switch").otherwise("track")
+    action = F.when(F.col("d").isNull(), "create").when(F.col("s") == F.col("d"), "same").when(F.col("_f"), forward).when(F.col("_b"), "kept").otherwise("track")
+    return x.withColumn("action", action).select("name", "action", F.when(F.col("action") == "track", tracking_name(F.col("name"), label)).alias("tracking"))
 
 
 def projected(rows: DataFrame, target: list[str], path: str) -> DataFrame:

@@ -52,7 +52,7 @@ def integer_token(token: Column) -> Column:
     whole = "decimal(38,0)"
 
     def based(prefix: str, digits: str, base: int) -> Column:
-        # a 0 before each digit of a base up to 16 keeps the parts of a fixed width: eight digits are below 2**32
+        # parts of up to 32 bits, each below what conv reads
         bits = {16: 4, 8: 3, 2: 1}[base]
         each = F.regexp_replace(F.substring(body, 3, 1 << 20), "^0+", "")
         step = 32 // bits

@@ -46,11 +46,19 @@ def pruned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.pruned(_tree(spark, sf_dir), "path", x)
 
 
-@query("asides", "SELECT p_size::VARCHAR AS dir, 'f' || p_partkey AS name, 'f' || p_partkey || '.keep' AS aside FROM part WHERE p_partkey % 4 = 0")
+@query(
+    "asides",
+    """WITH f AS (SELECT p_size::VARCHAR AS dir, 'f' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.txt' ELSE '' END AS name, p_partkey AS k FROM part),
+    x AS (SELECT dir, name FROM f UNION ALL SELECT dir, CASE WHEN k % 16 = 8 THEN 'gone' ELSE '' END || name || CASE CAST(k % 8 AS INT) WHEN 0 THEN '.host-2026.01' WHEN 1 THEN '.old' WHEN 2 THEN '.older' WHEN 3 THEN '.spare-' WHEN 4 THEN '.x.host-1' ELSE '.bak' END FROM f)
+    SELECT DISTINCT a.dir, b.name, a.name AS aside FROM x a JOIN x b ON a.dir = b.dir AND starts_with(a.name, b.name || '.')
+      AND (starts_with(substr(a.name, length(b.name) + 2), 'host-') OR starts_with(substr(a.name, length(b.name) + 2), 'spare-') OR substr(a.name, length(b.name) + 2) = 'old')""",
+)
 def asides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("dir"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), "p_partkey")
-    more = p.where("p_partkey % 4 = 0").select("dir", F.concat("name", F.lit(".keep")).alias("name")).union(p.where("p_partkey % 4 = 1").select("dir", F.concat(F.lit("gone"), "name", F.lit(".keep")).alias("name")))
-    return listings.asides(p.select("dir", "name").union(more))
+    k = F.col("p_partkey")
+    f = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("dir"), F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".txt").otherwise("")).alias("name"), k.alias("k"))
+    tail = F.element_at(F.array(*map(F.lit, [".host-2026.01", ".old", ".older", ".spare-", ".x.host-1", ".bak", ".bak", ".bak"])), (F.col("k") % 8 + 1).cast("int"))
+    more = f.select("dir", F.concat(F.when(F.expr("k % 16 = 8"), "gone").otherwise(""), "name", tail).alias("name"))
+    return listings.asides(f.select("dir", "name").union(more), ["host", "spare"], "old")
 
 
 @query(
@@ -81,28 +89,35 @@ def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reviews_unmatched",
-    """SELECT o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS instance, 'C' || o_orderkey % 6 AS code,
-      CASE WHEN o_orderkey % 10 = 9 THEN 'retired' WHEN o_orderkey % 3 = 0 THEN 'stale-instance' ELSE 'no-such-refusal' END AS reason FROM orders WHERE o_orderkey % 10 = 9 OR o_orderkey % 3 = 0 OR o_orderkey % 4 > 0""",
+    """WITH o AS (SELECT o_orderkey AS item, o_custkey AS instance, 'C' || o_orderkey % 6 AS code FROM orders), held AS (SELECT item, instance, code FROM o WHERE item % 4 = 0 AND code <> 'C5'),
+    rev AS (SELECT CASE WHEN item % 50 > 0 THEN item END AS item, CASE WHEN item % 50 = 0 THEN NULL WHEN item % 3 = 0 THEN -1 ELSE instance END AS instance, CASE WHEN item % 7 = 3 THEN 'C3' ELSE code END AS code FROM o)
+    SELECT DISTINCT item, code, CASE WHEN code = 'C5' THEN 'refusal-code-retired' WHEN EXISTS (SELECT 1 FROM held h WHERE h.item = rev.item AND h.code = rev.code) THEN 'refusal-instance-stale' ELSE 'no-such-refusal' END AS reason FROM rev
+    WHERE code = 'C5' OR (item IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held h WHERE h.item = rev.item AND h.instance = rev.instance AND h.code = rev.code))""",
 )
 def reviews_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("instance"), F.expr("concat('C', o_orderkey % 6)").alias("code"))
-    reviews = o.withColumn("instance", F.when(F.expr("item % 3 = 0"), F.lit(-1).cast("long")).otherwise(F.col("instance")))
-    return listings.unmatched_reviews(reviews, o.where("item % 10 <> 9"), o.where("item % 4 = 0"))
+    reviews = o.selectExpr("if(item % 50 > 0, item, null) as item", "case when item % 50 = 0 then null when item % 3 = 0 then -1 else instance end as instance", "if(item % 7 = 3, 'C3', code) as code")
+    codes = o.where("code <> 'C5'").select("code").distinct()
+    return listings.unmatched_reviews(reviews, o.where("item % 4 = 0 and code <> 'C5'"), codes)
 
 
 @query(
     "manifest_roots",
-    """WITH v AS (SELECT l_orderkey, l_linenumber AS o, length(l_partkey::VARCHAR) || ':' || l_partkey || length(l_suppkey::VARCHAR) || ':' || l_suppkey AS v FROM lineitem)
+    """WITH v AS (SELECT l_orderkey, l_linenumber AS o, length(l_partkey::VARCHAR) || ':' || l_partkey || CASE WHEN l_linenumber % 3 = 0 THEN '~' ELSE length(l_suppkey::VARCHAR) || ':' || l_suppkey END AS v FROM lineitem)
     SELECT l_orderkey, sha256(string_agg(v, '' ORDER BY o, v)) AS root FROM v GROUP BY 1""",
 )
 def manifest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.folded(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    l = table(spark, sf_dir, "lineitem").withColumn("l_suppkey", F.when(F.expr("l_linenumber % 3 > 0"), F.col("l_suppkey")))
+    return listings.folded(l, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query(
     "corpus_identity",
-    """WITH r AS (SELECT doc_id // 64 AS run, sha256(string_agg(length(doc_id::VARCHAR) || ':' || doc_id || length(n_chars::VARCHAR) || ':' || n_chars, '' ORDER BY doc_id)) AS root FROM documents GROUP BY 1)
-    SELECT sha256(string_agg('64:' || root, '' ORDER BY run)) AS root FROM r""",
+    """WITH a AS (SELECT doc_id // 64 AS run, sha256(string_agg(length(doc_id::VARCHAR) || ':' || doc_id || length(n_chars::VARCHAR) || ':' || n_chars, '' ORDER BY doc_id)) AS root FROM documents GROUP BY 1),
+    b AS (SELECT run // 64 AS run, sha256(string_agg(length(run::VARCHAR) || ':' || run || '64:' || root, '' ORDER BY run)) AS root FROM a GROUP BY 1),
+    c AS (SELECT run // 64 AS run, sha256(string_agg(length(run::VARCHAR) || ':' || run || '64:' || root, '' ORDER BY run)) AS root FROM b GROUP BY 1),
+    d AS (SELECT run // 64 AS run, sha256(string_agg(length(run::VARCHAR) || ':' || run || '64:' || root, '' ORDER BY run)) AS root FROM c GROUP BY 1)
+    SELECT CASE WHEN m < 64 THEN (SELECT max(root) FROM a) WHEN m < 4096 THEN (SELECT max(root) FROM b) WHEN m < 262144 THEN (SELECT max(root) FROM c) ELSE (SELECT max(root) FROM d) END AS root FROM (SELECT max(doc_id) AS m FROM documents)""",
 )
 def corpus_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.identity(table(spark, sf_dir, "documents"), "doc_id", 64, "n_chars")
@@ -158,20 +173,28 @@ def omission_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.back_filled(o, missed, ["a", "b"]).groupBy("window", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-_SAMPLES = """s AS (SELECT l_suppkey, CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'initial' WHEN 1 THEN 'delta' ELSE 'resume' END AS phase, l_partkey % 100 AS ours, l_partkey % 100 + l_suppkey % 3 - 1 AS theirs, CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS reread, l_suppkey % 7 > 0 AS gated FROM lineitem)"""
+_SAMPLES = """s AS (SELECT l_suppkey % 97 AS run, CASE WHEN l_orderkey % 2 = 0 THEN 'ours' ELSE 'theirs' END AS arm, ['initial', 'delta', 'warm-resume', 'interrupted-resume'][CAST(l_linenumber % 4 + 1 AS INT)] AS phase,
+  l_partkey % 100 + CASE WHEN l_orderkey % 2 = 0 THEN l_suppkey % 97 % 3 - 1 ELSE 0 END * 20 AS ms, CASE WHEN l_suppkey % 97 % 5 = 1 AND l_linenumber % 4 = 3 THEN NULL ELSE 0 END AS transferred,
+  CASE WHEN l_suppkey % 97 % 5 = 2 AND l_linenumber % 4 = 2 THEN 1 ELSE 0 END AS source_read, CASE WHEN l_suppkey % 97 % 6 = 5 AND l_partkey % 50 = 0 THEN 2097152 ELSE 1000 END AS rss_kib, l_suppkey % 97 % 11 > 0 AS gated FROM lineitem)"""
 
 
 @query(
     "bench_gate",
-    f"""WITH {_SAMPLES} SELECT l_suppkey, CASE WHEN NOT bool_and(gated) THEN 'INFORMATIONAL' WHEN coalesce(median(ours) FILTER (phase = 'initial') < median(theirs) FILTER (phase = 'initial') AND median(ours) FILTER (phase = 'delta') < median(theirs) FILTER (phase = 'delta')
-      AND coalesce(sum(reread) FILTER (phase = 'resume'), 0) = 0, false) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s GROUP BY 1""",
+    f"""WITH {_SAMPLES}, g AS (SELECT run, coalesce(median(ms) FILTER (arm = 'ours' AND phase = 'initial') < median(ms) FILTER (arm = 'theirs' AND phase = 'initial'), false) AS initial_win,
+      coalesce(median(ms) FILTER (arm = 'ours' AND phase = 'delta') < median(ms) FILTER (arm = 'theirs' AND phase = 'delta'), false) AS delta_win,
+      count(*) FILTER (arm = 'ours' AND phase = 'warm-resume' AND (transferred IS DISTINCT FROM 0 OR source_read IS DISTINCT FROM 0)) = 0 AS warm_zero,
+      count(*) FILTER (arm = 'ours' AND phase = 'interrupted-resume' AND (transferred IS DISTINCT FROM 0 OR source_read IS DISTINCT FROM 0)) = 0 AS interrupted_zero,
+      count(*) FILTER (arm = 'ours' AND rss_kib >= 2097152) = 0 AS memory_ok, bool_and(gated) AS gated FROM s GROUP BY 1)
+    SELECT run, initial_win, delta_win, warm_zero, interrupted_zero, memory_ok, CASE WHEN NOT gated THEN 'INFORMATIONAL' WHEN initial_win AND delta_win AND warm_zero AND interrupted_zero AND memory_ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""",
 )
 def bench_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phase = F.when(F.expr("l_linenumber % 3 = 0"), "initial").when(F.expr("l_linenumber % 3 = 1"), "delta").otherwise("resume")
-    s = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", phase.alias("phase"), F.expr("l_partkey % 100").alias("ours"), F.expr("l_partkey % 100 + l_suppkey % 3 - 1").alias("theirs"), F.expr("if(l_suppkey % 5 = 0, 1, 0)").alias("reread"), F.expr("l_suppkey % 7 > 0").alias("gated")
-    )
-    return listings.bench_gate(s, "l_suppkey")
+    l = table(spark, sf_dir, "lineitem").withColumn("run", F.expr("l_suppkey % 97"))
+    s = l.selectExpr(
+        "run", "if(l_orderkey % 2 = 0, 'ours', 'theirs') as arm", "element_at(array('initial', 'delta', 'warm-resume', 'interrupted-resume'), cast(l_linenumber % 4 + 1 as int)) as phase",
+        "l_partkey % 100 + if(l_orderkey % 2 = 0, run % 3 - 1, 0) * 20 as ms", "if(run % 5 = 1 and l_linenumber % 4 = 3, null, 0) as transferred", "if(run % 5 = 2 and l_linenumber % 4 = 2, 1, 0) as source_read",
+        "if(run % 6 = 5 and l_partkey % 50 = 0, 2097152, 1000) as rss_kib", "run % 11 > 0 as gated",
+    )
+    return listings.bench_gate(s, "run")
 
 
 @query(
@@ -183,7 +206,16 @@ def one_percent_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.one_percent(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars").select("source", "doc_id", F.col("bytes").cast("long").alias("bytes"))
 
 
-@query("payload_equality", "SELECT * FROM (VALUES ('as it is', true), ('times differ', true), ('sizes differ', false), ('one gone', false)) t(what, equal)")
+_PAYLOAD = """a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'link' ELSE 'file' END AS kind, p_size AS size, 1 AS mtime FROM part),
+  b AS (SELECT 'as it is' AS what, * FROM a UNION ALL SELECT 'times differ', k, kind, size, CASE WHEN kind = 'link' THEN 2 ELSE 1 END FROM a
+    UNION ALL SELECT 'sizes differ', k, kind, size + CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END, mtime FROM a UNION ALL SELECT 'one gone', * FROM a WHERE k <> 1)"""
+
+
+@query(
+    "payload_equality",
+    f"""WITH {_PAYLOAD}, w AS (SELECT DISTINCT what FROM b), x AS (SELECT w.what, a.* FROM a, w)
+    SELECT coalesce(x.what, b.what) AS what, bool_and(coalesce(x.kind = b.kind AND x.size = b.size AND (x.kind = 'link' OR x.mtime = b.mtime), false)) AS equal FROM x FULL JOIN b ON x.what = b.what AND x.k = b.k GROUP BY 1""",
+)
 def payload_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select("p_partkey", F.when(F.expr("p_partkey % 3 = 0"), "link").otherwise("file").alias("kind"), F.col("p_size").alias("size"), F.lit(1).alias("mtime"))
     sides = {
@@ -219,14 +251,18 @@ def ids_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "refs_united",
-    """WITH s AS (SELECT p_partkey AS name, p_partkey AS oid FROM part), d AS (SELECT p_partkey AS name, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey - 1 WHEN 2 THEN p_partkey + 1 ELSE p_partkey + 5 END AS oid FROM part WHERE p_partkey % 5 > 0)
-    SELECT s.name, CASE WHEN d.oid IS NULL THEN 'create' WHEN s.oid = d.oid THEN 'same' WHEN d.oid = s.oid - 1 THEN 'fast-forward' WHEN d.oid = s.oid + 1 THEN 'behind' ELSE 'keep-both' END AS action FROM s LEFT JOIN d USING (name)""",
+    """WITH s AS (SELECT p_partkey AS oid, CASE WHEN p_partkey % 10 = 3 THEN 'refs/remotes/o/' WHEN p_partkey % 10 = 7 THEN 'refs/tags/' WHEN p_partkey = 5 THEN 'refs/stash' ELSE 'refs/heads/' END || CASE WHEN p_partkey = 5 THEN '' ELSE p_partkey::VARCHAR END AS name FROM part),
+    d AS (SELECT name, CASE CAST(oid % 4 AS INT) WHEN 0 THEN oid WHEN 1 THEN oid - 1 WHEN 2 THEN oid + 1 ELSE oid + 5 END AS oid FROM s WHERE oid % 9 > 0), c AS (SELECT name, oid % 3 > 0 AS clean FROM s WHERE oid % 6 = 1)
+    SELECT s.name, CASE WHEN d.oid IS NULL THEN 'create' WHEN s.oid = d.oid THEN 'same' WHEN d.oid = s.oid - 1 THEN CASE WHEN clean IS NULL THEN 'forward' WHEN clean THEN 'switch' ELSE 'track' END WHEN d.oid = s.oid + 1 THEN 'kept' ELSE 'track' END AS action,
+      CASE WHEN action = 'track' THEN CASE WHEN starts_with(s.name, 'refs/heads/') THEN 'refs/remotes/there/' || s.name[12:] ELSE 'refs/remotes/there/' || s.name[6:] END END AS tracking
+    FROM s LEFT JOIN d USING (name) LEFT JOIN c USING (name) WHERE s.name <> 'refs/stash' AND NOT starts_with(s.name, 'refs/remotes/')""",
 )
 def refs_united(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
-    d = p.where("name % 5 > 0").select("name", F.expr("case name % 4 when 0 then name when 1 then name - 1 when 2 then name + 1 else name + 5 end").alias("oid"))
-    ahead = p.select("name", F.col("name").alias("a")).select(F.explode(F.array(F.col("name"), F.col("name") + 1)).alias("oid")).select("oid", (F.col("oid") - 1).alias("ancestor"))
-    return listings.refs_united(p.withColumn("oid", F.col("name")), d, ahead)
+    kind = "case when p_partkey % 10 = 3 then 'refs/remotes/o/' when p_partkey % 10 = 7 then 'refs/tags/' when p_partkey = 5 then 'refs/stash' else 'refs/heads/' end"
+    s = table(spark, sf_dir, "part").selectExpr("p_partkey as oid", f"concat({kind}, if(p_partkey = 5, '', cast(p_partkey as string))) as name")
+    d = s.where("oid % 9 > 0").selectExpr("name", "case oid % 4 when 0 then oid when 1 then oid - 1 when 2 then oid + 1 else oid + 5 end as oid")
+    ahead = s.select(F.explode(F.array(F.col("oid"), F.col("oid") + 1)).alias("oid")).select("oid", (F.col("oid") - 1).alias("ancestor"))
+    return listings.refs_united(s, d, ahead, "there", s.where("oid % 6 = 1").selectExpr("name", "oid % 3 > 0 as clean"))
 
 
 @query("projected_rows", "SELECT c_custkey, '/home/' || CASE WHEN c_custkey % 4 = 0 THEN '../' ELSE '' END || c_custkey AS path, c_custkey % 4 > 0 AS supported FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'rel/' || c_custkey, false FROM customer WHERE c_custkey % 3 = 0")

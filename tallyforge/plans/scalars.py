@@ -61,14 +61,18 @@ def lane_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "number_tokens",
-    """SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey WHEN 2 THEN p_partkey WHEN 3 THEN p_partkey * 1000 + 5 WHEN 4 THEN NULL ELSE NULL END::DECIMAL(38,0) AS whole,
-      CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey WHEN 2 THEN p_partkey WHEN 3 THEN p_partkey * 1000 + 5 WHEN 4 THEN p_partkey + 0.5 ELSE NULL END::DOUBLE AS real FROM part""",
+    """SELECT p_partkey, CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey WHEN 2 THEN p_partkey WHEN 3 THEN p_partkey * 1000 + 5 WHEN 4 THEN NULL WHEN 5 THEN NULL
+        WHEN 6 THEN p_partkey * 18446744073709551616::HUGEINT + 18446744073709551615::HUGEINT ELSE p_partkey * 1099511627776::HUGEINT + 1099511627775 END::VARCHAR AS whole,
+      CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey WHEN 2 THEN p_partkey WHEN 3 THEN p_partkey * 1000 + 5 WHEN 4 THEN p_partkey + 0.5 ELSE NULL END::DOUBLE AS real FROM part""",
 )
 def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     d = k.cast("string")
-    token = F.when(k % 6 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k)))).when(k % 6 == 1, F.concat(F.lit("-"), d)).when(k % 6 == 2, F.concat(F.lit("0b"), F.bin(k))).when(k % 6 == 3, F.concat(d, F.lit("_005"))).when(k % 6 == 4, F.concat(d, F.lit(".5"))).otherwise("1x")
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.integer_token(token).alias("whole"), scalars.float_token(token).alias("real"))
+    token = F.when(k % 8 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k)))).when(k % 8 == 1, F.concat(F.lit("-"), d)).when(k % 8 == 2, F.concat(F.lit("0b"), F.bin(k))).when(k % 8 == 3, F.concat(d, F.lit("_005"))).when(k % 8 == 4, F.concat(d, F.lit(".5"))).when(k % 8 == 5, "1x")
+    # tokens of many digits: 64 bits of ones behind k, and 40
+    token = F.coalesce(token, F.when(k % 8 == 6, F.concat(F.lit("0x"), F.hex(k), F.lit("f" * 16))).otherwise(F.concat(F.lit("0b"), F.bin(k), F.lit("1" * 40))))
+    long = k % 8 >= 6
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.integer_token(token).cast("string").alias("whole"), F.when(~long, scalars.float_token(token)).alias("real"))
 
 
 @query(
