@@ -192,27 +192,34 @@ def json_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAN = """plan AS (SELECT o_orderkey AS item FROM orders WHERE o_orderkey % 10 <> 9),
-  outc AS (SELECT o_orderkey AS item, o_custkey AS instance, CASE WHEN o_orderkey % 4 = 0 THEN 'refused' WHEN o_orderstatus = 'P' THEN 'held' ELSE 'done' END AS state, 'C' || CAST(o_orderkey % 6 AS VARCHAR) AS code FROM orders WHERE o_orderkey % 13 <> 0),
+  outc AS (SELECT o_orderkey AS item, o_custkey AS instance, CASE WHEN o_orderkey % 4 = 0 THEN 'refused' WHEN o_orderstatus = 'P' THEN 'held' ELSE 'done' END AS state,
+    CASE CAST(o_orderkey % 44 AS INT) WHEN 8 THEN 'IO' WHEN 12 THEN 'FRAME_CODEC' WHEN 16 THEN 'TRANSPORT_LOST' WHEN 20 THEN 'OLD' ELSE 'C' || CAST(o_orderkey % 6 AS VARCHAR) END AS code FROM orders WHERE o_orderkey % 13 <> 0),
   rev AS (SELECT 'item' AS scope, o_orderkey AS item, o_custkey AS instance, 'C' || CAST(o_orderkey % 6 AS VARCHAR) AS code, 'accept' AS decision, 1 AS seq FROM orders WHERE o_orderkey % 16 = 0
     UNION ALL SELECT 'item', o_orderkey, o_custkey, 'C' || CAST(o_orderkey % 6 AS VARCHAR), 're-carry', 2 FROM orders WHERE o_orderkey % 32 = 0
     UNION ALL SELECT 'policy', NULL, NULL, 'C2', 'abandon', 3),
   li AS (SELECT item, instance, code, arg_max(decision, seq) AS d FROM rev WHERE scope = 'item' GROUP BY ALL), lp AS (SELECT code, arg_max(decision, seq) AS d FROM rev WHERE scope = 'policy' GROUP BY ALL),
-  disp AS (SELECT plan.item, outc.instance, outc.code, coalesce(li.d, lp.d) AS decision, CASE WHEN state IS NULL THEN 'unaccounted' WHEN state = 'refused' THEN CASE WHEN coalesce(coalesce(li.d, lp.d) IN ('accept', 'abandon'), false) THEN 'refused' ELSE 'refused-pending-review' END ELSE state END AS disposition
+  disp AS (SELECT plan.item, outc.instance, outc.code, coalesce(li.d, lp.d) AS decision, CASE WHEN state IS NULL OR (state = 'refused' AND outc.code IN ('IO', 'FRAME_CODEC', 'TRANSPORT_LOST', 'OLD')) THEN 'unaccounted'
+      WHEN state = 'refused' THEN CASE WHEN coalesce(coalesce(li.d, lp.d) IN ('accept', 'abandon'), false) THEN 'refused' ELSE 'refused-pending-review' END ELSE state END AS disposition
     FROM plan LEFT JOIN outc ON outc.item = plan.item LEFT JOIN li ON li.item = outc.item AND li.instance = outc.instance AND li.code = outc.code LEFT JOIN lp ON lp.code = outc.code)"""
 
 
-def _closure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _codes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in ("C0", "C1", "C2", "C3", "C4", "C5", "IO", "FRAME_CODEC", "TRANSPORT_LOST")], "code string")
+
+
+def _closure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     code = F.concat(F.lit("C"), (F.col("o_orderkey") % 6).cast("string")).alias("code")
     state = F.when(F.expr("o_orderkey % 4 = 0"), "refused").when(F.col("o_orderstatus") == "P", "held").otherwise("done").alias("state")
-    outcomes = o.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("instance"), state, code)
+    special = F.expr("case o_orderkey % 44 when 8 then 'IO' when 12 then 'FRAME_CODEC' when 16 then 'TRANSPORT_LOST' when 20 then 'OLD' end")
+    outcomes = o.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("instance"), state, F.coalesce(special, code).alias("code"))
 
     def review(where: str, decision: str, seq: int) -> DataFrame:
         return o.where(where).select(F.lit("item").alias("scope"), F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("instance"), code, F.lit(decision).alias("decision"), F.lit(seq).alias("seq"))
 
     policy = spark.range(1).select(F.lit("policy").alias("scope"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("instance"), F.lit("C2").alias("code"), F.lit("abandon").alias("decision"), F.lit(3).alias("seq"))
     reviews = review("o_orderkey % 16 = 0", "accept", 1).union(review("o_orderkey % 32 = 0", "re-carry", 2)).union(policy)
-    return o.where("o_orderkey % 10 <> 9").select(F.col("o_orderkey").alias("item")), outcomes, reviews
+    return o.where("o_orderkey % 10 <> 9").select(F.col("o_orderkey").alias("item")), outcomes, reviews, _codes(spark)
 
 
 @query("closure_report", f"WITH {_PLAN} SELECT disposition, CASE WHEN disposition LIKE 'refused%' THEN code END AS code, count(*) AS n FROM disp GROUP BY 1, 2")
@@ -220,9 +227,21 @@ def closure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.report(closure.dispositions(*_closure(spark, sf_dir)))
 
 
-@query("closure_gate", f"WITH {_PLAN} SELECT count(*) FILTER (disposition = 'unaccounted') AS unaccounted, count(*) FILTER (disposition = 'refused-pending-review') AS pending, unaccounted = 0 AND pending = 0 AS passed FROM disp")
+@query(
+    "closure_gate",
+    f"""WITH {_PLAN}, d AS (SELECT disposition FROM disp)
+    SELECT -1 AS batch, count(*) FILTER (disposition = 'unaccounted') AS unaccounted, count(*) FILTER (disposition = 'refused-pending-review') AS pending, unaccounted = 0 AND pending = 0 AS passed FROM d
+    UNION ALL SELECT 0, 0, 0, true
+    UNION ALL SELECT 1, 0, count(*), count(*) = 0 FROM d WHERE disposition = 'refused-pending-review'""",
+)
 def closure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure.gate(closure.dispositions(*_closure(spark, sf_dir)))
+    rows = closure.dispositions(*_closure(spark, sf_dir))
+    parts = {-1: rows, 0: rows.where("disposition not in ('unaccounted', 'refused-pending-review')"), 1: rows.where("disposition <> 'unaccounted'")}
+    out = None
+    for batch, part in parts.items():
+        one = closure.gate(part).select(F.lit(batch).alias("batch"), "unaccounted", "pending", "passed")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("review_latest", f"WITH {_PLAN} SELECT item, code, decision FROM disp WHERE disposition LIKE 'refused%'")
@@ -243,5 +262,77 @@ def attest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("outcomes_unplanned", f"WITH {_PLAN} SELECT item, state FROM outc WHERE item NOT IN (SELECT item FROM plan)")
 def outcomes_unplanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, outcomes, _ = _closure(spark, sf_dir)
+    plan, outcomes, *_ = _closure(spark, sf_dir)
     return closure.unmatched(plan, outcomes).select("item", "state")
+
+
+_WORDS = ["workspace-restored", "refs-imported", "refused", "carried-as-files", "workspace-beside", "index-repaired", "captured", "previous-ref-custody-not-workspace-parity", "refused", "made-up"]
+_JOURNAL = ["workspace-restored", "refs-imported", "workspace-beside", "absent", "no-capture", "unreadable"]
+_REFUSED = ["C1", "IO", "C2", "FRAME_CODEC", "OLD", "TRANSPORT_LOST", "C3"]
+
+
+def _nth(key: str, values: list[str]) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _sql_nth(key: str, values: list[str]) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][CAST(({key}) % {len(values)} AS INT) + 1]"
+
+
+_ENTRIES = f"""e AS (SELECT o_orderkey AS item, 's' || o_custkey AS source, o_orderkey % 3 > 0 AS ws, CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 'outcome-record-unreadable' ELSE 'ok' END AS record,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'elsewhere' ELSE 's' || o_custkey END AS rs, {_sql_nth('o_orderkey // 2', _WORDS)} AS outcome, {_sql_nth('o_orderkey // 3', _REFUSED)} AS refusal, {_sql_nth('o_orderkey // 5', _JOURNAL)} AS journal,
+  CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'beside-refs-pending' ELSE 'ok' END AS beside, CASE CAST(o_orderkey % 11 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'carried-digest-mismatch' ELSE 'ok' END AS carried,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'elsewhere' ELSE 's' || o_custkey END AS cs, CASE WHEN o_orderkey % 17 < 8 THEN o_custkey END AS via FROM orders),
+  j AS (SELECT *, CASE WHEN outcome LIKE '%beside' THEN 'workspace-beside' WHEN outcome = 'workspace-restored' THEN 'workspace-restored' ELSE 'refs-imported' END AS body FROM e),
+  k AS (SELECT *, CASE WHEN journal = body THEN NULL WHEN journal = 'absent' THEN 'journal-missing' WHEN journal = 'no-capture' THEN 'capture-record-missing' WHEN journal = 'unreadable' THEN 'capture-record-unreadable' ELSE 'journal-outcome-mismatch' END AS jr FROM j),
+  r AS (SELECT *, CASE WHEN record IS NULL THEN 'no-outcome-record' WHEN record <> 'ok' THEN record WHEN rs <> source THEN 'record-source-mismatch'
+    WHEN outcome = 'refused' THEN CASE refusal WHEN 'IO' THEN 'refusal-untyped-io' WHEN 'FRAME_CODEC' THEN 'refusal-untyped-frame-codec' WHEN 'TRANSPORT_LOST' THEN 'transport-lost' WHEN 'OLD' THEN 'refusal-code-retired' END
+    WHEN outcome = 'workspace-beside' THEN CASE WHEN NOT ws THEN 'outcome-workspace-mismatch' WHEN beside IS NULL THEN 'beside-record-missing' WHEN beside <> 'ok' THEN beside ELSE jr END
+    WHEN outcome = 'workspace-restored' THEN CASE WHEN ws THEN jr ELSE 'outcome-workspace-mismatch' END
+    WHEN outcome = 'index-repaired' THEN CASE WHEN ws THEN 'index-repaired-for-workspace-item' ELSE jr END
+    WHEN outcome IN ('refs-imported', 'previous-ref-custody-not-workspace-parity') THEN CASE WHEN ws THEN 'refs-only-for-workspace-item' ELSE jr END
+    WHEN outcome = 'captured' THEN 'not-an-apply-outcome'
+    WHEN outcome = 'carried-as-files' THEN CASE WHEN carried IS NULL THEN 'carried-record-missing' WHEN carried <> 'ok' THEN carried WHEN cs <> source THEN 'carried-source-mismatch' WHEN (via IS NOT NULL) = ws THEN 'carried-shape-mismatch' END
+    ELSE 'outcome-unknown' END AS reason FROM k),
+  c AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'unaccounted' WHEN outcome = 'refused' THEN 'refused-pending-review' WHEN outcome = 'workspace-beside' THEN 'applied-beside' WHEN outcome = 'workspace-restored' THEN 'applied' WHEN outcome = 'carried-as-files' THEN 'carried' ELSE 'referenced-only' END AS disposition FROM r)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), "o_custkey", *[F.expr(f"o_orderkey div {n}").alias(f"k{n}") for n in (2, 3, 5)])
+    return o.select(
+        "item", F.expr("concat('s', o_custkey)").alias("source"), F.expr("item % 3 > 0").alias("has_workspace"), F.expr("case when item % 29 = 0 then null when item % 31 = 0 then 'outcome-record-unreadable' else 'ok' end").alias("record"),
+        F.expr("if(item % 23 = 0, 'elsewhere', concat('s', o_custkey))").alias("record_source"), _nth("k2", _WORDS).alias("outcome"), _nth("k3", _REFUSED).alias("refusal"), _nth("k5", _JOURNAL).alias("journal"),
+        F.expr("case item % 7 when 0 then null when 1 then 'beside-refs-pending' else 'ok' end").alias("beside"), F.expr("case item % 11 when 0 then null when 1 then 'carried-digest-mismatch' else 'ok' end").alias("carried"),
+        F.expr("if(item % 13 = 0, 'elsewhere', concat('s', o_custkey))").alias("carried_source"), F.expr("if(item % 17 < 8, o_custkey, null)").alias("carried_via"),
+    )
+
+
+@query("dispositions_native", f"WITH {_ENTRIES} SELECT item, disposition, reason, CASE WHEN disposition LIKE 'refused%' THEN refusal END AS code FROM c")
+def dispositions_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure.classified(_entries(spark, sf_dir), _codes(spark)).select("item", "disposition", "reason", "code")
+
+
+@query(
+    "attestation_reasons",
+    f"""WITH {_ENTRIES}, a AS (SELECT CASE WHEN o_orderkey % 37 = 0 THEN -o_orderkey ELSE o_orderkey END AS item, CASE WHEN o_orderkey % 19 = 0 THEN 'elsewhere' ELSE 's' || o_custkey END AS a_source,
+      CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN 'missing' WHEN 1 THEN 'null' ELSE 'digest' END AS named, 'd' || CASE WHEN o_orderkey % 21 = 2 THEN 0 ELSE o_orderkey END AS a_capture, {_sql_nth('o_orderkey // 4', ['applied', 'refused', 'referenced-only', 'gone', 'refused', 'present'])} AS claim,
+      {_sql_nth('o_orderkey // 6', ['audit', 'audit', '', 'native-closure-report', 'audit'])} AS basis, {_sql_nth('o_orderkey // 7', ['C1', 'IO', 'OLD', 'C4'])} AS a_refusal, CASE WHEN o_orderkey % 8 = 3 THEN '' ELSE 'log' END AS evidence FROM orders WHERE o_orderkey % 5 > 0),
+    m AS (SELECT a.*, c.disposition, c.source, CASE WHEN c.item % 9 = 1 AND c.item % 2 = 0 THEN NULL ELSE 'd' || c.item END AS capture, c.item % 25 <> 7 AS readable, CASE WHEN record = 'ok' AND outcome = 'refused' THEN refusal END AS own FROM a LEFT JOIN c USING (item)),
+    v AS (SELECT *, CASE WHEN own = 'OLD' THEN 'native-refusal-code-retired' WHEN own IN ('IO', 'FRAME_CODEC') THEN 'native-refusal-untyped' WHEN own = 'TRANSPORT_LOST' THEN 'native-transport-lost' WHEN a_source <> source THEN 'source-mismatch'
+      WHEN named = 'missing' THEN 'capture-missing' WHEN NOT readable THEN 'capture-record-unreadable' WHEN named = 'null' AND capture IS NOT NULL THEN 'capture-mismatch' WHEN named = 'digest' AND capture IS DISTINCT FROM a_capture THEN 'capture-mismatch'
+      WHEN claim = 'gone' THEN 'disposition-unknown' WHEN basis = '' THEN 'basis-missing' WHEN basis = 'native-closure-report' THEN 'basis-claims-native' WHEN evidence = '' THEN 'evidence-missing' WHEN claim = 'refused' AND a_refusal IN ('IO', 'OLD') THEN 'refusal-untyped' END AS why FROM m),
+    b AS (SELECT item, why, CASE WHEN disposition IS NULL THEN 'foreign' WHEN disposition <> 'unaccounted' THEN CASE WHEN claim = disposition OR (claim = 'refused' AND disposition = 'refused-pending-review') THEN 'superseded' ELSE 'disagreement' END WHEN why IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS bucket FROM v)
+    SELECT item, bucket, CASE WHEN bucket = 'rejected' THEN why END AS reason FROM b""",
+)
+def attestation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = closure.classified(_entries(spark, sf_dir), _codes(spark))
+    rows = rows.select(
+        "item", "source", "disposition", F.expr("if(item % 9 = 1 and item % 2 = 0, null, concat('d', item))").alias("capture"), F.expr("item % 25 <> 7").alias("capture_readable"), F.expr("if(record = 'ok' and outcome = 'refused', refusal, null)").alias("refusal"), F.lit(False).alias("refusal_untyped")
+    )
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("k"), "o_custkey", *[F.expr(f"o_orderkey div {n}").alias(f"k{n}") for n in (4, 6, 7)])
+    ledger = o.select(
+        F.expr("if(k % 37 = 0, -k, k)").alias("item"), F.expr("if(k % 19 = 0, 'elsewhere', concat('s', o_custkey))").alias("source"), F.expr("case k % 9 when 0 then 'missing' when 1 then 'null' else 'digest' end").alias("capture_named"),
+        F.expr("concat('d', if(k % 21 = 2, 0, k))").alias("capture"), _nth("k4", ["applied", "refused", "referenced-only", "gone", "refused", "present"]).alias("disposition"), _nth("k6", ["audit", "audit", "", "native-closure-report", "audit"]).alias("basis"),
+        _nth("k7", ["C1", "IO", "OLD", "C4"]).alias("refusal"), F.expr("if(k % 8 = 3, '', 'log')").alias("evidence"),
+    )
+    return closure.attestations(rows, ledger, _codes(spark))
