@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fields, merging
+from ..operators import fields, merging, prefixes
 from .catalogue import query
 from .tables import table
 
@@ -76,3 +76,60 @@ def nested_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nested_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge(_document_pairs(spark, sf_dir), "k")[1]
+
+
+# what the destination holds of each document: as it is, longer, cut, changed near the end, a link, a directory, nothing
+_HELD = """f AS (SELECT doc_id AS key, coalesce(text, '') AS t FROM documents),
+  d AS (SELECT key, CASE CAST(key % 9 AS INT) WHEN 5 THEN 'link' WHEN 6 THEN 'other' ELSE 'file' END AS kind, CASE CAST(key % 9 AS INT) WHEN 0 THEN t WHEN 1 THEN t || chr(10) || 'more' WHEN 2 THEN t[1:length(t) // 2] WHEN 3 THEN t[1:greatest(length(t) - 3, 0)] || '@@@@@' WHEN 4 THEN '@' || t ELSE 'x' END AS t FROM f WHERE key % 9 < 7),
+  s AS (SELECT key, CASE WHEN key % 2 = 0 THEN t ELSE t || 'tail' END AS t FROM f WHERE key % 5 = 0)"""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("t"))
+    held = F.expr("case key % 9 when 0 then t when 1 then concat(t, '\\n', 'more') when 2 then substring(t, 1, length(t) div 2) when 3 then concat(substring(t, 1, greatest(length(t) - 3, 0)), '@@@@@') when 4 then concat('@', t) else 'x' end")
+    kind = F.expr("case key % 9 when 5 then 'link' when 6 then 'other' else 'file' end")
+    d = f.where("key % 9 < 7").select("key", kind.alias("kind"), held.cast("binary").alias("content"))
+    s = f.where("key % 5 = 0").select("key", F.lit("file").alias("kind"), F.expr("if(key % 2 = 0, t, concat(t, 'tail'))").cast("binary").alias("content"))
+    return f.select("key", F.col("t").cast("binary").alias("content")), d, s
+
+
+@query(
+    "key_fold_proof",
+    f"""WITH {_HELD}, x AS (SELECT f.key, f.t, d.kind, d.t AS h, s.t AS b FROM f LEFT JOIN d USING (key) LEFT JOIN s USING (key)),
+    w AS (SELECT *, kind = 'file' AND starts_with(h, t) AS main FROM x)
+    SELECT key, CASE WHEN main THEN CASE WHEN h = t THEN 'identical' ELSE 'prefix-extended' END WHEN b IS NOT NULL THEN CASE WHEN b = t THEN 'identical-beside' ELSE 'prefix-extended-beside' END
+      WHEN kind IS NULL THEN 'absent' WHEN kind = 'link' THEN 'dest-link' WHEN kind = 'other' THEN 'dest-other' ELSE 'differs' END AS status FROM w""",
+)
+def key_fold_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.proof(*_contents(spark, sf_dir), chunk=512)
+
+
+_COMMON = """c AS (SELECT key, f.t AS a, d.t AS b FROM f JOIN d USING (key)), u AS (SELECT key, CASE WHEN starts_with(b, a) THEN a WHEN starts_with(a, b) THEN b WHEN key % 9 = 3 AND length(a) >= 3 THEN a[1:length(a) - 3] || CASE WHEN a[length(a) - 2:] = '@@@' THEN '@@@' WHEN a[length(a) - 2:length(a) - 1] = '@@' THEN '@@' WHEN a[length(a) - 2] = '@' THEN '@' ELSE '' END ELSE '' END AS p FROM c)"""
+
+
+@query(
+    "common_prefixes",
+    f"""WITH {_HELD}, {_COMMON} SELECT key, strlen(p)::BIGINT AS bytes, strlen(CASE WHEN contains(p, chr(10)) THEN p[1:length(p) - length(regexp_extract(p, '[^\n]*$'))] ELSE '' END)::BIGINT AS line_bytes FROM u WHERE key % 9 IN (0, 1, 2, 3)""",
+)
+def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, d, _ = _contents(spark, sf_dir)
+    return prefixes.common(f, d.where("key % 9 in (0, 1, 2, 3)").select("key", "content"), chunk=512)
+
+
+@query(
+    "prefix_extensions",
+    f"""WITH {_HELD}, x AS (SELECT f.key, f.t, d.t AS h FROM f LEFT JOIN d USING (key)) SELECT key, CASE WHEN h IS NULL THEN 'absent' WHEN h = t THEN 'same' WHEN starts_with(t, h) THEN 'extend' ELSE 'not-prefix' END AS state,
+      CASE WHEN state = 'extend' THEN sha256(t[length(h) + 1:]) END AS tail_sha256 FROM x""",
+)
+def prefix_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, d, _ = _contents(spark, sf_dir)
+    return prefixes.extensions(f, d.select("key", "content"), chunk=512).select("key", "state", F.sha2("tail", 256).alias("tail_sha256"))
+
+
+@query(
+    "key_fold_plan",
+    f"""WITH {_HELD} SELECT f.key, CASE WHEN d.t IS NULL THEN 'fold-move' WHEN f.key % 4 = 1 THEN 'fold-union' WHEN d.t = f.t THEN 'fold-remove' ELSE 'fold-hold' END AS action FROM f LEFT JOIN d USING (key)""",
+)
+def key_fold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, d, _ = _contents(spark, sf_dir)
+    return prefixes.fold_plan(f.withColumn("append_log", F.expr("key % 4 = 1")), d.select("key", "content"), chunk=512)
