@@ -30,11 +30,14 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
 #: Where a region may end: elements that hold blocks.
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "tr", "tbody", "table", "center", "form", "details", "blockquote"}
-#: An open element of the first name ends where one of the others begins, up to the border.
-CLOSES = {
-    "p": (BLOCKS - {"hr"} | {"hr"}, {"article", "section", "div", "td", "th", "body"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "tbody", "tfoot"}, {"table"}), "td": ({"td", "th", "tr", "tbody", "tfoot"}, {"table"}), "th": ({"td", "th", "tr", "tbody", "tfoot"}, {"table"}), "option": ({"option", "optgroup"}, {"select"}), "head": ({"body"}, set()),
-}
+_ROWS = {"tr", "tbody", "tfoot"}
+#: An open element of the first name ends where one of the others begins.
+CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": _ROWS, "td": {"td", "th"} | _ROWS, "th": {"td", "th"} | _ROWS, "option": {"option", "optgroup"}, "head": {"body"}}
+#: What keeps an inner element from ending an outer one.
+BORDERS = CONTAINERS | {"ul", "ol", "dl", "select", "menu", "nav"}
+#: Parts of a table, which a row or a cell may end several of.
+TABLED = {"td", "th", "tr", "tbody", "tfoot"}
+
 # Names that pages give to what surrounds an article, as words of class and id.
 MARKS = set(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline consent cookie cookies copyright footer gdpr header masthead menu metadata modal nav navbar navigation newsletter notice notices "
@@ -43,6 +46,7 @@ MARKS = set(
 REPLIES = set("comment comments commentlist disqus discussion replies reply respond response responses".split())
 NO = {"has", "with", "no", "without", "not", "hide"}
 WORD = re.compile(r"[a-z]+|[0-9]+")
+CUT = re.compile(r"<[!/?a-zA-Z]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -99,13 +103,11 @@ class Lines(HTMLParser):
             return
         for d in range(len(self.open) - 1, 0, -1):
             name = self.names[self.open[d]]
-            if name in CLOSES and tag in CLOSES[name][0]:
+            if tag in CLOSES.get(name, ()):
                 self.close_to(d)
                 break
-            if name in CONTAINERS or name in ("ul", "ol", "dl", "select", "menu", "nav"):
-                # a row or a cell may end several open elements of its table
-                if not (name in ("tr", "tbody", "td", "th") and tag in ("tr", "td", "th", "tbody", "tfoot")):
-                    break
+            if name in BORDERS and not (name in TABLED and tag in TABLED):
+                break
         if tag == "a" and self.links:
             # a link ends the one before
             for d in range(len(self.open) - 1, 0, -1):
@@ -151,6 +153,8 @@ class Lines(HTMLParser):
 
     def finished(self, html: str) -> Lines:
         self.feed(html)
+        if CUT.match(self.rawdata):  # a tag or comment that the page does not end
+            self.rawdata = ""
         self.close()
         self.flush()
         return self

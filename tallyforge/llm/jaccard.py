@@ -192,11 +192,11 @@ def _met(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, n_parts
                 order = np.argsort(to * 2 + late, kind="stable")
                 h, c, to, late = h[order], cls[doc[order]], to[order], late[order]
                 cut = np.searchsorted(to * 2 + late, np.arange(2 * n_parts + 1))
-                some = [i for i in range(2 * n_parts) if cut[i] < cut[i + 1]]
+                some = np.flatnonzero(cut[1:] > cut[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i // 2 for i in some], pa.int32()),
-                        pa.array([bool(i % 2) for i in some], pa.bool_()),
+                        pa.array(some // 2, pa.int32()),
+                        pa.array(some % 2 == 1, pa.bool_()),
                         pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
                         pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
                     ],

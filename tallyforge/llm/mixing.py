@@ -17,6 +17,8 @@ from .rows import keyed, prefixed, restored, running
 from .scratch import saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Most tasks that make or unfold slots.
+TASKS = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def shard_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     total = plan.agg(F.sum("slots")).first()[0] or 0
     ends = running(plan.where("slots > 0"), [], "rank", "slots", "lo")
     ends = ends.select("rank", (F.col("lo") / F.lit(total)).alias("lo"), ((F.col("lo") + F.col("slots")) / F.lit(total)).alias("hi"))
-    slots = spark.range(0, total, 1, 1 + total // 200_000).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod("id", F.lit(shard_slots)).alias("slot"))
+    slots = spark.range(0, total, 1, min(TASKS, 1 + total // 200_000)).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod("id", F.lit(shard_slots)).alias("slot"))
     slots = slots.select("shard", _unit(F.lit(seed), F.lit("slot"), F.col("shard"), F.col("slot")).alias("u"))
     # the draw: a slot's number falls into one source's part of [0, 1); met through cells of equal width
     cells = 4096
@@ -130,7 +132,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), times: int =
     )
     counts = shard_counts(s.select("rank", "slots"), shard_slots, seed)
     # few rows that unfold into many: dealt first to as many tasks as the slots ask for, 20,000 at most, and never broadcast
-    n_tasks = min(20_000, 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000)
+    n_tasks = min(TASKS, 1 + (s.agg(F.sum("slots")).first()[0] or 0) // 50_000)
     counts = running(counts, ["rank"], "shard", "n", "base").repartition(int(n_tasks), "shard", "rank")
     slots = counts.select("shard", "rank", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("slot"))
     at = slots.join(small(s.select("rank", "blocks")), "rank")

@@ -20,20 +20,29 @@ from .rows import keyed, restored
 from .scratch import saved
 
 
+#: Bytes of a block of similarities or of scores of parts; a partition of one takes some three times as much.
+BLOCK_BYTES = 1 << 25
+
+
+def _stride(width: int) -> int:
+    """Rows of a block whose rows hold `width` doubles."""
+    return max(1, BLOCK_BYTES // (8 * max(width, 1)))
+
+
 def graph(unit: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row of unit vectors."""
-    out = np.zeros((len(unit), k), np.int64)
-    for at in range(0, len(unit), 2048):
-        sim = unit[at : at + 2048] @ unit.T
+    out, step = np.zeros((len(unit), k), np.int64), _stride(len(unit))
+    for at in range(0, len(unit), step):
+        sim = unit[at : at + step] @ unit.T
         sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
-        out[at : at + 2048] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        out[at : at + step] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     return out
 
 
 def others(asking: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
     """The k nearest rows of unit vectors for each asking one."""
-    k = min(k, len(unit))
-    parts = [np.argpartition(-(asking[at : at + 2048] @ unit.T), k - 1, axis=1)[:, :k] for at in range(0, len(asking), 2048)]
+    k, step = min(k, len(unit)), _stride(len(unit))
+    parts = [np.argpartition(-(asking[at : at + step] @ unit.T), k - 1, axis=1)[:, :k] for at in range(0, len(asking), step)]
     return np.concatenate([np.zeros((0, k), np.int64), *parts])
 
 
@@ -119,18 +128,20 @@ class Router:
         return self
 
 
-def probes_for(home: np.ndarray, near: np.ndarray, scores: np.ndarray, wanted: float) -> int:
+def probes_for(home: np.ndarray, near: np.ndarray, asking: np.ndarray, net: Router, wanted: float) -> int:
     """The least number of parts to search for the wanted share of neighbours.
 
-    home: the part of each row of the sample; near: rows of the sample next to each asking row; scores: the asking rows' parts.
+    home: the part of each row of the sample; near: rows of the sample next to each asking row; net scores the asking rows' parts, in blocks.
     """
-    order = np.argsort(-scores, axis=1)
-    place = np.argsort(order, axis=1)  # rank of each part for each row
-    depth = np.take_along_axis(place, home[near], axis=1)
-    n_parts = scores.shape[1]
-    if not depth.size:
+    n_parts = net.w[3].size
+    step, at_depth = _stride(n_parts), np.zeros(n_parts, np.int64)
+    for at in range(0, len(asking), step):
+        order = np.argsort(-net.score(asking[at : at + step]), axis=1)
+        place = np.argsort(order, axis=1)  # rank of each part for each row
+        at_depth += np.bincount(np.take_along_axis(place, home[near[at : at + step]], axis=1).ravel(), minlength=n_parts)
+    if not at_depth.sum():
         return n_parts
-    got = np.cumsum(np.bincount(depth.ravel(), minlength=n_parts)) / depth.size
+    got = np.cumsum(at_depth) / at_depth.sum()
     return int(np.searchsorted(got, wanted) + 1) if got[-1] >= wanted else n_parts
 
 
@@ -148,6 +159,12 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def best_parts(net: Router, unit: np.ndarray) -> np.ndarray:
+    """The most probable part of each row, in blocks."""
+    step = _stride(net.w[3].size)
+    return np.concatenate([np.zeros(0, np.int64), *[net.score(unit[at : at + step]).argmax(1) for at in range(0, len(unit), step)]])
+
+
 def fitted(some: np.ndarray, n_parts: int, recall: float) -> tuple[Router, int]:
     """(router, probes) from a sample: each fifth row is held out of the router, and says how many parts to search."""
     unit = _unit(some)
@@ -156,7 +173,7 @@ def fitted(some: np.ndarray, n_parts: int, recall: float) -> tuple[Router, int]:
     n_parts = max(1, min(n_parts, len(unit) // 8))
     near = graph(unit, min(10, len(unit) - 1)) if len(unit) > 1 else np.zeros((1, 0), int)
     net = Router(unit.shape[1], n_parts).fit(unit, balanced_parts(unit, near, n_parts))
-    return net, probes_for(net.score(unit).argmax(1), others(held, unit, 10), net.score(held), recall)
+    return net, probes_for(best_parts(net, unit), others(held, unit, 10), held, net, recall)
 
 
 def best_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +224,7 @@ def nearest(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                part = net.score(_unit(_rows(b.column("v")))).argmax(1)
+                part = best_parts(net, _unit(_rows(b.column("v"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], [*b.schema.names, "part"])
 
     indexed = saved(rows.mapInArrow(place, "vec_id long, v array<double>, asks boolean, part int"), "indexed")
@@ -217,7 +234,8 @@ def nearest(
         held[r["part"]] = r["n"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        step = _stride(n_parts)
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             if b.num_rows:
                 order = np.argsort(-net.score(_unit(_rows(b.column("v")))), axis=1, kind="stable")
                 # `probes` parts, and more as long as those hold too few rows

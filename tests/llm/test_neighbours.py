@@ -82,7 +82,7 @@ def test_probes_hold_for_rows_the_router_has_not_seen():
     part = balanced_parts(unit, graph(unit, 10), 30)
     net = Router(12, 30).fit(unit, part)
     home = net.score(unit).argmax(1)
-    probes = probes_for(home, others(held, unit, 10), net.score(held), 0.9)
+    probes = probes_for(home, others(held, unit, 10), held, net, 0.9)
     order = np.argsort(-net.score(fresh), axis=1)[:, :probes]
     found = (home[others(fresh, unit, 10)][:, :, None] == order[:, None, :]).any(2).mean()
     assert 0.87 <= found and probes < 30
