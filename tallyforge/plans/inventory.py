@@ -55,6 +55,28 @@ def census_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.ranked_values(per, "v", [0.1, 0.5, 0.9, 0.99, 1.0])
 
 
+_REPOS = """f AS (SELECT doc_id % 3 AS kind, doc_id % 89 AS repo, n_chars AS size, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'objects/pack/p.pack' WHEN 1 THEN 'objects/pack/p.idx' WHEN 2 THEN 'objects/ab/' || doc_id WHEN 3 THEN 'worktrees/w' || doc_id % 5 || '/HEAD' END AS below FROM documents WHERE doc_id % 89 <> 5),
+  r AS (SELECT DISTINCT doc_id % 89 AS repo FROM documents),
+  m AS (SELECT repo, count(size) AS files, coalesce(sum(size), 0) AS bytes, count(below) AS git_files, coalesce(sum(size) FILTER (below IS NOT NULL), 0) AS git_bytes, count(*) FILTER (below LIKE 'objects/ab/%') AS loose, coalesce(sum(size) FILTER (below LIKE 'objects/ab/%'), 0) AS loose_bytes,
+    count(*) FILTER (below LIKE '%.pack') AS packs, coalesce(sum(size) FILTER (below LIKE '%.pack'), 0) AS pack_bytes, count(*) FILTER (below IS NULL AND size IS NOT NULL) AS checkout_files, coalesce(sum(size) FILTER (below IS NULL), 0) AS checkout_bytes,
+    count(DISTINCT CASE WHEN below LIKE 'worktrees/%' THEN below END) AS worktree_admins FROM r LEFT JOIN f USING (repo) GROUP BY 1)"""
+_METRICS = ["files", "bytes", "git_files", "git_bytes", "loose", "loose_bytes", "packs", "pack_bytes", "checkout_files", "checkout_bytes", "worktree_admins"]
+_EACH = " UNION ALL ".join(f"SELECT repo % 2 AS side, '{m}' AS metric, CAST({m} AS BIGINT) AS v FROM m" for m in _METRICS)
+
+
+@query(
+    "repo_distribution",
+    f"""WITH {_REPOS}, e AS ({_EACH}), s AS (SELECT side, metric, v, row_number() OVER (PARTITION BY side, metric ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY side, metric) AS n FROM e)
+    SELECT side, metric, CAST(sum(v) AS BIGINT) AS sum, max(v) FILTER (i = floor(0.1::DOUBLE * (n - 1) + 0.5)) AS p10, max(v) FILTER (i = floor(0.5::DOUBLE * (n - 1) + 0.5)) AS p50, max(v) FILTER (i = floor(0.9::DOUBLE * (n - 1) + 0.5)) AS p90,
+      max(v) FILTER (i = floor(0.99::DOUBLE * (n - 1) + 0.5)) AS p99, max(v) AS max FROM s GROUP BY 1, 2""",
+)
+def repo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 89).alias("repo"), F.col("n_chars").alias("size"), "doc_id")
+    below = F.expr("case doc_id % 7 when 0 then 'objects/pack/p.pack' when 1 then 'objects/pack/p.idx' when 2 then concat('objects/ab/', doc_id) when 3 then concat('worktrees/w', doc_id % 5, '/HEAD') end")
+    metrics = census.repo_metrics(d.select("repo"), d.where("repo <> 5").select("repo", below.alias("below"), "size"))
+    return census.distribution(metrics.withColumn("side", F.col("repo") % 2), ["side"], _METRICS)
+
+
 @query(
     "sidecar_pairing",
     f"""WITH {_PATHS}, s AS (SELECT path, regexp_replace(path, '-(wal|shm|journal)$', '') AS base FROM files WHERE path LIKE '%-wal')
