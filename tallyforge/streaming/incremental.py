@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.shared import shared_folder
@@ -78,3 +81,43 @@ def stalled(stream: DataFrame, key: str, time: str, counter: str, seconds: int)
         .agg(F.count("*").alias("n"))
         .select(key, counter, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
     )
+
+
+def starving(stream: DataFrame, key: str, time: str, counter: str, seconds: int, delay: int = 0) -> DataFrame:
+    """Streaming: (key, counter, since, at, silent) once for each stretch in which a key's counter did not move for `seconds`, at the limit.
+
+    since: when the counter took its value; at: since and the limit; silent: no row had come since, so that the key may be gone rather than stuck. An event-time
+    timer is set to the limit and set anew with every movement. Rows later than `delay` seconds behind the newest are dropped. time is a timestamp.
+    """
+    limit = seconds * 1000
+    kind = dict(stream.dtypes)[key]
+
+    def watch(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, since, seen, fired = state.get if state.exists else (None, None, None, False)
+        out = []
+
+        def alert() -> None:
+            out.append((group[0], value, pd.Timestamp(since, unit="ms"), pd.Timestamp(since + limit, unit="ms"), seen == since))
+
+        if state.hasTimedOut:
+            if not fired:
+                alert()
+                fired = True
+        else:
+            rows = pd.concat(batches).sort_values([time, counter])
+            for at, now in zip((rows[time].astype("datetime64[us]").astype("int64") // 1000).tolist(), rows[counter].tolist()):
+                if value is not None and not fired and at - since >= limit:
+                    alert()
+                    fired = True
+                if value is None or now != value:
+                    value, since, fired = now, at, False
+                seen = at
+        state.update((value, since, seen, fired))
+        if not fired:
+            state.setTimeoutTimestamp(max(since + limit, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, counter, "since", "at", "silent"]).astype({"since": "datetime64[us]", "at": "datetime64[us]", "silent": bool})
+
+    rows = stream.select(key, F.col(time), F.col(counter).cast("long").alias(counter)).withWatermark(time, f"{delay} seconds")
+    return rows.groupBy(key).applyInPandasWithState(
+        watch, f"{key} {kind}, {counter} long, since timestamp_ntz, at timestamp_ntz, silent boolean", "value long, since long, seen long, fired boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
