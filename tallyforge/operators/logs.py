@@ -95,10 +95,35 @@ def coverage(source: DataFrame, target: DataFrame, key: str, event: str, pos: st
     order = numbered(source, "a").join(numbered(target, "b"), [key, "_i"], "full_outer").groupBy(key).agg(
         F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.bool_and(F.col("in_b").isNull() | (F.col("in_a").isNotNull() & F.col("a").eqNullSafe(F.col("b")))).alias("prefix")
     )
-    verdict = F.when(F.col("lacking") == 0, "covered").when(F.col("prefix") & (F.col("n_b") < F.col("n_a")), "extends").otherwise("lacks")
+    verdict = F.when(F.col("lacking") == 0, "covered").when(F.coalesce("prefix", F.lit(True)) & (F.col("n_b") < F.col("n_a")), "extends").otherwise("lacks")
     return lack.join(order, key).select(key, verdict.alias("verdict"), "lacking")
 
 
+def coverage_of_logs(source: DataFrame, target: DataFrame, key: str, limit: int = 1 << 30) -> DataFrame:
+    """(key, verdict, lacking, events, missing_ids, ids) of source and target(key, pos, event, ordinal, ids, size): what a target log holds of a source's events.
+
+    event is an event's identity without its ordinal, ordinal whether it had one, ids its turn and call ids (array), size its bytes.
+    over-limit: a side has more than `limit` bytes; covered: every event is there as often; extends: the target's events are the source's first, in
+    order; rewrite-covered: every source event has an ordinal and no target event, and the target holds all ids, of which there are some; lacks: else. missing_ids is null unless
+    the source is such a rewrite. A source without events is covered.
+    """
+    s = source.groupBy(key).agg(F.count("*").alias("events"), F.count_if("ordinal").alias("ordinals"), F.sum(F.col("size") + 1).alias("s_bytes"))
+    t = target.groupBy(key).agg(F.bool_or("ordinal").alias("t_ordinal"), F.sum(F.col("size") + 1).alias("t_bytes"))
+    plain = coverage(source, target, key, "event", "pos")
+
+    def each(x: DataFrame) -> DataFrame:
+        return x.select(key, F.explode("ids").alias("_id")).distinct()
+
+    met = each(source).join(each(target).withColumn("_h", F.lit(True)), [key, "_id"], "left").groupBy(key).agg(F.count("*").alias("ids"), F.count_if(F.col("_h").isNull()).alias("missing"))
+    x = s.join(plain, key, "left").join(t, key, "left").join(met, key, "left")
+    ids = F.coalesce("ids", F.lit(0).cast("long"))
+    rewrite = (F.col("events") == F.col("ordinals")) & ~F.coalesce("t_ordinal", F.lit(False))
+    over = F.coalesce(F.col("s_bytes") > limit, F.lit(False)) | F.coalesce(F.col("t_bytes") > limit, F.lit(False))
+    missing = F.when(rewrite & (F.col("verdict") == "lacks"), F.coalesce("missing", F.lit(0).cast("long")))
+    verdict = F.when(over, "over-limit").when((F.col("verdict") == "lacks") & rewrite & (ids > 0) & (missing == 0), "rewrite-covered").otherwise(F.col("verdict"))
+    return x.select(key, verdict.alias("verdict"), "lacking", "events", missing.alias("missing_ids"), ids.alias("ids"))
+
+
 def ordered_difference(captured: DataFrame, existing: DataFrame, line: str, pos: str) -> DataFrame:
     """(pos, line): captured lines that are not among the existing, once each, at their first place.
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import decisions, freshness, inventory, listings, measures, reused, scalars, smaller, streams, texts, unions  # noqa: F401
+    from . import decisions, freshness, inventory, listings, measures, proofs, reused, scalars, smaller, streams, texts, unions  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
