@@ -28,6 +28,42 @@ def nul_records(blobs: DataFrame, key: str, column: str) -> DataFrame:
     return each.where("record <> ''")
 
 
+def worktrees(blobs: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, pos, path, head, branch, bare, detached, locked, prunable) of a listing of worktrees: NUL-ended fields, an empty one behind each worktree."""
+    each = blobs.select(key, F.posexplode(F.filter(F.split(column, "\x00\x00"), lambda x: x != "")).alias("pos", "r"))
+    fields = F.transform(F.split("r", "\x00"), lambda f: F.struct(F.substring_index(f, " ", 1).alias("k"), F.when(F.contains(f, F.lit(" ")), F.substring(f, F.instr(f, " ") + 1, F.length(f))).otherwise("").alias("v")))
+    at = each.select(key, "pos", F.map_from_entries(F.filter(fields, lambda f: f["k"] != "")).alias("m"))
+    flags = [F.map_contains_key("m", n).alias(n) for n in ("bare", "detached", "locked", "prunable")]
+    return at.select(key, "pos", F.try_element_at("m", F.lit("worktree")).alias("path"), F.try_element_at("m", F.lit("HEAD")).alias("head"), F.try_element_at("m", F.lit("branch")).alias("branch"), *flags)
+
+
+def in_directory_order(paths: DataFrame, path: str) -> DataFrame:
+    """paths with dir and place: each entry's place in its directory by the bytes of its name, from 1. Names of a directory are one task's."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    x = paths.withColumn("dir", F.regexp_extract(path, "^(?:(.*)/)?[^/]*$", 1))
+    return x.withColumn("place", F.row_number().over(W.partitionBy("dir").orderBy(name.cast("binary"))))
+
+
+def joined_samples(lines: DataFrame, column: str, base: str, others: list[str], keys: list[str], fields: dict[str, list[str]]) -> DataFrame:
+    """Samples of `base` lines with what other kinds of lines say of the same keys: lines are a kind and key=value words, fields name the values of each kind.
+
+    A key that a line repeats has its last value, unknown is null; of several lines of a kind and key the last value by text counts.
+    """
+    def value(name: str) -> Column:
+        # the last one of the line
+        spaced = F.concat(F.lit(" "), F.col(column))
+        return F.when(spaced.rlike(rf"\s{name}="), F.nullif(F.regexp_extract(spaced, rf"^.*\s{name}=(\S*)", 1), F.lit("unknown"))).alias(name)
+
+    def of(kind: str) -> DataFrame:
+        got = lines.where(F.substring_index(column, " ", 1) == kind).select(*[value(k) for k in keys], *[value(f) for f in fields[kind]])
+        return got if kind == base else got.groupBy(*keys).agg(*[F.max(f).alias(f) for f in fields[kind]])
+
+    out = of(base)
+    for kind in others:
+        out = out.join(of(kind), keys, "left")
+    return out
+
+
 def pruned(paths: DataFrame, path: str, excluded: DataFrame) -> DataFrame:
     """paths that neither are nor lie under a path of excluded(prefix); by whole components, through each path's ancestors."""
     from .paths import ancestors
@@ -63,7 +99,9 @@ def holdings(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def expected(manifest: DataFrame, records: DataFrame, since: int) -> DataFrame:
-    """manifest(name) with state: missing, stale (its record started before since) or there; records(name, started), the latest counts."""
+    """manifest(name) with state: missing, stale (its record started before since) or there; records(name, started), the latest counts. A name listed twice is an error."""
+    if not manifest.groupBy("name").count().where("count > 1").isEmpty():
+        raise ValueError("the manifest lists a transfer twice")
     r = records.groupBy("name").agg(F.max("started").alias("started"))
     return manifest.join(r, "name", "left").select("name", F.when(F.col("started").isNull(), "missing").when(F.col("started") < since, "stale").otherwise("there").alias("state"))
 

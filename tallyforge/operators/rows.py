@@ -61,6 +61,31 @@ def union_surrogate(source: DataFrame, dest: DataFrame, unique: list[str], order
     )
 
 
+def unique_probe(source: DataFrame, dest: DataFrame, uniques: list[list[str]], order: str) -> DataFrame:
+    """source with action and key_no: the first of several unique keys that names a destination row decides: adopt (equal content) or keep-dest (key_no: the key's number
+    from 1). A source row that shares a unique key with an earlier one that is inserted is a repeat; else insert. A null in a key names nothing."""
+    values = [c for c in source.columns if c != order]
+    x, hits = source, []
+    for n, unique in enumerate(uniques, 1):
+        held = dest.where(F.col(unique[0]).isNotNull()).groupBy(*unique).agg(F.min(F.struct(*values)).alias(f"_there{n}"))
+        x = x.join(held, unique, "left")
+        hits.append(F.when(F.col(f"_there{n}").isNotNull(), F.struct(F.col(f"_there{n}").alias("there"), F.lit(n).alias("key_no"))))
+    x = x.withColumn("_hit", F.coalesce(*hits)).select(*source.columns, "_hit")
+    free = x.where("_hit is null")
+    first = free
+    for n, unique in enumerate(uniques, 1):
+        whole = F.lit(True)
+        for c in unique:
+            whole = whole & F.col(c).isNotNull()
+        earliest = free.where(whole).groupBy(*unique).agg(F.min(order).alias(f"_first{n}"))
+        first = first.join(earliest, unique, "left")
+    earlier = F.least(*[F.col(f"_first{n}") for n in range(1, len(uniques) + 1)], F.col(order))
+    new = first.select(*source.columns, F.when(earlier < F.col(order), "repeat").otherwise("insert").alias("action"), F.lit(None).cast("int").alias("key_no"))
+    same = F.struct(*values).eqNullSafe(F.col("_hit.there"))
+    met = x.where("_hit is not null").select(*source.columns, F.when(same, "adopt").otherwise("keep-dest").alias("action"), F.col("_hit.key_no").alias("key_no"))
+    return new.unionByName(met)
+
+
 def union_threads(threads: DataFrame, rows: DataFrame, dest_rows: DataFrame, thread: str, key: list[str], ordinal: str, row_order: str) -> DataFrame:
     """rows of the source with outcome: held, insert, adopt, replace or hold, under their thread's winner.
 

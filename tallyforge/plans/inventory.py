@@ -131,3 +131,9 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cdc_chunks")
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.cdc(table(spark, sf_dir, "documents"))
+
+
+@query("depth_refusals", "WITH f AS (SELECT doc_id, repeat('d/', CAST(doc_id % 300 AS INT)) || repeat('x', CAST(doc_id % 7 * 700 AS INT)) AS path FROM documents) SELECT doc_id, CASE WHEN doc_id % 300 + 1 > 256 THEN 'too-deep' WHEN strlen(path) > 4095 THEN 'too-long' END AS refusal FROM f")
+def depth_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(repeat('d/', cast(doc_id % 300 as int)), repeat('x', cast(doc_id % 7 * 700 as int))) as path")
+    return census.depth_refusals(f).select("doc_id", "refusal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import listings
+from ..operators import listings, rows
 from .catalogue import query
 from .tables import table
 
@@ -270,3 +270,48 @@ def projected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     path = F.when(F.expr("c_custkey % 3 = 0"), F.concat(F.lit("rel/"), k)).otherwise(F.concat(F.lit("/home/"), F.when(F.expr("c_custkey % 4 = 0"), "../").otherwise(""), k))
     return listings.projected(table(spark, sf_dir, "customer").select("c_custkey", path.alias("path"), "c_name"), ["c_custkey", "path"], "path")
+
+
+@query(
+    "worktree_fields",
+    """SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS pos, '/w t/' || c_custkey AS path, CASE WHEN c_custkey % 4 > 0 THEN md5(c_custkey::VARCHAR) END AS head, CASE WHEN c_custkey % 4 = 1 THEN 'refs/heads/b' || c_custkey END AS branch,
+    c_custkey % 4 = 0 AS bare, c_custkey % 4 > 1 AS detached, c_custkey % 7 = 0 AS locked, false AS prunable FROM customer""",
+)
+def worktree_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.expr("concat('worktree /w t/', c_custkey, '\\0', case c_custkey % 4 when 0 then 'bare' when 1 then concat('HEAD ', md5(cast(c_custkey as string)), '\\0branch refs/heads/b', c_custkey) else concat('HEAD ', md5(cast(c_custkey as string)), '\\0detached') end, if(c_custkey % 7 = 0, '\\0locked by hand', ''), '\\0\\0')")
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("r")))), lambda x: x["r"]), "").alias("blob"))
+    return listings.worktrees(c, "c_nationkey", "blob")
+
+
+@query("directory_order", f"WITH {_TREE} SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY dir ORDER BY regexp_extract(path, '[^/]*$')) AS place FROM f")
+def directory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.in_directory_order(_tree(spark, sf_dir).select("path"), "path")
+
+
+@query(
+    "joined_samples",
+    """SELECT l_orderkey::VARCHAR AS sequence, 'p' || l_linenumber AS phase, l_partkey::VARCHAR AS ms, max(CASE WHEN l_orderkey % 3 > 0 AND l_suppkey % 4 > 0 THEN l_suppkey::VARCHAR END) OVER (PARTITION BY l_orderkey, l_linenumber) AS rss, CASE WHEN l_orderkey % 5 = 0 THEN l_linenumber::VARCHAR END AS reread FROM lineitem""",
+)
+def joined_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    kinds = [("true", "'sample sequence=', l_orderkey, ' phase=p', l_linenumber, ' ms=', l_partkey"), ("l_orderkey % 3 > 0", "'memory phase=p', l_linenumber, ' sequence=', l_orderkey, ' rss=', if(l_suppkey % 4 > 0, cast(l_suppkey as string), 'unknown')"), ("l_orderkey % 5 = 0", "'read sequence=', l_orderkey, ' phase=p', l_linenumber, ' reread=9 reread=', l_linenumber")]
+    lines = None
+    for where, parts in kinds:
+        one = l.where(where).selectExpr(f"concat({parts}) as line")
+        lines = one if lines is None else lines.union(one)
+    return listings.joined_samples(lines, "line", "sample", ["memory", "read"], ["sequence", "phase"], {"sample": ["ms"], "memory": ["rss"], "read": ["reread"]})
+
+
+@query(
+    "unique_probe",
+    """WITH s AS (SELECT c_custkey AS pos, 'n' || c_custkey % 700 AS a, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 900 END AS b, c_nationkey AS v FROM customer WHERE c_custkey % 3 > 0), d AS (SELECT 'n' || c_custkey % 2100 AS a, c_custkey % 1800 AS b, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE -1 END AS v FROM customer WHERE c_custkey % 3 = 0),
+    da AS (SELECT a, min({'a': a, 'b': b, 'v': v}) AS r FROM d GROUP BY 1), db AS (SELECT b, min({'a': a, 'b': b, 'v': v}) AS r FROM d GROUP BY 1),
+    x AS (SELECT s.*, coalesce(da.r, db.r) AS r, CASE WHEN da.r IS NOT NULL THEN 1 WHEN db.r IS NOT NULL THEN 2 END AS key_no FROM s LEFT JOIN da ON da.a = s.a LEFT JOIN db ON db.b = s.b),
+    f AS (SELECT pos, a, b, v, least(min(pos) OVER (PARTITION BY a), CASE WHEN b IS NOT NULL THEN min(pos) OVER (PARTITION BY b) ELSE pos END) < pos AS again FROM x WHERE key_no IS NULL)
+    SELECT pos, a, b, v, CASE WHEN again THEN 'repeat' ELSE 'insert' END AS action, CAST(NULL AS INTEGER) AS key_no FROM f UNION ALL SELECT pos, a, b, v, CASE WHEN r.a = a AND r.b IS NOT DISTINCT FROM b AND r.v = v THEN 'adopt' ELSE 'keep-dest' END, key_no FROM x WHERE key_no IS NOT NULL""",
+)
+def unique_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    s = c.where("c_custkey % 3 > 0").selectExpr("c_custkey as pos", "concat('n', c_custkey % 700) as a", "if(c_custkey % 5 > 0, c_custkey % 900, null) as b", "cast(c_nationkey as bigint) as v")
+    d = c.where("c_custkey % 3 = 0").selectExpr("concat('n', c_custkey % 2100) as a", "c_custkey % 1800 as b", "cast(if(c_custkey % 2 = 0, c_nationkey, -1) as bigint) as v")
+    return rows.unique_probe(s, d, [["a"], ["b"]], "pos")
