@@ -64,7 +64,8 @@ def integer_token(token: Column) -> Column:
 
     decimal = F.regexp_replace(body, "^0+(?=[0-9])", "")
     value = F.coalesce(based("0x", "[0-9A-Fa-f]", 16), based("0o", "[0-7]", 8), based("0b", "[01]", 2), F.when(decimal.rlike("^[0-9]{1,38}$"), decimal.try_cast(whole)))
-    return F.when(bare.startswith("-"), -value).otherwise(value)
+    # by its text: negating a decimal would round it to 34 digits
+    return F.when(bare.startswith("-"), F.concat(F.lit("-"), value.cast("string")).cast(whole)).otherwise(value)
 
 
 def float_token(token: Column) -> Column:
