@@ -1,6 +1,8 @@
+import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_bpe import library
 from test_jaccard import brute
 
@@ -37,3 +39,25 @@ def test_stages_against_plain_versions(spark):
     assert words == {i: r.taken for i, r in plan.items() if r.taken}
     enc = library()
     assert sorted((r.doc_id, bytes(r.ids)) for r in tokens) == sorted((r.doc_id, b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(r.text))) for r in mixed)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, ties, a very long text, clashing columns and an empty table through every stage."""
+    rng = random.Random(3)
+    prose_ = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    texts = [None, None, "", " ", prose_, prose_, prose_.replace(" ", "  "), prose_ + " tail", "one", "x" * 300_000, " ".join(f"v{i}" for i in range(60_000)), "ü é " * 200]
+    rows = [(i, t, "en", f"s{i % 2}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    more = {c: F.lit("z") for c in ("score", "key", "kept", "row", "id", "token", "rank", "digest", "part", "size", "taken", "toxic")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(more)
+    spark.createDataFrame([(i, 0, 0) for i in (4, 8, 11)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    want = {"toxicity": set(range(12)), "exact dedup": {0, 3, 4, 7, 8, 9, 10, 11}, "near dedup": {0, 3, 4, 8, 9, 10, 11}}
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.saved(stage(spark, kept, str(tmp_path)), "stage")
+        assert name == "tokens" or out.columns == docs.columns
+        if name in want:
+            assert {r.doc_id for r in out.collect()} == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+        kept = out
+    texts_of = {r.doc_id for r in kept.collect()}
+    assert texts_of <= want["near dedup"] and {4, 10} <= texts_of
