@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of documents; each works on all rows its predecessor kept. Null and repeated ids are rows of their own.
+columns of documents; each works on all rows its predecessor kept. Null and repeated ids are rows of their own, further columns go along
+whatever their names, texts of any length are read whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents scored below TOXIC, by a network that learns from the labelled rows outside the held-out fold."""
+    """Keeps documents scored below TOXIC, by a network that learns from the labelled rows outside the held-out fold.
+
+    A null or empty text is scored as one empty window. Where the labels know one class only, its share is every score.
+    """
     docs, ids = keyed(docs)
     labels = table(spark, sf_dir, "labels").where(registry.remainder(4) != 2)
     if ids is not None:
@@ -30,28 +34,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that of the smallest doc_id, of texts equal but for white space."""
+    """Keeps one row, that of the smallest doc_id, of texts equal but for white space. Null texts equal the empty one; of rows with one id the first by content stays."""
     docs, ids = keyed(docs)
     kept = exact.dedup(docs, exact.halves(docs)).where("kept").select("doc_id")
     return restored(docs.join(kept, "doc_id", "left_semi").select(*docs.columns), ids)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more. A text without words links with nothing and stays."""
     docs, ids = keyed(docs)
     kept = jaccard.jaccard_join(docs, k=5, num=80, den=100).where("component_id = doc_id").select("doc_id")
     return restored(docs.join(kept, "doc_id", "left_semi").select(*docs.columns), ids)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each use of a document's words, n_chars set anew."""
+    """The mix of the sources: a row for each use of a document's words, n_chars set anew. A text without words has none to give; a null source is one of its own, last."""
     docs, ids = keyed(docs)
     rows, _ = mixing.mix_plan(docs)
     return restored(mixing.mixed_texts(docs, rows), ids)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row and the digest of what they decode to."""
+    """Token ids of each row and the digest of what they decode to. A null text is the empty one, without tokens."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
