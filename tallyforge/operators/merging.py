@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from .documents import pointer
 
 NODE = "pointer string, place array<int>, name string, kind string, token string, digest string, elements array<struct<digest:string,token:string>>"
@@ -140,13 +141,13 @@ def merged_rows(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     kept: rows of the result, with `state`: live, added (a source member the live one lacks), united (an array, `more` elements added) or later
     (the source's, which is the later side). conflicts: (key, pointer, kept_side, kept, other) for every difference, each side's whole value.
     """
-    sides = [nodes(pairs, key, s).select(key, "pointer", F.struct(*PARTS[1:]).alias(s[0])) for s in ("live", "source")]
+    sides = [written(nodes(pairs, key, s).select(key, "pointer", F.struct(*PARTS[1:]).alias(s[0])), f"nodes-{s}") for s in ("live", "source")]
     x = sides[0].join(sides[1], [key, "pointer"], "full_outer").join(pairs.select(key, "source_later"), key)
     l, s = F.col("l"), F.col("s")
     both = l.isNotNull() & s.isNotNull()
     objects, arrays = (both & (l["kind"] == k) & (s["kind"] == k) for k in ("object", "array"))
     clash = both & ~objects & ~arrays & ~F.coalesce(l["digest"] == s["digest"], F.lit(False))
-    x = x.withColumn("clash", clash)
+    x = written(x.withColumn("clash", clash), "pairs")
     # nothing of the losing side under a difference counts, and what of the winning one stands there is no addition
     lost = x.where("clash").select(key, F.col("pointer").alias("top"), F.when(F.col("source_later"), "l").otherwise("s").alias("loser"))
     one_sided = x.where(~both & (F.col("pointer") != ""))
@@ -163,7 +164,7 @@ def merged_rows(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     kept = x.where(~F.coalesce("gone", F.lit(False))).select(
         key, "pointer", n["place"].alias("place"), n["name"].alias("name"), n["kind"].alias("kind"), F.when(more > 0, both_tokens).otherwise(n["token"]).alias("token"), state.alias("state"), more.alias("more"), l["place"].alias("l_place"),
     )
-    return _placed(kept, key), _conflicts(x, sides, lost, key)
+    return written(_placed(written(kept, "kept"), key), "placed"), _conflicts(sides, lost, key)
 
 
 def _placed(kept: DataFrame, key: str) -> DataFrame:
@@ -178,7 +179,7 @@ def _placed(kept: DataFrame, key: str) -> DataFrame:
     return each.drop("place", "own", "l_place").join(place, [key, "pointer"], "left").withColumn("place", F.coalesce("place", F.array().cast("array<int>")))
 
 
-def _conflicts(x: DataFrame, sides: list[DataFrame], lost: DataFrame, key: str) -> DataFrame:
+def _conflicts(sides: list[DataFrame], lost: DataFrame, key: str) -> DataFrame:
     """Both whole values of every difference, written from their rows."""
 
     def values(side: DataFrame, name: str, column: str) -> DataFrame:

@@ -155,3 +155,47 @@ def dependency_order(tables: list[str], references: list[tuple[str, str]]) -> li
         out.append(free[0] if free else left[0])
         left.remove(out[-1])
     return out
+
+
+# Columns that tell a row's version, and those that are a clock, in the order of preference.
+VERSIONS, CLOCKS = ("updated_at_ms", "updated_at", "updated_at_ordinal"), ("updated_at_ms", "updated_at")
+
+
+def key_plans(columns: DataFrame) -> DataFrame:
+    """(table, kind, key, version, time, paths, thread, ordinals, threads) of each table of columns, the frame of sqlitestream.schema_of: how its rows are united.
+
+    kind: natural (its primary key), surrogate (one INTEGER key that the table numbers by AUTOINCREMENT), rowid (no key), or unsupported (a hidden column, or no key and no rowid). Only a natural
+    key has a clock; thread is thread_id where rows belong to threads, and ordinals are their columns of order then. threads: it is the table of the threads themselves.
+    """
+    one = F.array_sort(F.collect_list(F.struct("place", "column", "declared", "pk")))
+    x = columns.groupBy("table").agg(F.max("rowid").alias("rowid"), F.max("sql").alias("sql"), F.bool_or(F.col("hidden") != 0).alias("hidden"), one.alias("c"))
+    names = F.transform("c", lambda c: c["column"])
+    keys = F.transform(F.array_sort(F.transform(F.filter("c", lambda c: c["pk"] > 0), lambda c: F.struct(c["pk"].alias("pk"), c["column"].alias("column"), c["declared"].alias("declared")))), lambda k: k)
+    x = x.withColumns({"names": names, "k": keys})
+    alone = (F.size("k") == 1) & F.col("rowid") & F.upper("sql").contains("AUTOINCREMENT") & (F.upper(F.get("k", F.lit(0))["declared"]) == "INTEGER")
+    kind = F.when(F.col("hidden") | ((F.size("k") == 0) & ~F.col("rowid")), "unsupported").when(F.size("k") == 0, "rowid").when(F.coalesce(alone, F.lit(False)), "surrogate").otherwise("natural")
+    x = x.withColumn("kind", kind).withColumn("key", F.transform("k", lambda k: k["column"]))
+
+    def first(wanted: tuple[str, ...]) -> Column:
+        return F.get(F.filter(F.array(*map(F.lit, wanted)), lambda w: F.array_contains("names", w)), F.lit(0))
+
+    natural = F.col("kind") == "natural"
+    threads = natural & (F.col("table") == "threads") & (F.col("key") == F.array(F.lit("id")))
+    thread = F.when(natural & (F.col("table") != "threads") & F.array_contains("names", "thread_id"), "thread_id")
+    paths = F.filter("names", lambda n: n.isin("cwd", "path") | n.endswith("_path"))
+    ordinals = F.when(thread.isNotNull(), F.filter("names", lambda n: n.endswith("ordinal") & (n != "updated_at_ordinal"))).otherwise(F.array().cast("array<string>"))
+    return x.select("table", "kind", "key", first(VERSIONS).alias("version"), F.when(natural, first(CLOCKS)).alias("time"), paths.alias("paths"), thread.alias("thread"), ordinals.alias("ordinals"), threads.alias("threads"))
+
+
+def insert_guard(plans: DataFrame, extras: DataFrame, known: list[str]) -> DataFrame:
+    """(table, safe): whether rows may be inserted as they are: no trigger of extras(kind, name, table) on the table is unknown, and a table of logs has the key of its rows' numbers."""
+    odd = extras.where(F.col("kind") == "trigger").where(~F.col("name").isin(*known) if known else F.lit(True)).select("table", F.lit(True).alias("_odd")).distinct()
+    numbered = F.col("kind").isin("rowid", "surrogate") | (F.lower(F.col("table")) != "logs")
+    return plans.join(odd, "table", "left").select("table", (F.col("_odd").isNull() & numbered).alias("safe"))
+
+
+def within(rows: DataFrame, most: int) -> DataFrame:
+    """rows, if there are no more than `most`; else an error, before any is worked on."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return rows

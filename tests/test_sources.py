@@ -2,8 +2,10 @@
 
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import rows
 from tallyforge.sources import sqlitestream as source
 
 
@@ -100,3 +102,27 @@ def test_schema_extras_header(spark, tmp_path):
     with sqlite3.connect(path) as c:
         c.execute("PRAGMA journal_mode=WAL")
     assert source.header(spark.read.format("binaryFile").load(path)).select(F.col("wal")).first().wal
+
+
+def test_plans_of_tables(spark, tmp_path):
+    path = str(tmp_path / "p.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE threads (id TEXT PRIMARY KEY, cwd TEXT, rollout_path TEXT, updated_at INT, updated_at_ms INT)")
+        c.execute("CREATE TABLE items (thread_id TEXT, n INT, turn_ordinal INT, updated_at_ordinal INT, PRIMARY KEY (thread_id, n)) WITHOUT ROWID")
+        c.execute("CREATE TABLE logs (id INTEGER PRIMARY KEY AUTOINCREMENT, path TEXT, updated_at INT)")
+        c.execute("CREATE TABLE bag (a INT)")
+        c.execute("CREATE TABLE odd (a INT PRIMARY KEY, b INT GENERATED ALWAYS AS (a))")
+        c.execute("CREATE TRIGGER t1 AFTER INSERT ON bag BEGIN SELECT 1; END")
+        c.execute("CREATE TRIGGER t2 AFTER INSERT ON items BEGIN SELECT 1; END")
+    plans = rows.key_plans(source.schema_of(spark, path))
+    got = {r.table: (r.kind, r.key, r.version, r.time, r.paths, r.thread, r.ordinals, r.threads) for r in plans.collect()}
+    assert got == {
+        "threads": ("natural", ["id"], "updated_at_ms", "updated_at_ms", ["cwd", "rollout_path"], None, [], True),
+        "items": ("natural", ["thread_id", "n"], "updated_at_ordinal", None, [], "thread_id", ["turn_ordinal"], False),
+        "logs": ("surrogate", ["id"], "updated_at", None, ["path"], None, [], False), "bag": ("rowid", [], None, None, [], None, [], False), "odd": ("unsupported", ["a"], None, None, [], None, [], False),
+    }
+    safe = {r.table: r.safe for r in rows.insert_guard(plans, source.extras_of(spark, path), ["t2"]).collect()}
+    assert safe == {"threads": True, "items": True, "logs": True, "bag": False, "odd": True}
+    with pytest.raises(ValueError, match="more than 3"):
+        rows.within(spark.range(5), 3)
+    assert rows.within(spark.range(3), 3).count() == 3
