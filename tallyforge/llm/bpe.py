@@ -193,6 +193,41 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], m: Merger, pattern: str, known_pieces: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids of batches with doc_id and text."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    known: dict[str, bytes] = {}
+    for batch in batches:
+        for part in sub_batches(batch, 1_500_000):
+            found = [find(t) for t in texts_of(part).to_pylist()]
+            new = list(set().union(*found).difference(known))
+            if len(known) + len(new) > known_pieces:
+                known.clear()
+                new = list(set().union(*found))
+            known.update(zip(new, m.encode([p.encode() for p in new]), strict=True))
+            ids = [b"".join(map(known.__getitem__, f)) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "n_tokens", "ids"],
+            )
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], m: Merger) -> Iterator[pa.RecordBatch]:
+    """The batches with the bytes of their ids."""
+    tokens = m.tokens
+    for batch in batches:
+        step = max(1, int(batch.num_rows * 4e6 / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            out = [
+                None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                for x in part.column("ids").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, known_pieces: int = 250_000) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) for every row.
 
@@ -202,45 +237,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, known_pieces: int = 2
     tasks once. known_pieces bounds a worker's memory of pieces met before; it changes no result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_file(ranks_path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        m = merger(sent.value)
-        known: dict[str, bytes] = {}
-        for batch in batches:
-            for part in sub_batches(batch, 1_500_000):
-                found = [find(t) for t in texts_of(part).to_pylist()]
-                new = list(set().union(*found).difference(known))
-                if len(known) + len(new) > known_pieces:
-                    known.clear()
-                    new = list(set().union(*found))
-                known.update(zip(new, m.encode([p.encode() for p in new]), strict=True))
-                ids = [b"".join(map(known.__getitem__, f)) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, merger(sent.value), pattern, known_pieces), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds decoded (binary: the tokens' bytes, joined) to a table with column ids; null ids give null."""
     sent = encoded.sparkSession.sparkContext.broadcast(read_file(ranks_path))
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
+    return encoded.mapInArrow(lambda b: _decoded(b, merger(sent.value)), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = merger(sent.value).tokens
-        for batch in batches:
-            step = max(1, int(batch.num_rows * 4e6 / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                out = [
-                    None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                    for x in part.column("ids").to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
+
+def coded(docs: DataFrame, ranks_path: str, pattern: str, known_pieces: int = 250_000) -> DataFrame:
+    """encode() and decode() of its ids by one Python worker a task, in place of two that both hold the ranks."""
+    sent = docs.sparkSession.sparkContext.broadcast(read_file(ranks_path))
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(lambda b: _decoded(_encoded(b, merger(sent.value), pattern, known_pieces), merger(sent.value)), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -152,8 +152,7 @@ def op8_lattice_score(spark: SparkSession, sf_dir: str, pieces: str = "piece_bpe
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path(ranks)
-    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    rows = bpe.coded(documents(spark, sf_dir), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

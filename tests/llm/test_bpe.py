@@ -20,6 +20,8 @@ def test_encode_as_the_library_does_and_back(spark):
     texts = corpus() + ["<|endoftext|>", "it's  don't\n\n x", "数字 ½² 9٣", "\U0001f600" * 40, "ab" * 700, "".join(chr(rng.randrange(1, 0x3000)) for _ in range(4000)), "a\x00b"]
     enc = library()
     rows = bpe.decode(bpe.encode(docs_of(spark, texts), PATH, P.PATTERN, known_pieces=50), PATH).collect()
+    key = lambda r: r.doc_id
+    assert sorted(bpe.coded(docs_of(spark, texts), PATH, P.PATTERN, known_pieces=50).collect(), key=key) == sorted(rows, key=key)
     assert len(rows) == len(texts)
     for r in rows:
         t = texts[r.doc_id] or ""
