@@ -147,3 +147,25 @@ def move_action(workspace: Column, capture: Column, presence: Column, seats: Col
     for of, a, r in rules:
         action, reason = action.when(of, a), reason.when(of, r)
     return action, reason
+
+
+def escaped(content: Column) -> Column:
+    """Bytes as text: printable ASCII as it is, a backslash and any other byte as \\xNN."""
+    # taken apart once: what a lambda names outside of its element is worked out for every one
+    pairs = F.regexp_extract_all(F.lower(F.hex(content)), F.lit("(..)"), F.lit(1))
+    plain = F.transform(pairs, lambda p: F.when((p >= "20") & (p <= "7e") & (p != "5c"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), p)))
+    return F.array_join(plain, "")
+
+
+def unescaped(text: Column) -> Column:
+    """The bytes of an escaped text; a backslash that begins no \\xNN stands for itself."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(\\x[0-9a-fA-F]{2}|[^\\]+|\\)"), F.lit(1))
+    parts = F.transform(tokens, lambda t: F.when(t.rlike(r"^\\x[0-9a-fA-F]{2}$"), F.substring(t, 3, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
+    return F.unhex(F.array_join(parts, ""))
+
+
+def typed_refusals(rows: DataFrame, code: str, codes: DataFrame) -> DataFrame:
+    """rows with typed and retired: whether the code names a cause that codes(code) hold, IO and FRAME_CODEC not counting, and whether it has left them."""
+    x = rows.join(codes.select(F.col("code").alias(code), F.lit(True).alias("_known")).distinct(), code, "left")
+    known = F.coalesce("_known", F.lit(False))
+    return x.select(*rows.columns, (known & ~F.col(code).isin("IO", "FRAME_CODEC")).alias("typed"), (~known & F.col(code).isNotNull()).alias("retired"))

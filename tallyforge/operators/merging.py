@@ -147,17 +147,19 @@ def merged_rows(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     both = l.isNotNull() & s.isNotNull()
     objects, arrays = (both & (l["kind"] == k) & (s["kind"] == k) for k in ("object", "array"))
     clash = both & ~objects & ~arrays & ~F.coalesce(l["digest"] == s["digest"], F.lit(False))
-    x = written(x.withColumn("clash", clash), "pairs")
+    # columns of their own, so that no lambda works them out again for each element
+    x = x.withColumns({"clash": clash, "l_has": l["elements"]["digest"], "s_has": s["elements"]["digest"], "s_tokens": s["elements"]["token"]})
+    x = written(x, "pairs")
     # nothing of the losing side under a difference counts, and what of the winning one stands there is no addition
     lost = x.where("clash").select(key, F.col("pointer").alias("top"), F.when(F.col("source_later"), "l").otherwise("s").alias("loser"))
     one_sided = x.where(~both & (F.col("pointer") != ""))
     under = one_sided.select(key, "pointer", F.when(l.isNotNull(), "l").otherwise("s").alias("side"), F.explode(_above(F.col("pointer"))).alias("top")).join(lost, [key, "top"])
     under = under.select(key, "pointer", "top", (F.col("side") == F.col("loser")).alias("gone"))
     x = x.join(under, [key, "pointer"], "left")
-    held = F.transform(l["elements"], lambda e: e["digest"])
-    fresh = F.filter(s["elements"], lambda e, i: ~F.array_contains(held, e["digest"]) & (F.array_position(F.transform(s["elements"], lambda y: y["digest"]), e["digest"]) == i + 1))
+    fresh = F.array_except("s_has", "l_has")
     more = F.when(arrays, F.size(fresh)).otherwise(0)
-    both_tokens = F.concat(F.lit("["), F.array_join(F.concat(F.transform(l["elements"], lambda e: e["token"]), F.transform(fresh, lambda e: e["token"])), ","), F.lit("]"))
+    tokens = F.transform(fresh, lambda d: F.element_at("s_tokens", F.array_position("s_has", d).cast("int")))
+    both_tokens = F.concat(F.lit("["), F.array_join(F.concat(l["elements"]["token"], tokens), ","), F.lit("]"))
     wins = F.coalesce(F.col("clash") & F.col("source_later"), F.lit(False)) | l.isNull()
     n = F.when(wins, s).otherwise(l)
     state = F.when(F.col("clash") & F.col("source_later"), "later").when(l.isNull() & F.col("top").isNotNull(), "later").when(l.isNull(), "added").when(more > 0, "united").otherwise("live")

@@ -117,3 +117,16 @@ def corrected(base: DataFrame, dest: DataFrame, maps: DataFrame, files: DataFram
     held = F.col("_r").eqNullSafe(F.col("rollout_path")) & F.col("_c").eqNullSafe(F.col("cwd"))
     word = F.when(~F.coalesce(sound, F.lit(False)), "base-path-unavailable").when(~held, "state-changed").otherwise("base-path-corrected")
     return x.select("id", word.alias("disposition"), F.when(word == "base-path-corrected", F.col("new_rollout_path")).otherwise(F.col("rollout_path")).alias("rollout_path"), F.when(word == "base-path-corrected", F.col("new_cwd")).otherwise(F.col("cwd")).alias("cwd"))
+
+
+def repositories(entries: DataFrame) -> DataFrame:
+    """(root, kind, nested_in) of the repositories among entries(path, kind): main where .git is a directory, linked where it is a file, bare where a directory holds HEAD, objects and
+    refs by itself. nested_in is the nearest repository above, null without one; what lies inside a repository's own directory is none."""
+    dir_, name = F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
+    x = entries.withColumns({"dir": dir_, "name": name})
+    marked = x.where("name = '.git' and kind in ('directory', 'regular')").select(F.col("dir").alias("root"), F.when(F.col("kind") == "directory", "main").otherwise("linked").alias("kind"))
+    own = x.where("(name = 'HEAD' and kind = 'regular') or (name in ('objects', 'refs') and kind = 'directory')").groupBy("dir").agg(F.count_distinct("name").alias("n"))
+    bare = own.where("n = 3").where(~F.array_contains(F.split("dir", "/"), ".git")).select(F.col("dir").alias("root"), F.lit("bare").alias("kind"))
+    every = marked.union(bare).groupBy("root").agg(F.max("kind").alias("kind"))
+    above = every.select("root", F.explode(ancestors(F.col("root"))).alias("up")).where("up <> root").join(every.select(F.col("root").alias("up")), "up")
+    return every.join(above.groupBy("root").agg(F.max_by("up", F.length("up")).alias("nested_in")), "root", "left").select("root", "kind", "nested_in")

@@ -274,3 +274,62 @@ def coverage_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").selectExpr("user_id as k", "event_id as pos", "concat(event_type, event_id % 50) as event", "user_id % 2 = 0 as ordinal", "event_id % 6 as m", "array(concat('t:', event_id % 9)) as ids", "10 as size")
     t = e.where("(k % 5 > 0 or m < 4) and (k % 3 > 0 or pos % 11 > 0) and k % 7 > 0").selectExpr("k", "pos", "if(k % 4 = 0, concat(event, 'r'), event) as event", "k % 8 = 6 as ordinal", "ids", "size")
     return logs.coverage_of_logs(e.where("m < 4").drop("m"), t, "k", 9000)
+
+
+@query("escaped_names", "SELECT doc_id, sha256(replace(t, 'b', chr(92) || 'x62')) AS told, true AS back FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g')[1:500] AS t FROM documents)")
+def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bare = F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 500)
+    # what a writer escaped beyond need is read as well, and every text comes back
+    told = F.replace(marks.escaped(bare.cast("binary")), F.lit("b"), F.lit("\\x62"))
+    back = (marks.unescaped(marks.escaped(F.col("text").cast("binary"))) == F.col("text").cast("binary")) & (marks.unescaped(told) == bare.cast("binary"))
+    return d.select("doc_id", F.sha2(told, 256).alias("told"), back.alias("back"))
+
+
+@query("refusal_typing", f"SELECT o_orderkey, {_sql('o_orderkey', ['C1', 'IO', 'OLD', 'FRAME_CODEC', 'C2'])} AS code, o_orderkey % 5 IN (0, 4) AS typed, o_orderkey % 5 = 2 AS retired FROM orders")
+def refusal_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _nth("o_orderkey", ["C1", "IO", "OLD", "FRAME_CODEC", "C2"]).alias("code"))
+    return marks.typed_refusals(rows, "code", spark.createDataFrame([(c,) for c in ("C1", "C2", "IO", "FRAME_CODEC", "C1")], "code string"))
+
+
+@query(
+    "repository_inventory",
+    """WITH c AS (SELECT c_custkey AS k, 'h/' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '/in' ELSE '' END || '/p' || c_custkey AS p FROM customer), r AS (SELECT p AS root, CASE CAST(k % 4 AS INT) WHEN 0 THEN 'main' WHEN 1 THEN 'linked' WHEN 2 THEN 'bare' END AS kind FROM c WHERE k % 4 < 3
+      UNION ALL SELECT DISTINCT 'h/' || c_nationkey, 'main' FROM customer WHERE c_nationkey % 2 = 0)
+    SELECT root, kind, CASE WHEN root LIKE 'h/%/%' AND split_part(root, '/', 2)::INT % 2 = 0 THEN 'h/' || split_part(root, '/', 2) END AS nested_in FROM r""",
+)
+def repository_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_nationkey as n", "concat('h/', c_nationkey, if(c_custkey % 3 = 0, '/in', ''), '/p', c_custkey) as p")
+    kinds = [("k % 4 = 0", "/.git", "directory"), ("k % 4 = 0", "/.git/HEAD", "regular"), ("k % 4 = 0", "/.git/objects", "directory"), ("k % 4 = 0", "/.git/refs", "directory"), ("k % 4 = 1", "/.git", "regular"), ("k % 4 = 2", "/HEAD", "regular"), ("k % 4 = 2", "/objects", "directory"), ("k % 4 = 2", "/refs", "directory"), ("k % 4 = 3", "/HEAD", "regular")]
+    e = c.where("n % 2 = 0").selectExpr("concat('h/', n, '/.git') as path", "'directory' as kind")
+    for where, tail, kind in kinds:
+        e = e.union(c.where(where).select(F.concat("p", F.lit(tail)).alias("path"), F.lit(kind).alias("kind")))
+    return places.repositories(e)
+
+
+@query(
+    "record_entries",
+    "SELECT DISTINCT l_orderkey AS session, 'f' || l_partkey % 9 AS path, l_returnflag AS outcome FROM lineitem",
+)
+def record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as session", "concat('f', l_partkey % 9) as path", "l_returnflag as outcome")
+    return proofs.transfer_entries(l.groupBy("session").agg(F.collect_list(F.struct("path", "outcome")).alias("entries")))
+
+
+@query(
+    "ledger_entries",
+    """WITH o AS (SELECT o_orderkey AS item, o_custkey AS c FROM orders)
+    SELECT item, 's' || c AS source, item % 2 = 0 AS has_workspace, CASE WHEN item % 3 > 0 THEN 'ok' END AS record, CASE WHEN item % 3 > 0 THEN 's' || c END AS record_source, CASE WHEN item % 3 > 0 THEN CASE WHEN item % 6 > 3 THEN 'captured' ELSE 'refs-imported' END END AS outcome, CAST(NULL AS VARCHAR) AS refusal,
+      CASE WHEN item % 5 = 0 THEN 'pending' END AS beside, CASE WHEN item % 7 = 0 THEN 'ok' END AS carried, CASE WHEN item % 7 = 0 THEN 's' || c END AS carried_source, CASE WHEN item % 7 = 0 THEN c END AS carried_via,
+      CASE WHEN item % 11 = 0 THEN 'no-capture' WHEN item % 11 = 1 THEN 'unreadable' WHEN item % 4 = 0 THEN 'refs-imported' ELSE 'absent' END AS journal FROM o""",
+)
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as item", "o_custkey as c", "concat('s', o_custkey) as source")
+    # an earlier state's record, and the one that counts
+    old = o.where("item % 3 > 0").selectExpr("item", "1 as seq", "'outcome-record-unreadable' as record", "'x' as record_source", "'refused' as outcome", "'IO' as refusal")
+    outcomes = o.where("item % 3 > 0").selectExpr("item", "2 as seq", "'ok' as record", "source as record_source", "if(item % 6 > 3, 'captured', 'refs-imported') as outcome", "cast(null as string) as refusal").union(old)
+    captures = o.where("item % 11 > 0").selectExpr("item", "explode(array(1, 2)) as seq").selectExpr("item", "seq", "seq = 1 or item % 11 > 1 as readable")
+    return proofs.ledger_entries(
+        o.selectExpr("item", "source", "item % 2 = 0 as has_workspace"), outcomes, o.where("item % 4 = 0").selectExpr("item", "1 as seq", "'refs-imported' as body"), captures, o.where("item % 5 = 0").selectExpr("item", "1 as seq", "'pending' as verdict"),
+        o.where("item % 7 = 0").selectExpr("item", "1 as seq", "'ok' as verdict", "source", "c as via"),
+    )
