@@ -285,7 +285,7 @@ def worktree_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("directory_order", f"WITH {_TREE} SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY dir ORDER BY regexp_extract(path, '[^/]*$')) AS place FROM f")
 def directory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.in_directory_order(_tree(spark, sf_dir).select("path"), "path")
+    return listings.in_directory_order(_tree(spark, sf_dir).select("path"), "path").withColumn("place", F.col("place").cast("long"))
 
 
 @query(
@@ -304,7 +304,7 @@ def joined_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unique_probe",
-    """WITH s AS (SELECT c_custkey AS pos, 'n' || c_custkey % 700 AS a, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 900 END AS b, c_nationkey AS v FROM customer WHERE c_custkey % 3 > 0), d AS (SELECT 'n' || c_custkey % 2100 AS a, c_custkey % 1800 AS b, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE -1 END AS v FROM customer WHERE c_custkey % 3 = 0),
+    """WITH s AS (SELECT c_custkey AS pos, 'n' || c_custkey % 700 AS a, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 900 END AS b, c_nationkey::BIGINT AS v FROM customer WHERE c_custkey % 3 > 0), d AS (SELECT 'n' || c_custkey % 2100 AS a, c_custkey % 1800 AS b, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE -1 END::BIGINT AS v FROM customer WHERE c_custkey % 3 = 0),
     da AS (SELECT a, min({'a': a, 'b': b, 'v': v}) AS r FROM d GROUP BY 1), db AS (SELECT b, min({'a': a, 'b': b, 'v': v}) AS r FROM d GROUP BY 1),
     x AS (SELECT s.*, coalesce(da.r, db.r) AS r, CASE WHEN da.r IS NOT NULL THEN 1 WHEN db.r IS NOT NULL THEN 2 END AS key_no FROM s LEFT JOIN da ON da.a = s.a LEFT JOIN db ON db.b = s.b),
     f AS (SELECT pos, a, b, v, least(min(pos) OVER (PARTITION BY a), CASE WHEN b IS NOT NULL THEN min(pos) OVER (PARTITION BY b) ELSE pos END) < pos AS again FROM x WHERE key_no IS NULL)
