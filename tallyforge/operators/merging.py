@@ -1,26 +1,27 @@
-"""Merging JSON documents as rows: a row for each object member that is no object, and for each object.
+"""Merging JSON documents: the nodes of both sides lined up, a row's array of them for each document.
 
-Both sides are joined on the pointer; arrays are united by value, through digests of their elements; a difference is settled for a whole
-subtree, and what loses goes into a ledger. The result is written again from its rows by one ordered aggregate for each document.
+A helper reads both texts and walks them together, down to the first node that is not an object on both sides; columns settle what each node
+becomes, count it and write the text again. What loses goes into a ledger. Nothing is shuffled or written between.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
-from collections.abc import Iterator
-from functools import reduce
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
 from .documents import pointer
 
-NODE = "pointer string, place array<int>, name string, kind string, token string, digest string, elements array<struct<digest:string,token:string>>"
-PARTS = [f.split(" ")[0] for f in NODE.split(", ")]
+NODE = "struct<depth:int,name:string,pointer:string,kind:string,live:string,source:string,more:array<string>>"
+_TYPES = {"depth": pa.int32(), "name": pa.string(), "pointer": pa.string(), "kind": pa.string(), "live": pa.string(), "source": pa.string(), "more": pa.list_(pa.string())}
+
+class ABSENT:
+    """Stands for a side or member that is not there; a class, so that workers have the same one."""
 
 
 class Number(str):
@@ -31,24 +32,48 @@ class Whole(Number):
     pass
 
 
+class _Piece(str):
+    """Text between values."""
+
+
+def _whole(s: str) -> str:
+    """A text without halves of surrogate pairs, which UTF-8 cannot hold: they become escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
+def _quoted(s: str) -> str:
+    return _whole(json.dumps(s, ensure_ascii=False))
+
+
+def _spelled(v, scalar: Callable, members: Callable) -> str:
+    """A value's text, of any depth."""
+    if not isinstance(v, dict | list):
+        return scalar(v)
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            parts = [x for i, k in enumerate(members(v)) for x in (_Piece(("," if i else "") + _quoted(k) + ":"), v[k])]
+            todo += [_Piece("}"), *reversed(parts), _Piece("{")]
+        elif isinstance(v, list):
+            parts = [x for i, y in enumerate(v) for x in ((_Piece(","), y) if i else (y,))]
+            todo += [_Piece("]"), *reversed(parts), _Piece("[")]
+        else:
+            out.append(v if isinstance(v, _Piece) else scalar(v))
+    return "".join(out)
+
+
 def _written(v) -> str:
-    if isinstance(v, dict):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + _written(x) for k, x in v.items()) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(_written, v)) + "]"
-    return str.__str__(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
+    return _spelled(v, lambda x: str.__str__(x) if isinstance(x, Number) else _quoted(x) if isinstance(x, str) else json.dumps(x), list)
 
 
-def _canonical(v) -> str:
-    """Equal for equal values: members sorted, whole numbers by value, others as doubles. A whole number that a double holds is that double."""
-    if isinstance(v, dict):
-        return "{" + ",".join(json.dumps(k) + ":" + _canonical(v[k]) for k in sorted(v)) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(_canonical, v)) + "]"
+def _number(v) -> str:
+    """Equal for equal values: whole numbers by value, others as doubles. A whole number that a double holds is that double."""
     if isinstance(v, Whole):
-        n = int(v)
+        # beyond any double, a token without leading zeros is the value
+        n = int(v) if len(v) < 400 else None
         try:
-            return repr(float(n)) if int(float(n)) == n else f"i{n}"
+            return f"i{v}" if n is None else repr(float(n)) if int(float(n)) == n else f"i{n}"
         except OverflowError:
             return f"i{n}"
     if isinstance(v, Number):
@@ -57,164 +82,116 @@ def _canonical(v) -> str:
     return json.dumps(v)
 
 
-def _digest(v) -> str:
-    return hashlib.sha256(_canonical(v).encode("utf-8", "surrogatepass")).hexdigest()
+def _canonical(v) -> str:
+    """Equal for equal values, whatever the order of members."""
+    return _spelled(v, _number, sorted)
 
 
 def load(text: str | None):
-    """(whether it is JSON, its value): numbers keep their tokens, members their order; of repeated names the last counts, at the first's place."""
+    """The value of a JSON text, else ABSENT: numbers keep their tokens, members their order; of repeated names the last counts, at the first's place."""
     if text is None:
-        return False, None
+        return ABSENT
     try:
-        return True, json.loads(text, parse_int=Whole, parse_float=Number, parse_constant=Number)
+        return json.loads(text, parse_int=Whole, parse_float=Number, parse_constant=Number)
     except (ValueError, RecursionError):
-        return False, None
+        return ABSENT
 
 
-def _nodes(v) -> Iterator[tuple]:
-    todo = [("", [], "", v)]
+def _lined_up(live, source) -> Iterator[tuple]:
+    """The fields of NODE for each node of both sides, in the order of the result; kind: object or array (on both sides), same, clash, live or source."""
+    todo = [(0, None, "", live, source)]
     while todo:
-        at, place, name, v = todo.pop()
-        if isinstance(v, dict):
-            yield at, place, name, "object", None, None, None
-            todo += [(at + pointer(k), [*place, i], k, x) for i, (k, x) in enumerate(v.items())]
-        elif isinstance(v, list):
-            yield at, place, name, "array", _written(v), _digest(v), [{"digest": _digest(x), "token": _written(x)} for x in v]
+        depth, name, at, l, s = todo.pop()
+        head = (depth, None if name is None else _quoted(name), _whole(at))
+        if l is ABSENT or s is ABSENT:
+            yield *head, *(("source", None, _written(s)) if l is ABSENT else ("live", _written(l), None)), None
+        elif isinstance(l, dict) and isinstance(s, dict):
+            yield *head, "object", None, None, None
+            members = [(k, x, s.get(k, ABSENT)) for k, x in l.items()] + [(k, ABSENT, x) for k, x in s.items() if k not in l]
+            todo += [(depth + 1, k, at + pointer(k), x, y) for k, x, y in reversed(members)]
+        elif isinstance(l, list) and isinstance(s, list):
+            # of each value that the live array lacks, the first
+            fresh = {_canonical(x): x for x in reversed(s)}
+            held = {_canonical(x) for x in l}
+            yield *head, "array", _written(l), None, [_written(x) for c, x in reversed(fresh.items()) if c not in held]
+        elif _canonical(l) == _canonical(s):
+            yield *head, "same", _written(l), None, None
         else:
-            yield at, place, name, "scalar", _written(v), _digest(v), None
+            yield *head, "clash", _written(l), _written(s), None
 
 
-def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pointer, place, name, kind, token, digest, elements): the rows of each document. A null text or no JSON has none.
+def lined_up(pairs: DataFrame, key: str) -> DataFrame:
+    """pairs(key, live, source, source_later) with nodes: an array of NODE, in the order of the result; null where neither side is JSON.
 
-    place: the member numbers from the top. Texts nested deeper than the parser goes count as no JSON.
+    Texts nested deeper than the parser goes count as no JSON.
     """
-    schema = f"{key} {dict(docs.dtypes)[key]}, {NODE}"
-    types = [pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("digest", pa.string()), ("token", pa.string())]))]
+    columns = [key, "live", "source", "source_later"]
+    schema = ", ".join(f"`{c}` {dict(pairs.dtypes)[c]}" for c in columns) + f", nodes array<{NODE}>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, of = [], []
-                for i, t in enumerate(part.column(text)):
-                    ok, v = load(t.as_py())
-                    if ok:
-                        new = list(_nodes(v))
-                        rows += new
-                        of += [i] * len(new)
-                columns = [pa.array(c, ty) for c, ty in zip(zip(*rows), types)] if rows else [pa.array([], ty) for ty in types]
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(of, pa.int64())), *columns], [key, *PARTS])
+                rows, ends = [], [0]
+                for l, s in zip(part.column("live").to_pylist(), part.column("source").to_pylist()):
+                    l, s = load(l), load(s)
+                    if l is ABSENT and s is ABSENT:
+                        ends[-1:] = [None, ends[-1]]  # a null
+                    else:
+                        rows += _lined_up(l, s)
+                        ends.append(len(rows))
+                fields = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_TYPES), _TYPES.values())]
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, list(_TYPES)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], nodes], [*columns, "nodes"])
 
-    return docs.select(key, text).mapInArrow(read, schema)
+    return pairs.select(*columns).mapInArrow(read, schema).withColumn("source_later", F.coalesce("source_later", F.lit(False)))
 
 
-def rebuilt(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., text): JSON texts from their rows(place, name, kind, token), in the order of the places, which start at one node of depth 0."""
-    one = F.struct("place", F.to_json(F.array("name")).alias("quoted"), (F.col("kind") == "object").alias("object"), "token")
-    got = rows.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("r"))
-    r = F.col("r")
+def _token(n: Column) -> Column:
+    """What a node has in the result, behind its name."""
+    united = F.concat(F.substring(n["live"], F.lit(1), F.length(n["live"]) - 1), F.when(n["live"] == "[]", "").otherwise(","), F.array_join(n["more"], ","), F.lit("]"))
+    source = (n["kind"] == "source") | ((n["kind"] == "clash") & F.col("source_later"))
+    return F.when(n["kind"] == "object", "{").when((n["kind"] == "array") & (F.size(n["more"]) > 0), united).when(source, n["source"]).otherwise(n["live"])
 
-    def inside(x: Column) -> Column:
-        return F.size(x["place"]) + x["object"].cast("int")
-
-    def piece(x: Column, i: Column) -> Column:
-        before = F.get(r, i - 1)
-        left = F.when(i == 0, 0).otherwise(inside(before)) - F.size(x["place"])
-        comma = F.when((left > 0) | ((i > 0) & ~before["object"]), ",").otherwise("")
-        name = F.when(F.size(x["place"]) > 0, F.concat(F.substring(x["quoted"], F.lit(2), F.length(x["quoted"]) - 2), F.lit(":"))).otherwise("")
-        return F.concat(F.repeat(F.lit("}"), left), comma, name, F.when(x["object"], "{").otherwise(x["token"]))
-
-    end = F.repeat(F.lit("}"), inside(F.element_at(r, -1)))
-    return got.select(*key, F.concat(F.array_join(F.transform(r, piece), ""), end).alias("text"))
-
-
-def _above(p: Column) -> Column:
-    """The pointers above one, the empty one first, without itself."""
-    parts = F.split(p, "/", -1)
-    return F.when(p == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
-
-
-def merged_rows(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, conflicts) of pairs(key, live, source, source_later); key is distinct.
-
-    kept: rows of the result, with `state`: live, added (a source member the live one lacks), united (an array, `more` elements added) or later
-    (the source's, which is the later side). conflicts: (key, pointer, kept_side, kept, other) for every difference, each side's whole value.
-    """
-    sides = [written(nodes(pairs, key, s).select(key, "pointer", F.struct(*PARTS[1:]).alias(s[0])), f"nodes-{s}") for s in ("live", "source")]
-    x = sides[0].join(sides[1], [key, "pointer"], "full_outer").join(pairs.select(key, "source_later"), key)
-    l, s = F.col("l"), F.col("s")
-    both = l.isNotNull() & s.isNotNull()
-    objects, arrays = (both & (l["kind"] == k) & (s["kind"] == k) for k in ("object", "array"))
-    clash = both & ~objects & ~arrays & ~F.coalesce(l["digest"] == s["digest"], F.lit(False))
-    # columns of their own, so that no lambda works them out again for each element
-    x = x.withColumns({"clash": clash, "l_has": l["elements"]["digest"], "s_has": s["elements"]["digest"], "s_tokens": s["elements"]["token"]})
-    x = written(x, "pairs")
-    # nothing of the losing side under a difference counts, and what of the winning one stands there is no addition
-    lost = x.where("clash").select(key, F.col("pointer").alias("top"), F.when(F.col("source_later"), "l").otherwise("s").alias("loser"))
-    one_sided = x.where(~both & (F.col("pointer") != ""))
-    under = one_sided.select(key, "pointer", F.when(l.isNotNull(), "l").otherwise("s").alias("side"), F.explode(_above(F.col("pointer"))).alias("top")).join(lost, [key, "top"])
-    under = under.select(key, "pointer", "top", (F.col("side") == F.col("loser")).alias("gone"))
-    x = x.join(under, [key, "pointer"], "left")
-    fresh = F.array_except("s_has", "l_has")
-    more = F.when(arrays, F.size(fresh)).otherwise(0)
-    tokens = F.transform(fresh, lambda d: F.element_at("s_tokens", F.array_position("s_has", d).cast("int")))
-    both_tokens = F.concat(F.lit("["), F.array_join(F.concat(l["elements"]["token"], tokens), ","), F.lit("]"))
-    wins = F.coalesce(F.col("clash") & F.col("source_later"), F.lit(False)) | l.isNull()
-    n = F.when(wins, s).otherwise(l)
-    state = F.when(F.col("clash") & F.col("source_later"), "later").when(l.isNull() & F.col("top").isNotNull(), "later").when(l.isNull(), "added").when(more > 0, "united").otherwise("live")
-    kept = x.where(~F.coalesce("gone", F.lit(False))).select(
-        key, "pointer", n["place"].alias("place"), n["name"].alias("name"), n["kind"].alias("kind"), F.when(more > 0, both_tokens).otherwise(n["token"]).alias("token"), state.alias("state"), more.alias("more"), l["place"].alias("l_place"),
-    )
-    return written(_placed(written(kept, "kept"), key), "placed"), _conflicts(sides, lost, key)
-
-
-def _placed(kept: DataFrame, key: str) -> DataFrame:
-    """Places in the result: an object's live members first, then the source's, whatever numbers the objects above have on either side."""
-    # the number of a member in its own object: the live one's, and a source member stands behind all of these
-    added = F.when(F.col("state") == "added", F.lit(1 << 30)).otherwise(0)
-    own = F.when(F.col("pointer") == "", F.lit(0)).otherwise(F.coalesce(F.try_element_at("l_place", F.lit(-1)), F.element_at("place", -1) + added))
-    each = kept.withColumn("own", own)
-    up = each.select(key, "pointer", F.posexplode(F.array_append(_above(F.col("pointer")), F.col("pointer"))).alias("depth", "top"))
-    numbers = each.select(key, F.col("pointer").alias("top"), F.col("own").alias("number"))
-    place = up.join(numbers, [key, "top"]).where("depth > 0").groupBy(key, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "number"))), lambda z: z["number"]).alias("place"))
-    return each.drop("place", "own", "l_place").join(place, [key, "pointer"], "left").withColumn("place", F.coalesce("place", F.array().cast("array<int>")))
 
+def _text() -> Column:
+    """The JSON text of `nodes`."""
+    r = F.col("nodes")
 
-def _conflicts(sides: list[DataFrame], lost: DataFrame, key: str) -> DataFrame:
-    """Both whole values of every difference, written from their rows."""
+    def inside(n: Column) -> Column:
+        return n["depth"] + (n["kind"] == "object").cast("int")
 
-    def values(side: DataFrame, name: str, column: str) -> DataFrame:
-        at = side.select(key, "pointer", F.col(f"{name}.*")).withColumn("top", F.explode(F.array_append(_above(F.col("pointer")), F.col("pointer"))))
-        at = at.join(lost.select(key, "top"), [key, "top"])
-        # places from the difference down
-        depth = F.size(F.split("top", "/", -1)) - 1
-        return rebuilt(at.withColumn("place", F.slice("place", depth + 1, F.greatest(F.size("place") - depth, F.lit(0)))), [key, "top"]).withColumnRenamed("text", column)
+    def piece(n: Column, i: Column) -> Column:
+        before = F.get(r, i - 1)
+        left = F.when(i == 0, 0).otherwise(inside(before) - n["depth"])
+        comma = F.when((i > 0) & ((left > 0) | (before["kind"] != "object")), ",").otherwise("")
+        return F.concat(F.repeat(F.lit("}"), left), comma, F.coalesce(F.concat(n["name"], F.lit(":")), F.lit("")), _token(n))
 
-    both = lost.join(values(sides[0], "l", "_l"), [key, "top"]).join(values(sides[1], "s", "_s"), [key, "top"])
-    later = F.col("loser") == "l"
-    return both.select(key, F.col("top").alias("pointer"), F.when(later, "source").otherwise("live").alias("kept_side"), F.when(later, F.col("_s")).otherwise(F.col("_l")).alias("kept"), F.when(later, F.col("_l")).otherwise(F.col("_s")).alias("other"))
+    return F.concat(F.array_join(F.transform(r, piece), ""), F.repeat(F.lit("}"), inside(F.element_at(r, -1))))
 
 
 def merge(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts) of pairs(key, live, source, source_later): JSON texts united key by key.
 
     merged: (key, text, keys_added, elements_added, replaced, covered): the live members in their order, then the source's new ones; arrays
-    united by value; of a difference the later side's value. covered: the result is the live document. A side that is null or no JSON
-    leaves the other as it is, and two such give the live text. conflicts: see merged_rows.
+    united by value; of a difference the later side's value. A new member counts once, whatever is under it. covered: the result is the live
+    document. A side that is null or no JSON leaves the other as it is, and two such give the live text. conflicts: (key, pointer, kept_side,
+    kept, other) for every difference, each side's whole value.
     """
-    kept, conflicts = merged_rows(pairs, key)
-    counts = _counted(kept, key)
-    replaced = conflicts.where("kept_side = 'source'").groupBy(key).agg(F.count("*").alias("replaced"))
-    out = pairs.select(key, "live", "source").join(rebuilt(kept, [key]), key, "left").join(counts, key, "left").join(replaced, key, "left")
-    n = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("keys_added", "elements_added", "replaced")]
-    out = out.select(key, F.coalesce("text", "live", "source").alias("text"), *n)
-    return out.withColumn("covered", reduce(lambda a, c: a & (F.col(c) == 0), ("keys_added", "elements_added", "replaced"), F.lit(True))), conflicts
-
-
-def _counted(kept: DataFrame, key: str) -> DataFrame:
-    """A new member counts once, whatever is under it."""
-    parent = F.when(F.col("pointer") != "", F.element_at(_above(F.col("pointer")), -1))
-    new = kept.where("state = 'added'").select(key, "pointer", parent.alias("parent"))
-    tops = new.join(new.select(key, F.col("pointer").alias("parent")), [key, "parent"], "left_anti").groupBy(key).agg(F.count("*").alias("keys_added"))
-    return kept.groupBy(key).agg(F.sum("more").cast("long").alias("elements_added")).join(tops, key, "left")
+    x = lined_up(pairs, key)
+    later = F.col("source_later")
+
+    def count(of: Callable) -> Column:
+        return F.coalesce(F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + of(n)), F.lit(0).cast("long"))
+
+    clash = F.filter("nodes", lambda n: n["kind"] == "clash")
+    merged = x.select(
+        key, F.coalesce(_text(), "live", "source").alias("text"), count(lambda n: (n["kind"] == "source").cast("long")).alias("keys_added"),
+        count(lambda n: F.when(n["more"].isNotNull(), F.size(n["more"])).otherwise(0).cast("long")).alias("elements_added"), F.when(later, count(lambda n: (n["kind"] == "clash").cast("long"))).otherwise(0).alias("replaced"),
+    )
+    merged = merged.withColumn("covered", (F.col("keys_added") == 0) & (F.col("elements_added") == 0) & (F.col("replaced") == 0))
+    n = F.col("n")
+    conflicts = x.select(key, "source_later", F.explode(clash).alias("n")).select(
+        key, n["pointer"].alias("pointer"), F.when(later, "source").otherwise("live").alias("kept_side"), F.when(later, n["source"]).otherwise(n["live"]).alias("kept"), F.when(later, n["live"]).otherwise(n["source"]).alias("other")
+    )
+    return merged, conflicts

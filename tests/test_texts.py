@@ -101,3 +101,13 @@ def test_prefixes_byte_by_byte(spark, chunk):
     held = {r.key for r in prefixes.begins(b, a, chunk).collect()}
     assert held == {i for i, x, y in pairs if x.startswith(y)}
     assert prefixes.extensions(a.limit(1), b.limit(0), chunk).first().state == "absent"
+
+
+def test_merge_shuffles_nothing_and_keeps_odd_rows(spark):
+    deep = '{"a":' * 1500 + "[]" + "}" * 1500
+    rows = [(7, '{"a":1}', '{"a":2}', None), (7, '{"a":{"b":[]}}', '{"a":{"b":[1,1]},"c":{"d":{}}}', True), (None, '{"x":"\\ud800"}', '{"x":"\\ud801","\\ud802":0}', False), (9, deep, '{"a":1}', False), (10, "[" + "7" * 5000 + "]", "[" + "7" * 5000 + ",8]", True)]
+    merged, conflicts = merging.merge(spark.createDataFrame(rows, "id long, live string, source string, source_later boolean"), "id")
+    assert all("Exchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (merged, conflicts))
+    got = {(r.id, r.text): (r.keys_added, r.elements_added, r.replaced) for r in merged.collect()}
+    assert got == {(7, '{"a":1}'): (0, 0, 0), (7, '{"a":{"b":[1]},"c":{"d":{}}}'): (1, 1, 0), (None, '{"x":"\\ud800","\\ud802":0}'): (1, 0, 0), (9, deep): (0, 0, 0), (10, "[" + "7" * 5000 + ",8]"): (0, 1, 0)}
+    assert sorted((str(r.id), r.kept, r.other) for r in conflicts.collect()) == [("7", "1", "2"), ("9", deep[5:-1], "1"), ("None", '"\\ud800"', '"\\ud801"')]
