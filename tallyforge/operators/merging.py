@@ -10,6 +10,7 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterator
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,17 +39,19 @@ class _Piece(str):
 
 def _whole(s: str) -> str:
     """A text without halves of surrogate pairs, which UTF-8 cannot hold: they become escapes."""
-    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
+    return s if s.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
 
 
 def _quoted(s: str) -> str:
-    return _whole(json.dumps(s, ensure_ascii=False))
+    return _whole(encode_basestring(s))
 
 
 def _spelled(v, scalar: Callable, members: Callable) -> str:
     """A value's text, of any depth."""
-    if not isinstance(v, dict | list):
+    if not isinstance(v, (dict, list)):
         return scalar(v)
+    if not v:
+        return "{}" if isinstance(v, dict) else "[]"
     out, todo = [], [v]
     while todo:
         v = todo.pop()
@@ -63,8 +66,12 @@ def _spelled(v, scalar: Callable, members: Callable) -> str:
     return "".join(out)
 
 
+def _scalar(v) -> str:
+    return str.__str__(v) if isinstance(v, Number) else _quoted(v) if isinstance(v, str) else "null" if v is None else "true" if v else "false"
+
+
 def _written(v) -> str:
-    return _spelled(v, lambda x: str.__str__(x) if isinstance(x, Number) else _quoted(x) if isinstance(x, str) else json.dumps(x), list)
+    return _spelled(v, _scalar, list)
 
 
 def _number(v) -> str:
@@ -79,7 +86,7 @@ def _number(v) -> str:
     if isinstance(v, Number):
         f = float(v)
         return "nan" if math.isnan(f) else repr(f)
-    return json.dumps(v)
+    return _scalar(v)
 
 
 def _canonical(v) -> str:
