@@ -3,7 +3,7 @@
 Generators with high recall propose spans of four kinds, overlapping ones too: what the strict rules
 match, and what they cannot reach, such as "name (at) site dot org", addresses with spaces round their dots, cards
 with dots, slashes or double spaces, telephone numbers without a plus, values cut by a line's end. Boosted trees of
-depth two, grown by grouped sums over a bounded sample of candidates, weigh features of a
+depth two, grown by grouped sums over all labelled candidates, weigh features of a
 span's format and surroundings. They learn from labels of several origins: rules that a value passes or fails, and
 words that introduce a span ("phone:", "order no."), which are themselves no features. Candidates that pass the strict
 rules are always redacted; of the others, those whose probability reaches their kind's threshold, which a fold of
@@ -170,17 +170,21 @@ def _best(rows: list, n: int, rate: float = 0.5, pull: float = 1.0) -> Leaf:
     return out
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1))
+
+
 def boost(sample: DataFrame, rounds: int = 8) -> list[dict[int, Tree]]:
     """Rounds of trees of depth two, one for each kind, on sample(kind, x: array of features, y: 0 or 1), for the logistic loss.
 
-    A level of a round takes one grouped sum by kind, side, feature and value: a bounded table.
+    Where sample has n, a row stands for n candidates. A level of a round takes one grouped sum by kind, side, feature and value: a bounded table.
     """
-    n = len(sample.first()["x"])
+    sample, n = _counted(sample), len(sample.first()["x"])
     trees: list[dict[int, Tree]] = []
     for _ in range(rounds):
         z = reduce(lambda a, b: a + b, map(_tree_value, trees), F.lit(0.0))
         p = 1 / (1 + F.exp(-z))
-        now = sample.select("kind", "x", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+        now = sample.select("kind", "x", (F.col("n") * (F.col("y") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
 
         def sums(side: Column, now: DataFrame = now) -> dict[tuple[int, int], list]:
             each = now.select("kind", side.alias("side"), "g", "h", F.posexplode("x").alias("f", "v"))
@@ -202,9 +206,9 @@ def probability(trees: list) -> Column:
 def thresholds(fold: DataFrame, trees: list, precision: float) -> dict[int, tuple[float, int, int]]:
     """For each kind: the lowest probability from which on (right + 1) / (all + 2) of the fold's spans reaches precision, with right and all.
 
-    A kind without enough evidence for that has none, whatever the size of the table.
+    Where fold has n, a row stands for n spans. A kind without enough evidence for that has none, whatever the size of the table.
     """
-    bins = fold.groupBy("kind", F.floor(probability(trees) * 50).alias("b")).agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()
+    bins = _counted(fold).groupBy("kind", F.floor(probability(trees) * 50).alias("b")).agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum("n").alias("n")).collect()
     out = {}
     for kind in range(len(KINDS)):
         pos = n = 0
@@ -240,15 +244,16 @@ def weighed(found: DataFrame) -> DataFrame:
     return row.withColumn("y", y).withColumn("loose", ~F.col("strict") & ~F.col("any")).withColumn("x", F.array(*features()))
 
 
-def learned(row: DataFrame, sample: int, precision: float) -> tuple[list, dict[int, tuple[float, int, int]]]:
-    """(trees, thresholds()) from weighed() candidates: at most `sample` that touch base spans and as many others.
+def learned(row: DataFrame, a_task: int = 10_000, precision: float = 0.95) -> tuple[list, dict[int, tuple[float, int, int]]]:
+    """(trees, thresholds()) from all weighed() candidates with a label.
 
-    Documents whose hash ends in 0 modulo 3 set the thresholds, on spans beyond the strict rules; the trees learn from the others.
+    Documents whose hash ends in 0 modulo 3 set the thresholds, on spans beyond the strict rules; the trees learn from the others. Candidates
+    of equal features count as one row with their number, and a_task of these rows are dealt out to a task; results do not depend on it.
     """
-    known = row.where("y is not null and (any or not strict)").select("kind", "x", "y", "doc_id", "start", "end", "loose", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("sets"))
-    order = (F.xxhash64("doc_id", "start", "end"), "doc_id", "start", "end", "kind", "y")
-    parts = [known.where(w).orderBy(*order).limit(sample) for w in ("not sets and not loose", "not sets and loose", "sets and loose")]
-    known = saved(reduce(DataFrame.union, parts), "sample")
+    known = row.where("y is not null and (any or not strict)").withColumn("sets", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    known = saved(known.where("not sets or loose").groupBy("kind", "x", "y", "sets").agg(F.count("*").alias("n")), "labelled")
+    tasks = known.count() // a_task + 1
+    known = known if tasks == 1 else saved(known.repartition(tasks, "kind", "x"), "labelled")
     fit = known.where("not sets")
     if {r["y"] for r in fit.select("y").distinct().collect()} != {0, 1}:
         return [], {}
@@ -256,20 +261,20 @@ def learned(row: DataFrame, sample: int, precision: float) -> tuple[list, dict[i
     return trees, thresholds(known.where("sets"), trees, precision)
 
 
-def personal_data(docs: DataFrame, sample: int = 10_000, precision: float = 0.95) -> DataFrame:
+def personal_data(docs: DataFrame, a_task: int = 10_000, precision: float = 0.95) -> DataFrame:
     """Spans of personal data: doc_id, spans (array of start, kind, end, base) for every row, in order.
 
     docs: doc_id (null and repeated ids are rows of their own), text; other columns are ignored. base marks spans that the
     strict rules find. Added spans overlap none of these. A null or empty text has no
-    span; an empty table gives no rows. Base spans never depend on the trees. The trees learn from at most `sample`
-    candidates of each of two sorts and thresholds are set on as many; without right and wrong ones, or for a
+    span; an empty table gives no rows. Base spans never depend on the trees. The trees learn from all labelled
+    candidates of two thirds of the documents and thresholds are set on those of the others; without right and wrong ones, or for a
     kind whose spans beyond the strict rules no threshold makes precise enough, nothing is added. A text of any
     length is matched whole, by one task.
     """
     docs, ids = keyed(docs.select("doc_id", "text"))
     row = saved(weighed(saved(candidates(docs), "candidates")), "weighed")
     kept = row.where("base").select("doc_id", "start", "kind", "end", "base")
-    trees, limit = learned(row, sample, precision)
+    trees, limit = learned(row, a_task, precision)
     if limit:
         least_p = reduce(lambda a, k: a.when(F.col("kind") == k, F.lit(limit[k][0])), limit, F.when(F.lit(False), 2.0)).otherwise(2.0)
         more = row.where("loose").where(probability(trees) >= least_p).select("doc_id", "start", "kind", "end", "base").distinct()
