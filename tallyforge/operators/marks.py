@@ -151,17 +151,18 @@ def move_action(workspace: Column, capture: Column, presence: Column, seats: Col
 
 def escaped(content: Column) -> Column:
     """Bytes as text: printable ASCII as it is, a backslash and any other byte as \\xNN."""
-    # taken apart once: what a lambda names outside of its element is worked out for every one
-    pairs = F.regexp_extract_all(F.lower(F.hex(content)), F.lit("(..)"), F.lit(1))
-    plain = F.transform(pairs, lambda p: F.when((p >= "20") & (p <= "7e") & (p != "5c"), F.decode(F.unhex(p), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), p)))
-    return F.array_join(plain, "")
+    # a character for each byte; runs of plain and of other ones are taken apart, never single bytes
+    text, plain = F.decode(content, "ISO-8859-1"), r"[\x20-\x5b\x5d-\x7e]"
+    runs = F.regexp_extract_all(text, F.lit(f"{plain}+|[^{plain[1:-1]}]+"), F.lit(0))
+    told = F.transform(runs, lambda r: F.when(r.rlike(f"^{plain}"), r).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(r, "ISO-8859-1"))), "(..)", r"\\x$1")))
+    return F.when(text.rlike(f"[^{plain[1:-1]}]"), F.array_join(told, "")).otherwise(text)
 
 
 def unescaped(text: Column) -> Column:
     """The bytes of an escaped text; a backslash that begins no \\xNN stands for itself."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(\\x[0-9a-fA-F]{2}|[^\\]+|\\)"), F.lit(1))
-    parts = F.transform(tokens, lambda t: F.when(t.rlike(r"^\\x[0-9a-fA-F]{2}$"), F.substring(t, 3, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
-    return F.unhex(F.array_join(parts, ""))
+    runs = F.regexp_extract_all(text, F.lit(r"(?:\\x[0-9a-fA-F]{2})++|[^\\]+|\\"), F.lit(0))
+    parts = F.transform(runs, lambda r: F.when(r.rlike(r"^\\x[0-9a-fA-F]{2}"), F.replace(r, F.lit("\\x"), F.lit(""))).otherwise(F.hex(F.encode(r, "UTF-8"))))
+    return F.when(text.contains("\\"), F.unhex(F.array_join(parts, ""))).otherwise(F.encode(text, "UTF-8"))
 
 
 def typed_refusals(rows: DataFrame, code: str, codes: DataFrame) -> DataFrame:

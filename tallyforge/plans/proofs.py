@@ -279,11 +279,11 @@ def coverage_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("escaped_names", "SELECT doc_id, sha256(replace(t, 'b', chr(92) || 'x62')) AS told, true AS back FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g')[1:500] AS t FROM documents)")
 def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bare = F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 500)
+    d = d.withColumn("bare", F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 500).cast("binary"))
     # what a writer escaped beyond need is read as well, and every text comes back
-    told = F.replace(marks.escaped(bare.cast("binary")), F.lit("b"), F.lit("\\x62"))
-    back = (marks.unescaped(marks.escaped(F.col("text").cast("binary"))) == F.col("text").cast("binary")) & (marks.unescaped(told) == bare.cast("binary"))
-    return d.select("doc_id", F.sha2(told, 256).alias("told"), back.alias("back"))
+    d = d.withColumns({"told": F.replace(marks.escaped(F.col("bare")), F.lit("b"), F.lit("\\x62")), "whole": marks.escaped(F.col("text").cast("binary"))})
+    back = (marks.unescaped(F.col("whole")) == F.col("text").cast("binary")) & (marks.unescaped(F.col("told")) == F.col("bare"))
+    return d.select("doc_id", F.sha2("told", 256).alias("told"), back.alias("back"))
 
 
 @query("refusal_typing", f"SELECT o_orderkey, {_sql('o_orderkey', ['C1', 'IO', 'OLD', 'FRAME_CODEC', 'C2'])} AS code, o_orderkey % 5 IN (0, 4) AS typed, o_orderkey % 5 = 2 AS retired FROM orders")

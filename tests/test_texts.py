@@ -111,3 +111,31 @@ def test_merge_shuffles_nothing_and_keeps_odd_rows(spark):
     got = {(r.id, r.text): (r.keys_added, r.elements_added, r.replaced) for r in merged.collect()}
     assert got == {(7, '{"a":1}'): (0, 0, 0), (7, '{"a":{"b":[1]},"c":{"d":{}}}'): (1, 1, 0), (None, '{"x":"\\ud800","\\ud802":0}'): (1, 0, 0), (9, deep): (0, 0, 0), (10, "[" + "7" * 5000 + ",8]"): (0, 1, 0)}
     assert sorted((str(r.id), r.kept, r.other) for r in conflicts.collect()) == [("7", "1", "2"), ("9", deep[5:-1], "1"), ("None", '"\\ud800"', '"\\ud801"')]
+
+
+def test_escapes_of_all_bytes_and_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import marks
+
+    rng = random.Random(3)
+    texts = [b"", b"plain", b"\\", b"\\x4", b"\\x41\\", bytes(range(256)), bytes(range(255, -1, -1)) * 3, "añb\U0001f600\n".encode(), rng.randbytes(300_000), b"\\" * 50_000, b"a\n" * 50_000]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "i int, t binary").withColumn("e", marks.escaped(F.col("t")))
+    for r in df.withColumn("u", marks.unescaped(F.col("e"))).collect():
+        want = "".join(chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02x}" for b in texts[r.i])
+        assert r.e == want and bytes(r.u) == texts[r.i]
+    odd = {r"\x4g\xAf\\x41": b"\\x4g\xaf\\A", "é\\x00": "é\0".encode(), None: None}
+    got = spark.createDataFrame([(t,) for t in odd], "t string").withColumn("u", marks.unescaped(F.col("t"))).collect()
+    assert {r.t: r.u and bytes(r.u) for r in got} == odd
+    # runs are taken apart, not single bytes
+    assert "(..), 1)" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_samples_are_joined_once(spark):
+    from tallyforge.operators import listings
+
+    lines = ["s a=1 b=x ms=5 ms=6", "m b=x\ta=1 rss=7", "m a=1 b=x rss=unknown", "m a=1 b=x rss=12", "r a=1\nb=x rss=3 z=4", "s a=2 ms=1", "m a=2 rss=9", "s a=3 b=q ams=4", "s\ta=1 b=x ms=1", "x a=1 b=x rss=99", None]
+    df = listings.joined_samples(spark.createDataFrame([(t,) for t in lines], "line string"), "line", "s", ["m", "r"], ["a", "b"], {"s": ["ms"], "m": ["rss"], "r": ["z"]})
+    assert df.columns == ["a", "b", "ms", "rss", "z"]
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [("1", "x", "6", "7", "4"), ("2", None, "1", None, None), ("3", "q", None, None, None)]))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
