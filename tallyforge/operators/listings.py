@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,17 +53,24 @@ def joined_samples(lines: DataFrame, column: str, base: str, others: list[str],
     """
     def value(name: str) -> Column:
         # the last one of the line
-        spaced = F.concat(F.lit(" "), F.col(column))
-        return F.when(spaced.rlike(rf"\s{name}="), F.nullif(F.regexp_extract(spaced, rf"^.*\s{name}=(\S*)", 1), F.lit("unknown"))).alias(name)
-
-    def of(kind: str) -> DataFrame:
-        got = lines.where(F.substring_index(column, " ", 1) == kind).select(*[value(k) for k in keys], *[value(f) for f in fields[kind]])
-        return got if kind == base else got.groupBy(*keys).agg(*[F.max(f).alias(f) for f in fields[kind]])
-
-    out = of(base)
-    for kind in others:
-        out = out.join(of(kind), keys, "left")
-    return out
+        return F.when(F.col("_words").contains(f" {name}="), F.substring_index(F.substring_index("_words", f" {name}=", -1), " ", 1)).alias(name)
+
+    spaced = reduce(lambda a, c: F.replace(a, F.lit(c), F.lit(" ")), "\t\n\x0b\f\r", F.concat(F.lit(" "), F.col(column)))
+    words = lines.select(F.substring_index(column, " ", 1).alias("_kind"), spaced.alias("_words"))
+
+    def read(kinds: list[str], names: list[str]) -> DataFrame:
+        got = words.where(F.col("_kind").isin(*kinds)).select("_kind", *[value(n) for n in dict.fromkeys(names)])
+        # through a generator: conditions on the values stay above it and do not take the line apart once more
+        got = got.select(F.inline(F.array(F.struct(*got.columns))))
+        return got.select("_kind", *[F.nullif(F.col(n), F.lit("unknown")).alias(n) for n in got.columns[1:]])
+
+    out = read([base], [*keys, *fields[base]]).select(*keys, *fields[base])
+    if not others:
+        return out
+    # all other kinds in one aggregate, so that samples are dealt out and joined once
+    named = {f"_{i}_{f}": (kind, f) for i, kind in enumerate(others) for f in fields[kind]}
+    said = read(others, [*keys, *[f for _, f in named.values()]]).groupBy(*keys).agg(*[F.max(F.when(F.col("_kind") == kind, F.col(f))).alias(n) for n, (kind, f) in named.items()])
+    return out.join(said, keys, "left").select(*keys, *fields[base], *[F.col(n).alias(f) for n, (_, f) in named.items()])
 
 
 def pruned(paths: DataFrame, path: str, excluded: DataFrame) -> DataFrame:
