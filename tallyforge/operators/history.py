@@ -35,16 +35,17 @@ class History:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def index(edges: DataFrame, ranked: bool = True) -> History:
+def index(edges: DataFrame, ranked: bool = True, of: DataFrame | None = None) -> History:
     """The index of edges(child, parent); edges with a null end are none, repeated ones count once. A cycle is an error.
 
-    ranked: with generation numbers, which above() asks for.
+    ranked: with generation numbers, which above() asks for. of(node): these nodes and the parents of merges are the only ones with places.
     """
     h = History(work_folder(edges.sparkSession), [], edges, edges)
-    e = h.written(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "edges")
-    many = e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
-    single = h.written(many.where("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("up")), "up")
-    h.merges = h.written(e.join(many.where("n > 1").select("child"), "child", "left_semi").select(F.col("child").alias("node"), "parent"), "merges")
+    e = edges.select("child", "parent").where("child is not null and parent is not null")
+    # one parent where the least is the greatest; the edges themselves are not dealt out before that
+    ends = h.written(e.groupBy("child").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi")), "ends")
+    single = h.written(ends.where("lo = hi").select(F.col("child").alias("node"), F.col("lo").alias("up")), "up")
+    h.merges = h.written(e.join(ends.where("lo <> hi").select("child"), "child", "left_semi").distinct().select(F.col("child").alias("node"), "parent"), "merges")
     h.up = [single]
     # nodes that are tops stand at depth 0; the others take the steps of their highest bit, then the rest
     while not h.up[-1].isEmpty():
@@ -54,7 +55,10 @@ def index(edges: DataFrame, ranked: bool = True) -> History:
         on = last.alias("a").join(last.alias("b"), F.col("a.up") == F.col("b.node"))
         h.up.append(h.written(on.select(F.col("a.node").alias("node"), F.col("b.up").alias("up")), "up"))
     h.up.pop()
-    nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
+    if of is None:
+        nodes = ends.select(F.col("child").alias("node")).union(single.select("up")).union(h.merges.select("parent")).distinct()
+    else:
+        nodes = of.select("node").union(h.merges.select("parent")).where("node is not null").distinct()
     at = nodes.select("node", F.col("node").alias("top"), F.lit(0).cast("long").alias("depth"))
     for j in reversed(range(len(h.up))):
         step = h.up[j].select(F.col("node").alias("top"), "up")
@@ -116,26 +120,35 @@ def above(h: History, asked: DataFrame) -> DataFrame:
 
 
 def reached(h: History, tips: DataFrame) -> DataFrame:
-    """(node): tips(node) and all that lies above them, each once. Rounds go from merge to merge; runs are filled once, by doubling."""
-    every = new = h.written(tips.select("node").where("node is not null").distinct(), "tips")
+    """(node, level): tips(node, level) and all that lies above them, each node once with the highest level of a tip from which it is reached.
+
+    Rounds go from merge to merge; runs are filled once, by doubling.
+    """
+
+    def highest(df: DataFrame) -> DataFrame:
+        return df.groupBy("node").agg(F.max("level").alias("level"))
+
+    every = new = h.written(highest(tips.select("node", "level").where("node is not null")), "tips")
     over = h.merges.select(F.col("node").alias("top"), F.col("parent").alias("node"))
     while not h.merges.isEmpty():
-        up = new.join(h.places, "node").select("top").distinct().join(over, "top").select("node").distinct()
-        new = h.written(up.join(every, "node", "left_anti"), "tips")
+        tops = new.join(h.places, "node").groupBy("top").agg(F.max("level").alias("level"))
+        up = highest(tops.join(over, "top"))
+        known = highest(every).withColumnRenamed("level", "known")
+        new = h.written(up.join(known, "node", "left").where("known is null or level > known").select("node", "level"), "tips")
         if new.isEmpty():
             break
         every = every.union(new)
-    out = every  # each tip is there once
-    for up in h.up:
-        out = h.written(out.union(out.join(up, "node").select(F.col("up").alias("node"))).distinct(), "reached")
+    out = highest(every)
+    for i, up in enumerate(h.up):
+        out = out if i else h.written(out, "reached")
+        out = h.written(highest(out.union(out.join(up, "node").select(F.col("up").alias("node"), "level"))), "reached")
     return out
 
 
 def have_want(edges: DataFrame, wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(node): what has to be sent for wanted(node) to one that offered(node): offers the graph lacks do not count, wants among
     the offers are held, and of all above the other wants goes what no held tip reaches."""
-    h = index(edges, ranked=False)
-    nodes = h.places.select("node").union(wanted.select("node")).distinct()
-    held = offered.select("node").distinct().join(nodes, "node", "left_semi")
-    needed = wanted.select("node").distinct().join(held, "node", "left_anti")
-    return reached(h, needed).join(reached(h, held), "node", "left_anti")
+    # both sides in one pass: what a held tip reaches is held whatever else reaches it; an offer that the graph lacks and nobody wants reaches only itself
+    tips = wanted.select("node", F.lit(1).alias("level")).union(offered.select("node", F.lit(2).alias("level")))
+    h = index(edges, ranked=False, of=tips)
+    return reached(h, tips).where("level = 1").select("node")

@@ -112,3 +112,14 @@ def test_untyped_refusals_are_unaccounted(spark):
     twice = spark.createDataFrame([(1, "s")] * 2, "item int, source string")
     with pytest.raises(ValueError, match="twice"):
         closure.attestations(plan, twice, plan)
+
+
+def test_places_of_asked_nodes_only_and_both_sides_in_one_pass(spark):
+    edges = spark.range(1, 3000).selectExpr("id as child", "id div 2 as parent").union(spark.range(8, 3000, 8).selectExpr("id", "id div 3")).union(spark.createDataFrame([(5, 2), (None, 1)], "child long, parent long"))
+    tips = spark.createDataFrame([(2999, 1), (2998, 2), (None, 2), (-7, 2), (99999, 1), (2999, 1)], "node long, level int")
+    h = history.index(edges, ranked=False, of=tips)
+    assert h.places.count() < 1200 and h.places.count() == h.places.select("node").distinct().count()
+    got = [tuple(r) for r in history.reached(h, tips).collect()]
+    above = closed({(i, i // 2) for i in range(1, 3000)} | {(i, i // 3) for i in range(8, 3000, 8)})
+    held = {2998, -7} | above(2998)
+    assert len(got) == len(dict(got)) and dict(got) == {n: 1 for n in {2999, 99999} | above(2999)} | dict.fromkeys(held, 2)
