@@ -43,9 +43,9 @@ def index(edges: DataFrame, ranked: bool = True, of: DataFrame | None = None) ->
     h = History(work_folder(edges.sparkSession), [], edges, edges)
     e = edges.select("child", "parent").where("child is not null and parent is not null")
     # one parent where the least is the greatest; the edges themselves are not dealt out before that
-    ends = h.written(e.groupBy("child").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi")), "ends")
-    single = h.written(ends.where("lo = hi").select(F.col("child").alias("node"), F.col("lo").alias("up")), "up")
-    h.merges = h.written(e.join(ends.where("lo <> hi").select("child"), "child", "left_semi").distinct().select(F.col("child").alias("node"), "parent"), "merges")
+    ends = h.written(e.groupBy("child").agg(F.min("parent").alias("lo"), F.nullif(F.max("parent"), F.min("parent")).alias("more")), "ends")
+    single = ends.where("more is null").select(F.col("child").alias("node"), F.col("lo").alias("up"))
+    h.merges = h.written(e.join(ends.where("more is not null").select("child"), "child", "left_semi").distinct().select(F.col("child").alias("node"), "parent"), "merges")
     h.up = [single]
     # nodes that are tops stand at depth 0; the others take the steps of their highest bit, then the rest
     while not h.up[-1].isEmpty():
