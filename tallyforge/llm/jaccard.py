@@ -2,10 +2,11 @@
 
 Documents with one shingle set are one class. Classes whose rare shingles meet are
 partitioned into groups round a leader, each of bounded size, and those a leader links to and the others are its
-two families of groups. Families that share too few shingles are never compared. For groups of the others, a table
-holds each group's whole token union: two groups are opened only if their unions overlap as far as a link between
-members needs. In an opened pair a query's overlap with the other group's union bounds its similarity to every member;
-only qualifying queries and members are compared exactly. Nothing is lost: each bound is necessary for a link.
+two families of groups. Families that share too few shingles are never compared. For groups of the others, the matrix
+has a row of bits for each set, and the rows of a group together are those of its whole token union: a query's overlap
+with the other group's union bounds its similarity to every member, and its overlap with a member's row the similarity to that one.
+A pair of groups is opened for the sets that both bounds leave, and only these are compared exactly. A row of bits takes a sixteenth to
+a thirty-second of its set, so pairs of groups that hold no link move little. Nothing is lost: each bound is necessary for a link.
 
 The order behind the matrix puts frequent shingles last, so passages that many documents share
 open no groups. The list of frequent shingles is bounded and only changes the order; shingles that prove common
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import keyed, restored
-from .scratch import saved
+from .scratch import drop, saved
 from .words import Words, as_long, grams, mix, sub_batches, texts_of
 
+#: So many sets are broadcast at most, an id and a leader each; more are joined by key.
+SENT = 1_000_000
 #: Sets that link share at least this many of the shingles that go into the matrix; larger sets, more.
 SHARED = 4
 
@@ -247,8 +250,18 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
 
 
+def bit_rows(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A row of bits for each set of n shingles of h: two to four bits for each, a power of two of them, 64 at least."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(2 * np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(width)
+    bits = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
+    bits[np.repeat(ends - width, n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)] = 1
+    raw = np.packbits(bits, bitorder="little").tobytes()
+    return [raw[(b - w) // 8 : b // 8] for b, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs(rep, lead, text) -> (rep, lead, n, tokens): whole sets, sorted."""
+    """docs(rep, lead, text) -> (rep, lead, n, tokens, bits): whole sets, sorted, and their rows of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,10 +269,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 _, h, n = shingle_sets(texts_of(part), k)
                 # the order of signed integers, so that all later steps see sorted lists
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("lead"), pa.array(n.astype(np.int64)), _lists(as_long(h), n)], ["rep", "lead", "n", "tokens"]
+                    [part.column("rep"), part.column("lead"), pa.array(n.astype(np.int64)), _lists(as_long(h), n), pa.array(bit_rows(h, n), pa.binary())],
+                    ["rep", "lead", "n", "tokens", "bits"],
                 )
 
-    return docs.mapInArrow(run, "rep long, lead long, n long, tokens array<long>")
+    return docs.mapInArrow(run, "rep long, lead long, n long, tokens array<long>, bits binary")
 
 
 def _linked(inter, a, b, num: int, den: int):
@@ -347,46 +361,95 @@ def _open(side: np.ndarray, rep: np.ndarray, tokens: list[np.ndarray], one: bool
     return [(int(rep[a]), int(rep[b])) for a, b in _spanning(np.stack([left[i], right[j]], 1), len(tokens))]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (a, b), of rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        cut = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            if x == y:
+                continue
+            if last is not None and last != (a[x], b[x]):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+            last = (a[x], b[x])
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _live(side: np.ndarray, n: np.ndarray, rows: list[bytes], one: bool, num: int, den: int) -> np.ndarray:
+    """Which sets may link to one of the other side (one: to another of the same group), from sizes and rows of bits.
+
+    Shingles of x whose bits y lacks are not in y, so x and y share at most their common bits and what x, or y, has more shingles than bits.
+    Rows of different widths are compared at the lesser one, the wider folded.
+    """
+    width = np.array([len(r) for r in rows])
+    out = np.zeros(len(n), bool)
+    for w in np.unique(width):
+        at, wide = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(rows[i], np.uint8).reshape(-1, w), axis=0) for i in wide])
+        more = n[wide] - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        own = np.flatnonzero(width[wide] == w)
+        for s in (0, 1):
+            # rows of this width as queries of side s, against those of this width or more on the other side
+            q, m = (own, np.arange(len(wide))) if one else (own[side[at] == s], np.flatnonzero(side[wide] != s))
+            if s and one or not len(q) or not len(m):
+                continue
+            if not one:
+                union = np.bitwise_or.reduce(bits[m], axis=0)
+                q = q[np.bitwise_count(bits[q] & union).sum(1, dtype=np.int64) + more[q] >= up(n[wide[q]], num, den)]
+                if not len(q):
+                    continue
+            common, step = np.zeros((len(q), len(m))), max(1, 500_000 // (len(q) + len(m)))
+            for lo in range(0, w, step):
+                x, y = (np.unpackbits(bits[i, lo : lo + step], axis=1).astype(np.float32) for i in (q, m))
+                common += x @ y.T
+            most = common.astype(np.int64) + np.minimum(more[q][:, None], more[m][None, :])
+            ok = _linked(most, n[wide[q]][:, None], n[wide[m]][None, :], num, den)
+            if one:
+                ok &= q[:, None] != m[None, :]
+            out[wide[q[ok.any(1)]]] = True
+            out[wide[m[ok.any(0)]]] = True
+    return out
+
+
+def _sieved(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(a, b, side, rep, n, bits), dealt by (a, b) -> (a, b, side, rep) of the sets that must be compared exactly."""
+    dealt = rows.select("a", "b", "side", "rep", "n", "bits").repartition("a", "b").sortWithinPartitions("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _blocks(batches):
+            live = _live(t["side"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist(), t["a"][0].as_py() == t["b"][0].as_py(), num, den)
+            yield from t.select(["a", "b", "side", "rep"]).filter(pa.array(live)).to_batches()
+
+    return dealt.mapInArrow(run, "a long, b long, side int, rep long")
+
+
 def _opened(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows(a, b, side, rep, tokens), dealt by (a, b) -> links (rep, lead) that join what is not yet joined."""
-    dealt = rows.repartition("a", "b").sortWithinPartitions("a", "b")
+    dealt = rows.select("a", "b", "side", "rep", "tokens").repartition("a", "b").sortWithinPartitions("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def close() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
+        for t in _blocks(batches):
             lists = t["tokens"].chunk(0)
             off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             out = _open(
                 t["side"].to_numpy(), t["rep"].to_numpy(), [flat[x:y] for x, y in zip(off[:-1], off[1:], strict=True)], t["a"][0].as_py() == t["b"][0].as_py(), num, den
             )
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["rep", "lead"])
-
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            cut = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if x == y:
-                    continue
-                if last is not None and last != (a[x], b[x]):
-                    yield close()
-                    held.clear()
-                last = (a[x], b[x])
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield close()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["rep", "lead"])
 
-    return dealt.select("a", "b", "side", "rep", "tokens").mapInArrow(run, "rep long, lead long")
+    return dealt.mapInArrow(run, "rep long, lead long")
 
 
 #: A shingle that more sets than this have makes no pairs for a set that has enough others.
 HOT = 256
 
 
-def _ready(hits: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
-    """hits(token, rep, n, df) without the shingles that need make no pairs, and (rep, dropped): how many went.
+def _ready(hits: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """hits(token, rep, n, df) without the shingles that need make no pairs, (rep, dropped): how many went, and the table behind both.
 
     Two linked sets share `wanted` shingles of the matrix or more, so each may leave out its wanted - 1 most common
     ones, in one order of all shingles: of those shared, the rarest stays in both.
@@ -395,7 +458,7 @@ def _ready(hits: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
     rank = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("df"), "token"))
     hot = saved(hot.withColumn("gone", rank < wanted), "hot")
     kept = hits.where(F.col("df") <= HOT).union(hot.where("not gone").select(hits.columns))
-    return kept, hot.where("gone").groupBy("rep").agg(F.count("*").alias("dropped"))
+    return kept, hot.where("gone").groupBy("rep").agg(F.count("*").alias("dropped")), hot
 
 
 def _families(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -430,25 +493,6 @@ def _enough(met: GroupedData, num: int, den: int) -> DataFrame:
     return got.where(F.col("got") >= F.greatest(F.lit(1), need(F.col("n"), num, den) - F.col("dropped"))).select("a", "b")
 
 
-def _unions(members: DataFrame) -> DataFrame:
-    """members(group, tokens) -> (group, tokens): the matrix's rows, each group's token union, of bounded size as groups are."""
-    return members.groupBy("group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
-
-
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, wanted, left, right) -> (a, b) whose token unions left and right have `wanted` shingles in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                a, b = (batch.column(c)[i].values.to_numpy() for c in ("left", "right"))
-                keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= wanted)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "wanted", "left", "right").mapInArrow(run, "a long, b long")
-
-
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 128) -> DataFrame:
     """Components of documents linked by shingle similarity of at least num / den.
 
@@ -471,14 +515,19 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     wanted = need(F.col("n"), num, den)
     for _ in range(2):
         enough = hits.groupBy("rep", "n").agg(F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep")
-        hits = hits.drop("lead", "df").join(enough, "rep", "left_semi")
-        low = saved(hits.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1"), "tokens")
-        hits = saved(hits.join(low, "token"), "hits")
-    member = saved(hits.groupBy("rep", "n").agg(F.min("lead").alias("lead"), F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep", "lead"), "members")
+        last, left = hits, hits.drop("lead", "df").join(enough, "rep", "left_semi")
+        low = saved(left.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1"), "tokens")
+        hits = saved(left.join(low, "token"), "hits")
+        for x in (last, low):
+            drop(x)
+    leads = saved(hits.groupBy("rep", "n").agg(F.min("lead").alias("lead"), F.count("*").alias("got")).where(F.col("got") >= wanted).select("rep", "lead"), "members")
     # leaders head their own group, whoever leads them elsewhere
-    heads = member.select("lead").distinct().select(F.col("lead").alias("rep"), F.lit(True).alias("head"))
-    member = member.join(heads, "rep", "left").select("rep", F.when(F.col("head"), F.col("rep")).otherwise(F.col("lead")).alias("lead"))
-    sets = saved(_sets(docs.hint("merge").join(member.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "lead", "text"), k), "sets")
+    heads = leads.select("lead").distinct().select(F.col("lead").alias("rep"), F.lit(True).alias("head"))
+    member = leads.join(heads, "rep", "left").select("rep", F.when(F.col("head"), F.col("rep")).otherwise(F.col("lead")).alias("lead"))
+    # most texts are of no member: these stay where they are, unless the members are very many
+    member = member.withColumnRenamed("rep", "doc_id")
+    members = docs.join(F.broadcast(member), "doc_id") if leads.count() <= SENT else docs.hint("merge").join(member, "doc_id")
+    sets = saved(_sets(members.select(F.col("doc_id").alias("rep"), "lead", "text"), k), "sets")
     star = saved(_stars(sets, num, den), "stars")
     # a leader's families: those linked to it and the others, dealt into groups of bounded size
     placed = sets.select("rep", "lead", "n").join(star.select("rep", F.lit(True).alias("is_star")), "rep", "left").withColumn(
@@ -487,7 +536,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     dealt = placed.groupBy("lead", "star").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 500_000)).alias("parts"), F.count("*").alias("size")
     )
-    ready, dropped = _ready(hits, wanted)
+    ready, dropped, hot = _ready(hits, wanted)
     placed = saved(
         placed.join(dealt, ["lead", "star"]).join(dropped, "rep", "left").select(
             "rep", "n", F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"), "star", "size", "parts", F.xxhash64("lead", "star").alias("family"),
@@ -498,25 +547,29 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blo
     # a leader's own links are known: only what must still be compared stays
     blocks = ready.select("rep", "token").join(placed.select("rep", "n", "dropped", "family", "group"), "rep")
     blocks = saved(blocks.groupBy("token", "family", "group").agg(F.min("n").alias("least"), F.max("dropped").alias("dropped")), "matrix")
+    for x in (hits, hot, leads):
+        drop(x)
     families = _families(blocks, num, den).union(placed.where("not star and parts > 1").select("family", F.col("family").alias("b")).distinct())
     single = placed.where("parts = 1").select("family", "group").distinct()
-    pairs = saved(_groups(blocks, saved(families, "families"), single, num, den), "pairs")
-    # groups open only where their token unions allow a link between their sets
-    used = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
-    members = placed.join(used, "group", "left_semi").select("rep", "group", "n")
-    unions = saved(_unions(members.select("rep", "group").join(sets.select("rep", "tokens"), "rep")), "unions")
-    sizes = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    rows = sizes.join(unions, "group")
-    left, right = (rows.select(F.col("group").alias(g), F.col("least").alias(f"least_{g}"), F.col("most").alias(f"most_{g}"), F.col("tokens").alias(t)) for g, t in (("a", "left"), ("b", "right")))
-    sided = pairs.join(left, "a").join(right, "b").where((F.col("least_a") * num <= F.col("most_b") * den) & (F.col("least_b") * num <= F.col("most_a") * den))
-    pairs = _bounded(sided.withColumn("wanted", F.ceil(F.greatest("least_a", "least_b") * num / den)))
-    pairs = saved(pairs.union(placed.where("not star and size > 1").select(F.col("group").alias("a"), F.col("group").alias("b")).distinct()), "open")
-    ends = pairs.select("a", "b", F.col("a").alias("group"), F.lit(0).alias("side")).union(
-        pairs.where("a <> b").select("a", "b", F.col("b").alias("group"), F.lit(1).alias("side"))
+    families = saved(families, "families")
+    pairs = saved(_groups(blocks, families, single, num, den), "pairs")
+    for x in (blocks, families):
+        drop(x)
+    # groups open only for sets that their sizes and rows of bits allow a link
+    sizes = placed.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = (sizes.select(F.col("group").alias(g), F.col("least").alias(f"least_{g}"), F.col("most").alias(f"most_{g}")) for g in "ab")
+    sized = pairs.join(left, "a").join(right, "b").where((F.col("least_a") * num <= F.col("most_b") * den) & (F.col("least_b") * num <= F.col("most_a") * den))
+    open_ = saved(sized.select("a", "b").union(placed.where("not star and size > 1").select(F.col("group").alias("a"), F.col("group").alias("b")).distinct()), "open")
+    ends = open_.select("a", "b", F.col("a").alias("group"), F.lit(0).alias("side")).union(
+        open_.where("a <> b").select("a", "b", F.col("b").alias("group"), F.lit(1).alias("side"))
     )
-    opened = ends.join(placed.select("rep", "group"), "group").join(sets.select("rep", "tokens"), "rep")
+    rows = placed.select("rep", "group", "n").join(sets.select("rep", "bits"), "rep")
+    live = saved(_sieved(ends.join(rows, "group"), num, den), "live")
+    opened = live.join(sets.select("rep", "tokens"), "rep")
     links = star.union(_opened(opened, num, den)).toDF("a", "b")
     comp = components(links)
+    for x in (sets, star, placed, pairs, open_, live):
+        drop(x)
     out = ids.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left")
     out = out.join(comp, out["rep"] == comp["node"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -2,7 +2,8 @@
 
 A job that reuses an intermediate result writes it as Parquet into the folder that
 `spark.checkpoint.dir` names, which every executor and the driver share, and reads it
-back. Losing an executor then never loses the result.
+back. Losing an executor then never loses the result. Once a table is written, the shuffles
+behind it are read no more and their files go at once.
 """
 
 from __future__ import annotations
@@ -14,11 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.shared import shared_folder as folder
 
 
+#: Spark's setting for shuffle files that go when the query they belong to has ended.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again with its own schema."""
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,13 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
 from helpers import corpus, docs_of, edited, lower, prose, words
+from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard
+from tallyforge.functions.shared import shared_folder
+from tallyforge.llm import jaccard, scratch
 from tallyforge.llm.jaccard import Often, jaccard_join
 
 
@@ -88,3 +91,40 @@ def test_often_counts_as_a_plain_count():
     few.add(np.array([1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 5], np.uint64))
     few.settle()
     assert few.keys.tolist() == [1, 5]
+
+
+def test_rows_of_bits_lose_no_link_and_pass_over_the_rest():
+    rng = np.random.default_rng(5)
+    boiler = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets, family = [], []
+    for f, n in enumerate([3, 9, 16, 17, 31, 33, 60, 64, 66, 120, 130, 250, 260, 500, 520, 3000]):
+        base = np.append(boiler, rng.integers(0, 2**63, n).astype(np.uint64))
+        for gone in (0, 0.02, 0.05, 0.08, 0.1, 0.16):  # about the threshold, on both sides of a doubled width
+            sets.append(np.unique(np.append(base[rng.random(len(base)) >= gone], rng.integers(0, 2**63, 2).astype(np.uint64))))
+            family.append(f)
+    n, family = np.array([len(s) for s in sets]), np.array(family)
+    rows, side = jaccard.bit_rows(np.concatenate(sets), n), np.arange(len(sets)) % 2
+    assert len({len(r) for r in rows}) > 3 and sum(map(len, rows)) <= sum(n) * 8 / 16
+    link = np.array([[i != j and jaccard._linked(len(np.intersect1d(a, b)), len(a), len(b), 85, 100) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    for one in (False, True):
+        live = jaccard._live(side, n, rows, one, 85, 100)
+        want = (link if one else link & (side[:, None] != side[None, :])).any(1)
+        assert want.any() and live[want].all()
+    apart = jaccard._live((family >= 14).astype(np.int64), n, rows, False, 85, 100)
+    assert not apart[family == 15].any() and apart.sum() <= 12
+
+
+def test_tables_and_shuffles_go_when_nothing_reads_them(spark):
+    def tables():
+        f = shared_folder(spark) + "/tables"
+        return set(os.listdir(f.removeprefix("file://"))) if os.path.isdir(f.removeprefix("file://")) else set()
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+    before, shuffled = tables(), files()
+    scratch.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    assert files() <= shuffled
+    out = jaccard_join(docs_of(spark, corpus()), 4, 85, 100)
+    assert {x.rsplit("-", 1)[0] for x in tables() - before} <= {"few", "profiles", "classes", "edges"}
+    assert {tuple(r) for r in out.collect()} == brute(corpus(), 4, 85, 100)
