@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.llm import neighbours
 from tallyforge.llm.neighbours import Router, balanced_parts, graph, nearest, others, probes_for
 
 
@@ -86,3 +89,33 @@ def test_probes_hold_for_rows_the_router_has_not_seen():
     order = np.argsort(-net.score(fresh), axis=1)[:, :probes]
     found = (home[others(fresh, unit, 10)][:, :, None] == order[:, None, :]).any(2).mean()
     assert 0.87 <= found and probes < 30
+
+
+def test_neighbours_of_many_rows_hold_one_block_at_a_time():
+    g = np.random.default_rng(6)
+    x, asking = g.normal(0, 1, (12_000, 8)), g.normal(0, 1, (4000, 8))
+    tracemalloc.start()
+    try:
+        got = others(asking, x, 10)
+        near = graph(x[:3000], 10)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 5 * neighbours.BLOCK_BYTES  # all blocks together hold 384 MB
+    want = np.argsort(-(asking[:50].astype(np.float32) @ x.astype(np.float32).T), axis=1)[:, :10]
+    assert (np.sort(got[:50]) == np.sort(want)).all()
+    sim = x[:3000].astype(np.float32) @ x[:3000].astype(np.float32).T
+    np.fill_diagonal(sim, -2e9)
+    assert (np.sort(near) == np.sort(np.argsort(-sim, axis=1)[:, :10])).mean() > 0.99
+
+
+def test_shelves_of_several_parts_and_blocks_change_nothing(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    x = (g.normal(0, 1, (20, 12))[g.integers(0, 20, 2000)] + g.normal(0, 0.5, (2000, 12))).astype(np.float32)
+    x[300:420] = x[5]
+    df = table(spark, x, np.arange(2000))
+    got = []
+    for least, block in ((24, None), (3, None), (1, 150)):
+        monkeypatch.setattr(neighbours, "LEAST_SHELVES", least)
+        got.append({tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0, least_sample=800, sample_a_part=16, rows_a_part=150, block=block).collect()})
+    assert len(got[0]) == 500 and got[0] == got[1] == got[2]
