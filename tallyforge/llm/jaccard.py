@@ -30,6 +30,8 @@ from .rows import keyed, restored
 from .scratch import drop, saved
 from .words import Words, as_long, grams, mix, sub_batches, texts_of
 
+#: Bytes of the texts that are taken apart at once.
+PIECE = 250_000
 #: So many sets are broadcast at most, an id and a leader each; more are joined by key.
 SENT = 1_000_000
 #: Sets that link share at least this many of the shingles that go into the matrix; larger sets, more.
@@ -44,8 +46,20 @@ def up(n, num: int, den: int):
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles, by document and hash, and sizes.
 
-    A text of fewer than k words, but some, has its whole sequence as its one shingle.
+    A text of fewer than k words, but some, has its whole sequence as its one shingle. Words are taken apart in pieces of
+    about PIECE bytes, since that takes some thirty times the space of a text.
     """
+    none = np.zeros(0, np.int64)
+    parts, at = [(none, np.zeros(0, np.uint64), none)], 0
+    for piece in sub_batches(pa.RecordBatch.from_arrays([texts], ["text"]), PIECE):
+        doc, h, n = _shingles(piece.column("text"), k)
+        parts.append((doc + at, h, n))
+        at += len(n)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() of one piece."""
     w = Words(texts, lower=True)
     doc, _, h = grams(w, k)
     short = np.flatnonzero((w.count > 0) & (w.count < k))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import corpus, docs_of, edited, lower, prose, words
 from pyspark.sql import functions as F
 
@@ -128,3 +129,14 @@ def test_tables_and_shuffles_go_when_nothing_reads_them(spark):
     out = jaccard_join(docs_of(spark, corpus()), 4, 85, 100)
     assert {x.rsplit("-", 1)[0] for x in tables() - before} <= {"few", "profiles", "classes", "edges"}
     assert {tuple(r) for r in out.collect()} == brute(corpus(), 4, 85, 100)
+
+
+def test_texts_taken_apart_in_pieces_give_the_same_sets(monkeypatch):
+    texts = pa.array(corpus()).fill_null("")
+    want = jaccard.shingle_sets(texts, 4)
+    for piece in (1, 700, 10**9):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        for got in (jaccard.shingle_sets(texts, 4), jaccard.shingle_sets(texts.slice(3, 40), 4)):
+            assert len(got[1]) == got[2].sum()
+        assert all((x == y).all() for x, y in zip(jaccard.shingle_sets(texts, 4), want, strict=True))
+    assert [len(x) for x in jaccard.shingle_sets(texts.slice(0, 0), 4)] == [0, 0, 0]
